@@ -1,0 +1 @@
+"""Nothing here yet: files are loaded whole, on request, so no source is a stream."""
