@@ -25,20 +25,22 @@ def forward_then_backward(df: DataFrame, column: str, position: str) -> DataFram
     )
     # One row per million input rows: a block's gap is filled from the nearest
     # block that holds a value, found in one short ordered pass.
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    # Looking back over rows in reverse order stands for looking ahead: a frame
+    # that ends at the last row would be gone through anew for every row.
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         "_block",
-        F.last("_last", ignorenulls=True).over(before).alias("_carry_in"),
-        F.first("_first", ignorenulls=True).over(after).alias("_carry_back"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_carry_in"),
+        F.last("_first", ignorenulls=True).over(later).alias("_carry_back"),
     )
-    in_block = Window.partitionBy("_block").orderBy(position)
-    to_here = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = in_block.rowsBetween(0, Window.unboundedFollowing)
+    in_block = Window.partitionBy("_block")
+    to_here = in_block.orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = in_block.orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("_block", block)
         .withColumn("_prior", F.last(column, ignorenulls=True).over(to_here))
-        .withColumn("_next", F.first(column, ignorenulls=True).over(from_here))
+        .withColumn("_next", F.last(column, ignorenulls=True).over(from_here))
         .join(carried, "_block", "left")
         .withColumn(column, F.coalesce("_prior", "_carry_in", "_next", "_carry_back"))
         .select(*df.columns)
