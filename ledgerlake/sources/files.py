@@ -17,7 +17,7 @@ DATASET_FILES = "*.{csv,xlsx,xls}"
 
 
 def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, size_bytes, modified_at); file contents are not read."""
+    """(filename, size_bytes, modified_at); contents are not read, and files of no bytes are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", DATASET_FILES).load(folder)
     return found.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
@@ -129,7 +129,7 @@ def import_file(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Header line, every value quoted, quotes escaped with a backslash."""
+    """Header line, everything quoted, quotes escaped with a backslash, nulls written as null."""
     (
         df.write.option("header", True)
         .option("quoteAll", True)
