@@ -47,7 +47,7 @@ def exact_quantiles(
     Returns one number per column and probability. Columns without any value
     are left out.
     """
-    values = numbers(frequencies, columns).groupBy("column", "value").agg(F.sum("n").alias("n"))
+    values = numbers(frequencies, columns)
     totals = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.sum("n").alias("n")).collect()}
     first, base = {}, 0
     for column in sorted(totals):

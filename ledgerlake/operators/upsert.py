@@ -12,10 +12,11 @@ from ledgerlake.operators.ranking import global_row_number
 def one_per_key(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """One row per key; when a batch holds several variants the greatest one is taken.
 
-    The distinct step is a hash aggregate that combines before its shuffle;
-    only the few distinct variants reach the ordered choice.
+    The variants are first brought together by a hash aggregate, which combines
+    before its shuffle. Testing its count keeps the optimizer from merging the
+    two steps into one that would sort every input row.
     """
-    variants = rows.select(*keys, *attributes).distinct()
+    variants = rows.groupBy(*keys, *attributes).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 0")
     chosen = variants.groupBy(*keys).agg(F.max(F.struct(*attributes)).alias("_latest"))
     return chosen.select(*keys, "_latest.*")
 
