@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlake.errors import NotEnoughData
 from ledgerlake.operators.frequencies import exact_quantiles, value_frequencies
-from ledgerlake.staging import stage
+from ledgerlake.staging import spread, stage
 
 TREES, SAMPLE = 100, 256
 CONTAMINATION = 0.02
@@ -36,6 +36,10 @@ def average_path(rows: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, longer, np.where(n == 2, 1.0, 0.0))
 
 
+def _depth_limit(sample: int) -> int:
+    return int(np.ceil(np.log2(max(sample, 2))))
+
+
 def tree_samples(df: DataFrame, key: str, rows: int, sample: int, seed: int) -> DataFrame:
     """(tree, key, ...): for every tree its own random rows, without repeats.
 
@@ -92,7 +96,7 @@ _NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right i
 def grow_forest(samples: DataFrame, key: str, features: Sequence[str], sample: int, seed: int) -> DataFrame:
     """One tree per group of at most ``sample`` rows; returns the trees' nodes."""
     columns = list(features)
-    max_depth = int(np.ceil(np.log2(max(sample, 2))))
+    max_depth = _depth_limit(sample)
 
     def grow(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         points = rows.sort_values(key)[columns].to_numpy(dtype=float)
@@ -105,22 +109,34 @@ def grow_forest(samples: DataFrame, key: str, features: Sequence[str], sample: i
     return samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA)
 
 
-def strangeness(points: np.ndarray, trees: list[tuple], norm: float) -> np.ndarray:
-    """Score per row, from -1 (stands alone) to 0 (deep in the crowd)."""
+def strangeness(points: np.ndarray, trees: list[tuple], depth: int, norm: float) -> np.ndarray:
+    """Score per row, from -1 (stands alone) to 0 (deep in the crowd).
+
+    Leaves lead back to themselves, so all rows take the same number of steps.
+    """
+    cells = np.ascontiguousarray(points).ravel()
+    row_start = np.arange(len(points)) * points.shape[1]
     total = np.zeros(len(points))
-    everyone = np.arange(len(points))
-    for feature, split, left, right, path in trees:
+    for feature, split, children, path in trees:
         at = np.zeros(len(points), dtype=np.int64)
-        while True:
-            inner = feature[at] >= 0
-            if not inner.any():
-                break
-            goes_left = points[everyone, np.maximum(feature[at], 0)] <= split[at]
-            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-        total += path[at]
+        for _ in range(depth):
+            right = cells.take(row_start + feature.take(at)) > split.take(at)
+            at = children.take(2 * at + right)
+        total += path.take(at)
     return -np.exp2(-(total / len(trees)) / norm)
 
 
+def _scoring_form(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(feature, split, children, path) of one tree, with leaves as their own children."""
+    leaf = (nodes["feature"] < 0).to_numpy()
+    own = np.arange(len(nodes))
+    children = np.empty(2 * len(nodes), dtype=np.int64)
+    children[0::2] = np.where(leaf, own, nodes["left"])
+    children[1::2] = np.where(leaf, own, nodes["right"])
+    feature = np.where(leaf, 0, nodes["feature"]).astype(np.int64)
+    return feature, nodes["split"].to_numpy(), children, nodes["path"].to_numpy()
+
+
 @dataclass(frozen=True)
 class Anomalies:
     scored: DataFrame
@@ -148,18 +164,15 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], rows: int
     samples = tree_samples(df.select(key, *measures), key, rows, sample, seed)
     # At most TREES * 2 * SAMPLE short rows.
     nodes = grow_forest(samples, key, features, sample, seed).orderBy("tree", "node").toPandas()
-    trees = [
-        tuple(group[c].to_numpy() for c in ("feature", "split", "left", "right", "path"))
-        for _, group in nodes.groupby("tree")
-    ]
+    trees = [_scoring_form(tree) for _, tree in nodes.groupby("tree")]
     forest = df.sparkSession.sparkContext.broadcast(trees)
-    norm = float(average_path(sample))
+    norm, depth = float(average_path(sample)), _depth_limit(sample)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            yield pd.Series(strangeness(points, forest.value, norm))
+            yield pd.Series(strangeness(points, forest.value, depth, norm))
 
     return df.withColumn("score", score(*measures))
 
@@ -169,7 +182,7 @@ def detect_anomalies(facts: DataFrame, dim_products: DataFrame, seed: int = 42)
     rows = facts.count()
     if rows < _MIN_ROWS:
         raise NotEnoughData("Insufficient transactional data (at least 50 required) to run anomaly detection.")
-    lines = facts.select("fact_key", "order_id", "product_key", *MEASURES)
+    lines = spread(facts.select("fact_key", "order_id", "product_key", *MEASURES))
     scored = stage(isolation_scores(lines, "fact_key", MEASURES, rows, seed), "anomaly-scores")
     counts = stage(value_frequencies(scored, ["score"]), "score-counts")
     threshold = exact_quantiles(counts, ["score"], [CONTAMINATION])["score"][0]

@@ -11,7 +11,7 @@ from ledgerlake.functions.names import normalise_headers, table_name
 from ledgerlake.functions.dates import RECOVERING_FORMATS, parse_date
 from ledgerlake.sources.inference import as_type, infer_types, present
 from ledgerlake.sources.workbook import POSITION, read_workbook
-from ledgerlake.staging import stage
+from ledgerlake.staging import spread, stage
 
 DATASET_FILES = "*.{csv,xlsx,xls}"
 
@@ -121,7 +121,7 @@ def import_file(spark: SparkSession, path: str, schema: T.StructType | None = No
     if POSITION not in loaded.columns:
         # The splits of one file are read in file order.
         loaded = loaded.withColumn(POSITION, F.monotonically_increasing_id())
-    rows = stage(normalise_headers(loaded), "import")
+    rows = stage(spread(normalise_headers(loaded)), "import")
     count = rows.count()
     if not count:
         raise EmptyDataset(f"'{filename}' holds no rows")
