@@ -120,8 +120,8 @@ def import_file(spark: SparkSession, path: str, schema: T.StructType | None = No
         raise ImportFailed(f"could not read '{filename}': {problem}") from problem
     if POSITION not in loaded.columns:
         # The splits of one file are read in file order.
-        loaded = loaded.withColumn(POSITION, F.monotonically_increasing_id())
-    rows = stage(spread(normalise_headers(loaded)), "import")
+        loaded = spread(loaded.withColumn(POSITION, F.monotonically_increasing_id()))
+    rows = stage(normalise_headers(loaded), "import")
     count = rows.count()
     if not count:
         raise EmptyDataset(f"'{filename}' holds no rows")
