@@ -9,16 +9,18 @@ large part of the rows is one counter per task before it is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerlake.operators.ranking import rows_at
 
-NUMERIC = T.NumericType
+# Bins per column in which ranks are looked up.
+_BINS = 1000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -34,9 +36,9 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 def numbers(frequencies: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value DOUBLE, n) of the numeric columns, nulls left out."""
-    return frequencies.filter(F.col("column").isin(list(columns)) & F.col("text").isNotNull()).select(
-        "column", F.col("text").cast("double").alias("value"), "n"
-    )
+    chosen = frequencies.filter(F.col("column").isin(list(columns)) & F.col("text").isNotNull())
+    values = chosen.select("column", F.col("text").cast("double").alias("value"), "n")
+    return values.filter(~F.isnan("value"))
 
 
 def exact_quantiles(
@@ -44,34 +46,58 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation between neighbouring rows.
 
-    Returns one number per column and probability. Columns without any value
-    are left out.
+    Values are first counted in equal bins per column. Only the bins that hold
+    a wanted rank are then sorted, so little is sorted unless nearly all values
+    share a bin; a value repeated many times is one row. Returns one number per
+    column and probability; columns without any value are left out.
     """
     values = numbers(frequencies, columns)
-    totals = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    first, base = {}, 0
-    for column in sorted(totals):
-        first[column] = base + 1
-        base += totals[column]
-
-    wanted = {}
-    for column, rows in totals.items():
-        for p in probabilities:
-            steps = p * (rows - 1)
-            low = int(steps)
-            wanted[column, p] = (first[column] + low, first[column] + min(low + 1, rows - 1), steps - low)
-    positions = sorted({p for low, high, _ in wanted.values() for p in (low, high)})
-    found = {
-        r["position"]: r["value"] for r in rows_at(values, ["column", "value"], positions, weight="n")
+    spans = {
+        r["column"]: r
+        for r in values.groupBy("column")
+        .agg(F.sum("n").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()
     }
-    return {
-        c: [
-            found[low] + (found[high] - found[low]) * part
-            for low, high, part in (wanted[c, p] for p in probabilities)
-        ]
-        for c in totals
+    low = by_column({c: s["low"] for c, s in spans.items()}).cast("double")
+    width = by_column({c: s["high"] - s["low"] for c, s in spans.items()}).cast("double")
+    place = F.least(F.floor((F.col("value") - low) / width * _BINS), F.lit(_BINS - 1))
+    binned = values.withColumn("bin", F.when((width > 0) & (width < F.lit(float("inf"))), place).otherwise(0))
+
+    # Rows before and after each wanted quantile, counted from 0 in their column.
+    ranks: dict[str, dict[float, tuple[int, int, float]]] = {}
+    for column, span in spans.items():
+        steps = {p: p * (span["rows"] - 1) for p in probabilities}
+        ranks[column] = {p: (int(s), min(int(s) + 1, span["rows"] - 1), s - int(s)) for p, s in steps.items()}
+
+    # At most _BINS rows per column.
+    sizes = binned.groupBy("column", "bin").agg(F.sum("n").alias("rows")).orderBy("column", "bin").collect()
+    position, kept, sorted_rows = {}, {}, 0
+    for column, bins in groupby(sizes, key=lambda r: r["column"]):
+        wanted = {rank for low_rank, high_rank, _ in ranks[column].values() for rank in (low_rank, high_rank)}
+        start = 0
+        for size in bins:
+            inside = [r for r in wanted if start <= r < start + size["rows"]]
+            if inside:
+                kept.setdefault(column, []).append(size["bin"])
+                position.update({(column, r): sorted_rows + r - start + 1 for r in inside})
+                sorted_rows += size["rows"]
+            start += size["rows"]
+    near = F.lit(False)
+    for column, bins in kept.items():
+        near = near | ((F.col("column") == column) & F.col("bin").isin(bins))
+    found = {
+        r["position"]: r["value"]
+        for r in rows_at(
+            binned.filter(near).drop("bin"), ["column", "value"], sorted(position.values()), weight="n"
+        )
     }
 
+    def between(column: str, lower: int, upper: int, part: float) -> float:
+        first, second = found[position[column, lower]], found[position[column, upper]]
+        return first + (second - first) * part
+
+    return {c: [between(c, *ranks[c][p]) for p in probabilities] for c in spans}
+
 
 def modes(
     frequencies: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def test_modes(spark):
     )
     counts = value_frequencies(df)
     assert modes(counts, ["s", "n", "e"], numeric=["n"]) == {"s": "a", "n": "9"}
+
+
+def test_quantiles_of_a_lopsided_column(spark):
+    # One far value squeezes all others into a single bin.
+    values = [float(i) for i in range(200)] + [50.0] * 300 + [1e9]
+    df = spark.createDataFrame([(v, 7.0, -v) for v in values], "x double, same double, y double")
+    got = exact_quantiles(value_frequencies(df), ["x", "same", "y"], [0.02, 0.25, 0.5, 0.9, 0.999])
+    for column, rows in {"x": values, "same": [7.0] * len(values), "y": [-v for v in values]}.items():
+        expected = np.quantile(rows, [0.02, 0.25, 0.5, 0.9, 0.999])
+        assert got[column] == pytest.approx(expected, rel=1e-12)
+
+
+def test_no_values_no_quantiles(spark):
+    assert exact_quantiles(value_frequencies(spark.createDataFrame([(None,)], "x double")), ["x"], [0.5]) == {}
