@@ -6,7 +6,6 @@ from ledgerlake.plans.schema import SALES_COLUMNS
 from ledgerlake.registry.queries import LOAD_DAY
 
 NUMERIC = ["sales", "quantity", "discount", "profit"]
-ISO = r"'^\d{4}-\d{2}-\d{2}$'"
 
 
 def _day(column: str = "order_date") -> str:
