@@ -14,7 +14,6 @@ from ledgerlake.operators.cleaning import Rule
 from ledgerlake.operators.profile import duplicate_rows
 from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans import dashboard, insights, report, sqlstudio, warehouse
-from ledgerlake.plans.schema import SALES_COLUMNS
 from ledgerlake.registry.data import Folder, folder
 from ledgerlake.sources import files
 from ledgerlake.sources.workbook import POSITION
