@@ -46,7 +46,7 @@ BASE_RULES = (
 RULES = (
     *BASE_RULES,
     Rule("symbols", "5 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     Rule("shouting", "2 * n_upper > word_chars"),
 )

@@ -117,7 +117,7 @@ def all_sql() -> dict[str, str]:
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words
-                        OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                        OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                         OR 2 * n_upper > word_chars) AS kept
             FROM m
         """,
