@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import chat, exact_dedup, mixing, quality_rules
+from ledgerlake.llm import chat, exact_dedup, licenses, mixing, packing, quality_rules
 from ledgerlake.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, folder, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents"))
 
@@ -22,6 +26,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2, numPartitions=1).select(
@@ -46,6 +54,7 @@ def all_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t)
         """,
+        "op5_license_scan": licenses.sql(),
         "op6_source_mix": r"""
             WITH d AS (
                 SELECT doc_id, source, coalesce(text, '') AS t,
