@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.llm.quotient_filter import QuotientFilter
+from ledgerlake.llm.sketch import passes_sketch
 from ledgerlake.llm.tables import named, text_of, whole_row, written
 
 QUOTIENT_BITS = 24
 BLOCK_BITS = 10
-#: The sketch has 2**SKETCH_BITS bits: 1 MB.
-SKETCH_BITS = 23
 
 
 def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,18 +64,6 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return blocks.repartition("block").mapInArrow(_merge_blocks, "fp long, times long")
 
 
-def _passes_sketch(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Adds ``routed``: false for rows whose ``fp`` is certainly not repeated."""
-
-    place = F.shiftrightunsigned(F.col("fp"), 64 - SKETCH_BITS)
-    word = F.shiftright("place", 6)
-    mask = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = repeated.withColumn("place", place).groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
-    # At most 2**(SKETCH_BITS - 6) rows of two longs, whatever the input.
-    sketched = rows.withColumn("place", place).withColumn("word", word).join(F.broadcast(words), "word", "left")
-    return sketched.withColumn("routed", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))).drop("place", "word", "bits")
-
-
 def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     texts = docs.select(named(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("fp", F.xxhash64("text"))
@@ -84,7 +71,7 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         texts.select("doc_id", "fp", F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "exact-narrow"
     )
     repeated = written(repeated_fingerprints(narrow.select("fp")), "exact-repeated")
-    routed = _passes_sketch(texts, repeated).filter("routed")
+    routed = passes_sketch(texts, repeated.select("fp"), "fp").filter("routed")
     same_bytes = routed.groupBy("fp", "text").agg(F.count(F.lit(1)).alias("group_size"))
     verified = (
         same_bytes.filter("group_size > 1")
@@ -110,7 +97,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(whole_row(docs).alias("row")).withColumn("text", F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")))
     rows = rows.withColumn("fp", F.xxhash64("text"))
     repeated = written(repeated_fingerprints(rows.select("fp")), "exact-repeated")
-    marked = _passes_sketch(rows, repeated)
+    marked = passes_sketch(rows, repeated.select("fp"), "fp")
     order = F.struct(F.col("row").getField(doc_id), F.xxhash64("row"))
     groups = marked.filter("routed").groupBy("fp", "text").agg(F.max_by("row", order).alias("row"))
     return marked.filter("not routed").select("row").unionByName(groups.select("row")).select("row.*")

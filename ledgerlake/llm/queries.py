@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import chat, exact_dedup, licenses, mixing, packing, quality_rules, resharding
+from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_rules, resharding
 from ledgerlake.llm.tables import table
 
 
@@ -18,6 +18,10 @@ def op3_resharding(spark: SparkSession, folder: str) -> DataFrame:
     return resharding.place(table(spark, folder, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.find_near_copies(table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
