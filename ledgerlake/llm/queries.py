@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_rules, resharding
+from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_rules, repeats, resharding
 from ledgerlake.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, folder, "documents"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, folder, "documents"))
+
+
 def op3_resharding(spark: SparkSession, folder: str) -> DataFrame:
     return resharding.place(table(spark, folder, "documents"))
 
