@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_rules, repeats, resharding
+from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_model, quality_rules, repeats, resharding
 from ledgerlake.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(table(spark, folder, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
