@@ -1,10 +1,15 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``measure`` adds the counts that rules read. ``plan_cascade`` estimates on a
-sample how long each rule takes and how many rows it rejects, and orders the
-rules by rejection per cost. ``verdict`` is one CASE in that order, so a row
-that an early rule rejects is spared the later ones. The order changes the time
-taken, never the verdict: a row is kept when no rule rejects it.
+``plan_cascade`` estimates on a sample how long each rule takes, with the counts
+it reads, and how many rows it rejects, and orders the rules by rejection per
+cost. ``keep_good`` works them off in that order: a row that an early rule
+rejects is spared the counts of the later ones. The order changes the time
+taken, never the verdict: a row is kept when no rule rejects it. ``judge``
+reports all counts, so there only the verdict is cut short.
+
+Words in repeated windows: all 3-word windows are hashed; only where some hash
+repeats are (hash, place) pairs sorted, neighbours compared, and the places of
+repeated windows walked in order.
 
 Defined results: a null or empty text has no words and is rejected; ties and
 repeated rows are judged one by one; an empty table gives an empty result and
@@ -13,6 +18,7 @@ the rules in their written order; other columns pass through ``keep_good``.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -37,6 +43,10 @@ class Rule:
     name: str
     rejects: str
 
+    @property
+    def reads(self) -> list[str]:
+        return [name for name in _COUNTS if re.search(rf"\b{name}\b", self.rejects)]
+
 
 #: Thresholds are parameters: pass other rules to change them.
 BASE_RULES = (
@@ -51,9 +61,6 @@ RULES = (
     Rule("shouting", "2 * n_upper > word_chars"),
 )
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_repeat_words")
-
-
 def _removed(text: Column, characters: str) -> Column:
     """How many characters of ``text`` are among ``characters``."""
     return F.length(text).cast("long") - F.length(F.translate(text, characters, ""))
@@ -63,48 +70,68 @@ def _size(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    """``rows`` has ``_text``; adds the counts.
-
-    Words in repeated windows: hash all 3-word windows; only where some hash
-    repeats are (hash, place) pairs sorted, neighbours compared, and the places
-    of repeated windows walked in order, each covering up to three new words.
-    """
-    text = F.col("_text")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, _SPACE_CHARACTERS, "")) > 0)
-    words = F.filter(F.split(text, _SPACES), lambda word: word != "")
-    rows = rows.withColumns({"_words": words, "_lines": lines})
-    word = F.col("_words")
-    windows = F.slice(
-        F.transform(word, lambda w, i: F.xxhash64(w, F.get(word, i + 1), F.get(word, i + 2))),
-        1,
-        F.greatest(F.size(word) - 2, F.lit(0)),
-    )
-    rows = rows.withColumn("_windows", windows)
-    hashes = F.col("_windows")
-    in_order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    none = F.lit(None).cast("array<struct<h:bigint,at:int>>")
-    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), in_order).otherwise(none))
-    window = F.col("_sorted")
-    twice = F.filter(
-        window,
-        lambda x, i: F.coalesce(F.get(window, i + 1)["h"] == x["h"], F.lit(False))
-        | F.coalesce((i > 0) & (F.get(window, i - 1)["h"] == x["h"]), F.lit(False)),
-    )
-    rows = rows.withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["at"])))
-    place = F.col("_places")
-    covered = F.transform(place, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(place, i + 1) - p, F.lit(3))))
-    return rows.withColumns(
-        {
-            "n_words": _size(word),
-            "word_chars": F.length(F.translate(text, _SPACE_CHARACTERS, "")).cast("long"),
-            "n_symbols": _removed(text, _SYMBOLS),
-            "n_lines": _size(F.col("_lines")),
-            "n_dup_lines": _size(F.col("_lines")) - _size(F.array_distinct("_lines")),
-            "n_upper": _removed(text, _UPPER),
-            "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long")),
-        }
-    )
+def _windows(word: Column) -> Column:
+    hashed = F.transform(word, lambda w, i: F.xxhash64(w, F.get(word, i + 1), F.get(word, i + 2)))
+    return F.slice(hashed, 1, F.greatest(F.size(word) - 2, F.lit(0)))
+
+
+def _in_order(hashes: Column) -> Column:
+    """(hash, place) pairs by hash; null where no hash repeats, so that most texts are not sorted."""
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), pairs)
+
+
+def _repeated_places(window: Column) -> Column:
+    def like(x: Column, neighbour: Column) -> Column:
+        return F.coalesce(neighbour["h"] == x["h"], F.lit(False))
+
+    twice = F.filter(window, lambda x, i: like(x, F.get(window, i + 1)) | ((i > 0) & like(x, F.get(window, i - 1))))
+    return F.sort_array(F.transform(twice, lambda x: x["at"]))
+
+
+def _covered(place: Column) -> Column:
+    """Words in three-word windows at sorted places: each covers up to three new ones."""
+    new = F.transform(place, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(place, i + 1) - p, F.lit(3))))
+    return F.coalesce(F.aggregate(new, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
+
+
+def _with_word(lines: Column) -> Column:
+    return F.filter(lines, lambda line: F.length(F.translate(line, _SPACE_CHARACTERS, "")) > 0)
+
+
+#: Counts and the columns they are made from, each after those it reads.
+_STEPS = {
+    "_words": ((), lambda: F.filter(F.split("_text", _SPACES), lambda word: word != "")),
+    "_windows": (("_words",), lambda: _windows(F.col("_words"))),
+    "_sorted": (("_windows",), lambda: _in_order(F.col("_windows"))),
+    "_places": (("_sorted",), lambda: _repeated_places(F.col("_sorted"))),
+    "_lines": ((), lambda: _with_word(F.split("_text", "\n"))),
+    "n_words": (("_words",), lambda: _size(F.col("_words"))),
+    "word_chars": ((), lambda: F.length(F.translate("_text", _SPACE_CHARACTERS, "")).cast("long")),
+    "n_symbols": ((), lambda: _removed(F.col("_text"), _SYMBOLS)),
+    "n_lines": (("_lines",), lambda: _size(F.col("_lines"))),
+    "n_dup_lines": (("_lines",), lambda: _size(F.col("_lines")) - _size(F.array_distinct("_lines"))),
+    "n_upper": ((), lambda: _removed(F.col("_text"), _UPPER)),
+    "n_repeat_words": (("_places",), lambda: _covered(F.col("_places"))),
+}
+_COUNTS = tuple(name for name in _STEPS if not name.startswith("_"))
+
+
+def _with_step(rows: DataFrame, name: str, wanted: Column | None = None) -> DataFrame:
+    """Adds a count and what it reads; only in rows where ``wanted`` holds, else null."""
+    if name in rows.columns:
+        return rows
+    reads, make = _STEPS[name]
+    for read in reads:
+        rows = _with_step(rows, read, wanted)
+    return rows.withColumn(name, make() if wanted is None else F.when(wanted, make()))
+
+
+def _measured(rows: DataFrame, names: Sequence[str] = _COUNTS) -> DataFrame:
+    """``rows`` has ``_text``; adds the counts."""
+    for name in names:
+        rows = _with_step(rows, name)
+    return rows
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,7 +151,7 @@ def plan_cascade(
     gains = []
     for place, rule in enumerate(rules):
         began = time.perf_counter()
-        rejected = _measured(sample).agg(F.count_if(F.expr(rule.rejects)).alias("n")).first()["n"]
+        rejected = _measured(sample, rule.reads).agg(F.count_if(F.expr(rule.rejects)).alias("n")).first()["n"]
         gains.append((-rejected / max(time.perf_counter() - began, 1e-6), place))
     return [rules[place] for _, place in sorted(gains)]
 
@@ -155,6 +182,12 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """Rows that no rule rejects, with all their columns."""
-    cascade = plan_cascade(docs, rules, text)
-    return measure(docs, text).filter(verdict(cascade).isNull()).select("row.*")
+    """Rows that no rule rejects, with all their columns; counts are made rule by rule, in rows not rejected so far."""
+    rows = docs.select(whole_row(docs).alias("row"), text_of(text).alias("_text")).withColumn("_alive", F.lit(True))
+    for rule in plan_cascade(docs, rules, text):
+        for name in rule.reads:
+            rows = _with_step(rows, name, F.col("_alive"))
+        rows = rows.withColumn("_alive", F.col("_alive") & ~F.coalesce(F.expr(rule.rejects), F.lit(False)))
+    # The row number keeps the filter above the counts; moved below, each mention would count again.
+    rows = rows.withColumn("_pin", F.monotonically_increasing_id())
+    return rows.filter("_alive AND _pin >= 0").select("row.*")
