@@ -1 +1,8 @@
-"""Sales-warehouse analytics written as Spark DataFrame jobs."""
+"""Sales-warehouse analytics and corpus preparation written as Spark DataFrame jobs."""
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions for Python workers travel with their code, so executors need no copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -1,28 +1,70 @@
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 
-# Accepted date formats and the shape a text must have before it is parsed.
-_SHAPES = {
-    "yyyy-MM-dd": ISO_PATTERN,
-    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
-}
-
 STRICT_FORMATS = ("yyyy-MM-dd",)
 RECOVERING_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy")
 
+#: Forms in which day and month may stand in either order, the usual order first.
+_EITHER_ORDER = (("M/d/yyyy", "d/M/yyyy"), ("d-M-yyyy", "M-d-yyyy"), ("d.M.yyyy", "M.d.yyyy"))
+_OTHER_FORMS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy")
+#: A time of day behind a date, which is cut off.
+_TIME = r"([T ]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?( ?[AaPp][Mm])?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?"
+
+
+def _shape(pattern: str) -> str:
+    """What a text must look like to be read by a date pattern."""
+
+    def field(found: re.Match) -> str:
+        letter, width = found.group()[0], len(found.group())
+        if letter == "M" and width >= 3:
+            return "[A-Za-z]{3,}"
+        return rf"\d{{{width}}}" if width > 1 else r"\d{1,2}"
 
-def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS) -> Column:
-    """First format that fits, as DATE; NULL when none does."""
-    attempts = [F.when(text.rlike(_SHAPES[f]), F.try_to_date(text, f)) for f in formats]
+    literal = "".join(part if part.isalnum() else re.escape(part) for part in re.split(r"([^A-Za-z0-9])", pattern))
+    return re.sub(r"y+|M+|d+", field, literal)
+
+
+def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS, with_time: bool = False) -> Column:
+    """First format that fits, as DATE; NULL when none does. ``with_time`` allows a time of day behind it."""
+    attempts = []
+    for f in formats:
+        shape = _shape(f)
+        fits = text.rlike(f"^{shape}{_TIME if with_time else ''}$")
+        attempts.append(F.when(fits, F.try_to_date(F.regexp_extract(text, f"^({shape})", 1) if with_time else text, f)))
     return F.coalesce(*attempts)
 
 
+def formats_of(df: DataFrame, column: str) -> tuple[str, ...]:
+    """Formats for a text column, decided from all its values.
+
+    Where day and month may be swapped, the order that reads more of the
+    column's values is taken; on a tie the usual one for that form.
+    """
+    text = F.trim(F.col(f"`{column}`").cast("string"))
+    orders = [f for pair in _EITHER_ORDER for f in pair]
+    read = df.agg(*[F.count(parse_date(text, [f], True)).alias(f"n{i}") for i, f in enumerate(orders)]).first()
+    counts = dict(zip(orders, read))
+    chosen = tuple(usual if counts[usual] >= counts[other] else other for usual, other in _EITHER_ORDER)
+    return (*RECOVERING_FORMATS[:2], *chosen, *_OTHER_FORMS)
+
+
+def is_typed_date(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.DatetimeType)
+
+
+def iso_text(df: DataFrame, column: str) -> DataFrame:
+    """A DATE or TIMESTAMP column as yyyy-MM-dd text; a text column stays as it is."""
+    if column not in df.columns or not is_typed_date(df, column):
+        return df
+    return df.withColumn(column, F.date_format(F.col(f"`{column}`"), "yyyy-MM-dd"))
+
+
 def iso_date(text: Column) -> Column:
     """DATE for a well-formed, existing yyyy-MM-dd day, else NULL."""
     return parse_date(text, STRICT_FORMATS)

@@ -20,6 +20,8 @@ from ledgerlake.staging import stage
 
 BASE_FEATURES = ["recency_days", "frequency", "monetary_value", "avg_order_sales", "avg_discount", "avg_profit"]
 _MIN_CUSTOMERS, _MIN_PER_CLASS = 20, 3
+#: A column with more values than this is not a category.
+MOST_CATEGORIES = 500
 
 
 def customer_averages(facts: DataFrame) -> DataFrame:
@@ -37,7 +39,10 @@ def customer_averages(facts: DataFrame) -> DataFrame:
 
 def one_hot(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     """0/1 columns ``<column>_<value>`` for all values but the alphabetically first."""
-    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"'{column}' has more than {MOST_CATEGORIES} values, too many for a column each")
+    values = sorted(r[0] for r in found)
     names = [f"{column}_{value}" for value in values[1:]]
     flags = {n: F.coalesce((F.col(column) == x).cast("int"), F.lit(0)) for n, x in zip(names, values[1:])}
     return (df.withColumns(flags) if flags else df), names
@@ -146,12 +151,12 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
 
 def fit_customer_model(dim_customers: DataFrame, facts: DataFrame, seed: int = 42) -> CustomerModel:
     if dim_customers.count() < _MIN_CUSTOMERS:
-        raise NotEnoughData("Insufficient customer records (at least 20 required) to run classification.")
+        raise NotEnoughData(f"the classifier needs {_MIN_CUSTOMERS} customers")
     prepared, features = customer_features(dim_customers, facts)
     prepared = stage(prepared, "customer-features")
     sizes = [r["count"] for r in prepared.groupBy("is_high_value").count().collect()]
     if len(sizes) < 2 or min(sizes) < _MIN_PER_CLASS:
-        raise NotEnoughData("Both customer classes need at least 3 members to train the classifier.")
+        raise NotEnoughData(f"the classifier needs {_MIN_PER_CLASS} customers of either class")
     split = stratified_split(prepared, "is_high_value", "customer_key", seed=seed)
     vectors = VectorAssembler(inputCols=features, outputCol="features").transform(split)
     forest = RandomForestClassifier(

@@ -8,9 +8,9 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
-from ledgerlake.functions.dates import RECOVERING_FORMATS, STRICT_FORMATS, is_date_column, parse_date
+from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.fills import forward_then_backward
-from ledgerlake.operators.frequencies import exact_quantiles, modes, numeric_columns, value_frequencies
+from ledgerlake.operators.frequencies import exact_quantiles, modes, nan_as_null, numeric_columns, value_frequencies
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.quality import consistency
 from ledgerlake.staging import stage
@@ -114,14 +114,27 @@ def keep_first(df: DataFrame, position: str) -> DataFrame:
 
 
 def standardize_dates(
-    df: DataFrame, column: str, position: str, formats: Sequence[str] = RECOVERING_FORMATS
-) -> DataFrame:
-    """Dates rewritten as yyyy-MM-dd; if that leaves new nulls, all nulls take a neighbour's date."""
-    parsed = df.withColumn("_day", parse_date(F.col(f"`{column}`").cast("string"), formats))
-    lost = parsed.filter(F.col("_day").isNull() & F.col(f"`{column}`").isNotNull())
-    if not lost.isEmpty():
+    df: DataFrame, column: str, position: str, formats: Sequence[str] | None = None
+) -> tuple[DataFrame, str]:
+    """Dates rewritten as yyyy-MM-dd, and a log line.
+
+    If that leaves new nulls, all nulls take a neighbour's date. Typed columns
+    only change their form. Without ``formats`` all usual ones are read, day or
+    month first as fits the column. A column of which more would be lost than is
+    read stays as it is.
+    """
+    value = F.col(f"`{column}`")
+    done = f"Standardized date formatting in '{column}' to YYYY-MM-DD."
+    if is_typed_date(df, column):
+        return df.withColumn(column, F.date_format(value, "yyyy-MM-dd")), done
+    day = parse_date(F.trim(value.cast("string")), formats or formats_of(df, column), with_time=formats is None)
+    parsed = df.withColumn("_day", day)
+    found = parsed.agg(F.count("_day").alias("read"), F.count_if(F.col("_day").isNull() & value.isNotNull()).alias("lost")).first()
+    if found["lost"] > found["read"]:
+        return df, f"Left '{column}' as it is: only {found['read']} of {found['read'] + found['lost']} values are dates."
+    if found["lost"]:
         parsed = forward_then_backward(parsed, "_day", position)
-    return parsed.withColumn(column, F.date_format("_day", "yyyy-MM-dd")).select(*df.columns)
+    return parsed.withColumn(column, F.date_format("_day", "yyyy-MM-dd")).select(*df.columns), done
 
 
 def fill_values(df: DataFrame, fills: Sequence[Rule]) -> dict[str, object]:
@@ -180,7 +193,7 @@ def apply_rules(
     df: DataFrame,
     rules: Sequence[Rule],
     position: str,
-    formats: Sequence[str] = RECOVERING_FORMATS,
+    formats: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Apply the rules in order; unknown rules and columns are passed over.
 
@@ -188,6 +201,7 @@ def apply_rules(
     cleaned table and one log line per rule that did something.
     """
     logs: list[str] = []
+    df = nan_as_null(df)
     usable = [
         r
         for r in rules
@@ -211,8 +225,8 @@ def apply_rules(
                 logs += lines
         else:
             for rule in steps:
-                df = standardize_dates(df, rule.column, position, formats)
-                logs.append(f"Standardized date formatting in '{rule.column}' to YYYY-MM-DD.")
+                df, line = standardize_dates(df, rule.column, position, formats)
+                logs.append(line)
     return df, logs
 
 

@@ -26,7 +26,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, text, n); nulls are counted in the row with a NULL text."""
     columns = list(columns or df.columns)
-    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    fractional = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType)]
+    # Floats go the way their other statistics do, through double; 0.1 has one text then.
+    wide = {c: F.col(f"`{c}`").cast("double") if c in fractional else F.col(f"`{c}`") for c in columns}
+    texts = df.select(*[wide[c].cast("string").alias(c) for c in columns])
     return (
         texts.unpivot([], columns, "column", "text")
         .groupBy("column", "text")
@@ -34,6 +37,12 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN in fractional columns counts as missing everywhere."""
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in real else F.col(f"`{c}`") for c in df.columns])
+
+
 def numbers(frequencies: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value DOUBLE, n) of the numeric columns, nulls left out."""
     chosen = frequencies.filter(F.col("column").isin(list(columns)) & F.col("text").isNotNull())
@@ -119,9 +128,8 @@ def modes(
 
 
 def by_column(values: dict[str, object], column: Column | str = "column") -> Column:
-    """The value kept for the column named in each row (a short literal lookup)."""
+    """The value kept for the column named in each row: a literal map, which does not nest however wide the table."""
     column = F.col(column) if isinstance(column, str) else column
-    chosen = F.lit(None)
-    for name, value in values.items():
-        chosen = F.when(column == name, F.lit(value)).otherwise(chosen)
-    return chosen
+    if not values:
+        return F.lit(None)
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[column]

@@ -16,16 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlake.errors import NotEnoughData
-from ledgerlake.operators.frequencies import exact_quantiles, value_frequencies
-from ledgerlake.staging import spread, stage
+from ledgerlake.staging import stage
 
 TREES, SAMPLE = 100, 256
 CONTAMINATION = 0.02
 MEASURES = ["sales", "quantity", "discount", "profit"]
 _MIN_ROWS = 50
-# Candidates drawn per sampled row, so that every tree finds enough of them.
+# Candidates drawn per sampled row: a tree finds fewer than it needs with a chance of about e**-300.
 _MARGIN = 4
 _HASHES = 2**62
+# Equal parts of the range of scores that are counted to find a rank among them.
+_SCORE_BINS = 1 << 16
 
 
 def average_path(rows: np.ndarray | float) -> np.ndarray:
@@ -40,33 +41,52 @@ def _depth_limit(sample: int) -> int:
     return int(np.ceil(np.log2(max(sample, 2))))
 
 
-def tree_samples(df: DataFrame, key: str, rows: int, sample: int, seed: int) -> DataFrame:
-    """(tree, key, ...): for every tree its own random rows, without repeats.
+def tree_samples(df: DataFrame, key: str, rows: int, sample: int, seed: int, trees: int = TREES) -> DataFrame:
+    """(tree, key, ...): for every tree the ``sample`` rows with the lowest hash of key and tree.
 
-    In a large table each row is offered to one tree; in a small one to
-    several, so that all trees fill up. With no more rows than a sample holds,
-    every tree gets them all.
+    Hashes that cannot be among the lowest are left out before the rows are
+    ranked, so a few times the sample size is ranked per tree.
     """
-    if rows <= sample:
-        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    wanted = TREES * sample * _MARGIN
-    offers = min(TREES * _MARGIN, -(-wanted // rows))
-    kept = min(1.0, wanted / (rows * offers))
-    offered = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(offers))).alias("_offer"))
-    draw = F.pmod(F.xxhash64(key, "_offer", F.lit(seed)), F.lit(_HASHES))
-    tree = F.pmod(F.xxhash64("_offer", key, F.lit(seed + 1)), F.lit(TREES)).cast("int")
-    candidates = (
-        offered.withColumn("_draw", draw)
-        .filter(F.col("_draw") < int(kept * _HASHES))
-        .withColumn("tree", tree)
-        .groupBy("tree", *df.columns)
-        .agg(F.min("_draw").alias("_draw"))
-    )
-    # A few times the sample size per tree, whatever the table's size.
+    share = min(1.0, _MARGIN * sample / max(rows, 1))
+
+    def drawn(tree):
+        return F.struct(tree.alias("tree"), F.pmod(F.xxhash64(key, tree, F.lit(seed)), F.lit(_HASHES)).alias("_draw"))
+
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
+    low = F.filter(draws, lambda d: d["_draw"] <= F.lit(int(share * _HASHES)))
+    candidates = df.select("*", F.inline(low))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", key))
     return candidates.withColumn("_place", place).filter(F.col("_place") <= sample).drop("_place", "_draw")
 
 
+def low_quantile(scored: DataFrame, rows: int, share: float) -> float:
+    """Exact quantile of ``score`` (in -1 to 0) with linear interpolation.
+
+    Scores are counted in bins, which combine before they are shuffled; only the
+    bins that hold the two neighbouring ranks are looked at value by value.
+    """
+    at = share * (rows - 1)
+    ranks = (int(at), min(int(at) + 1, rows - 1))
+    place = F.least(F.floor((F.col("score") + 1) * _SCORE_BINS), F.lit(_SCORE_BINS - 1))
+    # At most _SCORE_BINS rows.
+    bins = scored.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    before, wanted = 0, {}
+    for b in bins:
+        for rank in ranks:
+            if before <= rank < before + b["n"]:
+                wanted[rank] = (b["bin"], rank - before)
+        before += b["n"]
+    values = {}
+    for bin_ in {b for b, _ in wanted.values()}:
+        counted = scored.filter(place == bin_).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("score"))
+        for rank, (own, inside) in wanted.items():
+            if own == bin_:
+                values[rank] = counted.withColumn("_upto", upto).filter(F.col("_upto") > inside).agg(F.min("score")).first()[0]
+    low, high = values[ranks[0]], values[ranks[1]]
+    return low + (high - low) * (at - ranks[0])
+
+
 def _grow(points: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
     """Nodes as (feature, split, left, right, path): feature -1 marks a leaf."""
     nodes: list[list] = []
@@ -139,33 +159,45 @@ def _scoring_form(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 @dataclass(frozen=True)
 class Anomalies:
-    scored: DataFrame
+    """``labelled``: facts with score and label; product names are joined where rows are shown."""
+
+    labelled: DataFrame
+    products: DataFrame
     total: int
 
+    @property
+    def scored(self) -> DataFrame:
+        return self._named(self.labelled)
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        named = rows.join(self.products.select("product_key", "product_name"), "product_key")
+        return named.select("fact_key", "order_id", "product_name", *MEASURES, "anomaly_label", "anomaly_score")
+
     def flagged(self) -> DataFrame:
-        return self.scored.filter("anomaly_label = -1")
+        return self._named(self.labelled.filter("anomaly_label = -1"))
 
     def samples(self, count: int = 100) -> DataFrame:
         return self.flagged().orderBy("fact_key").limit(count)
 
     def metrics(self) -> DataFrame:
         flagged = F.count_if(F.col("anomaly_label") == -1)
-        return self.scored.agg(
+        return self.labelled.agg(
             F.count(F.lit(1)).alias("total_transactions"),
             flagged.alias("anomaly_count"),
             F.round(flagged / F.count(F.lit(1)) * 100, 2).alias("anomaly_rate_pct"),
         )
 
 
-def isolation_scores(df: DataFrame, key: str, features: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
+def isolation_scores(
+    df: DataFrame, key: str, features: Sequence[str], rows: int, seed: int = 42, trees: int = TREES, sample: int = SAMPLE
+) -> DataFrame:
     """Adds ``score``, lower for stranger rows; missing measures count as 0."""
-    sample = min(SAMPLE, rows)
+    sample = min(sample, rows)
     measures = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
-    samples = tree_samples(df.select(key, *measures), key, rows, sample, seed)
-    # At most TREES * 2 * SAMPLE short rows.
+    samples = tree_samples(df.select(key, *measures), key, rows, sample, seed, trees)
+    # At most trees * 2 * sample short rows.
     nodes = grow_forest(samples, key, features, sample, seed).orderBy("tree", "node").toPandas()
-    trees = [_scoring_form(tree) for _, tree in nodes.groupby("tree")]
-    forest = df.sparkSession.sparkContext.broadcast(trees)
+    forest = df.sparkSession.sparkContext.broadcast([_scoring_form(tree) for _, tree in nodes.groupby("tree")])
     norm, depth = float(average_path(sample)), _depth_limit(sample)
 
     @F.pandas_udf("double")
@@ -177,19 +209,22 @@ def isolation_scores(df: DataFrame, key: str, features: Sequence[str], rows: int
     return df.withColumn("score", score(*measures))
 
 
-def detect_anomalies(facts: DataFrame, dim_products: DataFrame, seed: int = 42) -> Anomalies:
-    """Flags the strangest two percent of transaction lines."""
+def detect_anomalies(
+    facts: DataFrame,
+    dim_products: DataFrame,
+    seed: int = 42,
+    trees: int = TREES,
+    sample: int = SAMPLE,
+    contamination: float = CONTAMINATION,
+) -> Anomalies:
+    """Flags the strangest transaction lines, a share of ``contamination`` of all."""
     rows = facts.count()
     if rows < _MIN_ROWS:
-        raise NotEnoughData("Insufficient transactional data (at least 50 required) to run anomaly detection.")
-    lines = spread(facts.select("fact_key", "order_id", "product_key", *MEASURES))
-    scored = stage(isolation_scores(lines, "fact_key", MEASURES, rows, seed), "anomaly-scores")
-    counts = stage(value_frequencies(scored, ["score"]), "score-counts")
-    threshold = exact_quantiles(counts, ["score"], [CONTAMINATION])["score"][0]
-    labelled = (
-        scored.join(dim_products.select("product_key", "product_name"), "product_key")
-        .withColumn("anomaly_score", F.col("score") - F.lit(threshold))
-        .withColumn("anomaly_label", F.when(F.col("anomaly_score") < 0, -1).otherwise(1))
-        .select("fact_key", "order_id", "product_name", *MEASURES, "anomaly_label", "anomaly_score")
+        raise NotEnoughData(f"anomaly detection needs {_MIN_ROWS} transaction lines, there are {rows}")
+    lines = facts.select("fact_key", "order_id", "product_key", *MEASURES)
+    scored = stage(isolation_scores(lines, "fact_key", MEASURES, rows, seed, trees, sample), "anomaly-scores")
+    threshold = low_quantile(scored, rows, contamination)
+    labelled = scored.withColumn("anomaly_score", F.col("score") - F.lit(threshold)).withColumn(
+        "anomaly_label", F.when(F.col("anomaly_score") < 0, -1).otherwise(1)
     )
-    return Anomalies(labelled, rows)
+    return Anomalies(labelled.drop("score"), dim_products, rows)

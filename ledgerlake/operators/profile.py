@@ -17,6 +17,7 @@ from ledgerlake.errors import EmptyDataset
 from ledgerlake.operators.frequencies import (
     by_column,
     exact_quantiles,
+    nan_as_null,
     numbers,
     numeric_columns,
     value_frequencies,
@@ -93,6 +94,9 @@ class Profile:
 
     source: DataFrame
 
+    def __post_init__(self):
+        self.source = nan_as_null(self.source)
+
     @cached_property
     def frequencies(self) -> DataFrame:
         return stage(value_frequencies(self.source), "frequencies")
@@ -169,11 +173,17 @@ class Profile:
             )
         )
 
-    def histograms(self, include_max: bool = False) -> DataFrame:
+    def missing_cells_pct(self) -> DataFrame:
+        """One row: share of all cells that are missing, in percent."""
+        self.require_rows()
+        missing = F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0))
+        return self.frequencies.agg(F.round(missing / F.sum("n") * 100, 2).alias("missing_cells_pct"))
+
+    def histograms(self, include_max: bool = True) -> DataFrame:
         """(column, bin, bin_start, bin_end, count): ten equal bins, empty ones left out.
 
-        By default rows at the maximum fall just past the last bin and are not
-        shown; ``include_max`` counts them in the last bin.
+        Without ``include_max`` rows at the maximum fall just past the last bin
+        and are not shown.
         """
         low = by_column({c: e[0] for c, e in self._extent.items()}).cast("double")
         width = by_column(

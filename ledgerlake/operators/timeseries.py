@@ -139,13 +139,11 @@ def ridge(train: DataFrame, alpha: float = 1.0) -> tuple[dict[str, float], float
 def fit_sales_model(monthly: DataFrame) -> SalesModel:
     """``monthly`` holds (year, month, sales), one row per month with sales."""
     if monthly.count() < _MIN_MONTHS:
-        raise NotEnoughData("Insufficient historical data (at least 12 months required) to run sales forecast.")
+        raise NotEnoughData(f"a forecast needs {_MIN_MONTHS} months with sales")
     series = stage(continuous_months(monthly), "months")
     split = stage(ordered_split(lag_features(series)), "lags")
     if split.count() < _MIN_FEATURE_ROWS:
-        raise NotEnoughData(
-            "Insufficient data after building lag features (at least 18 months of history needed)."
-        )
+        raise NotEnoughData(f"a forecast needs {_MIN_FEATURE_ROWS} months that have all their lags")
     coefficients, intercept = ridge(split.filter("not is_test"))
     unscored = SalesModel(series, split, coefficients, intercept)
     scored = split.withColumn("prediction", unscored._predict({n: F.col(n) for n in FEATURES}))

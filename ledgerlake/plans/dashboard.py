@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlake.functions.values import period_label, short_name
-from ledgerlake.plans.schema import Warehouse
+from ledgerlake.plans.schema import TABLE_ROLES, Warehouse
 
 
 def totals_by(
@@ -147,14 +147,15 @@ def recent_months(w: Warehouse, count: int = 18) -> DataFrame:
 
 
 def summary(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
-    """(table_name, exists, row_count); a table that is not there counts zero rows."""
+    """(table_name, role, exists, row_count); a table that is not there counts zero rows."""
     parts = []
     for name, table in tables.items():
         if table is None:
             counted = spark.range(1).select(F.lit(0).cast("bigint").alias("row_count"))
         else:
             counted = table.agg(F.count(F.lit(1)).alias("row_count"))
-        parts.append(counted.select(F.lit(name).alias("table_name"), F.lit(table is not None).alias("exists"), "row_count"))
+        names = [F.lit(name).alias("table_name"), F.lit(TABLE_ROLES.get(name)).cast("string").alias("role")]
+        parts.append(counted.select(*names, F.lit(table is not None).alias("exists"), "row_count"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

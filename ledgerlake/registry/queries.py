@@ -11,7 +11,7 @@ from ledgerlake.functions.dates import RECOVERING_FORMATS, is_iso_date
 from ledgerlake.functions.names import normalise_headers
 from ledgerlake.operators import cleaning, classify, quality, timeseries
 from ledgerlake.operators.cleaning import Rule
-from ledgerlake.operators.profile import duplicate_rows
+from ledgerlake.operators.profile import Profile, duplicate_rows
 from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans import dashboard, insights, report, sqlstudio, warehouse
 from ledgerlake.registry.data import Folder, folder
@@ -45,7 +45,13 @@ def all_queries() -> dict[str, Query]:
 
 @query
 def dataset_listing(f: Folder) -> DataFrame:
-    return files.list_datasets(f.spark, f.csv)
+    """Rows of all listed files, and how many files with rows were not listed."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    lines = f.spark.read.text(f.csv).groupBy(name.alias("filename")).agg((F.count(F.lit(1)) - 1).alias("rows"))
+    listed = files.list_datasets(f.spark, f.csv).withColumn("listed", F.lit(1))
+    return lines.join(listed, "filename", "left").agg(
+        F.sum("rows").alias("rows"), F.count_if(F.col("listed").isNull() & (F.col("rows") > 0)).alias("unlisted")
+    )
 
 
 @query
@@ -86,12 +92,14 @@ def table_scan(f: Folder) -> DataFrame:
 
 @query
 def etl_run_steps(f: Folder) -> DataFrame:
-    return f.lake.audit.runs().select(F.col("status").alias("run_status"), F.inline("steps_completed"))
+    steps = f.lake.audit.runs().select(F.col("status").alias("run_status"), F.inline("steps_completed"))
+    return steps.select("run_status", "step", "status", F.get("logs", F.lit(0)).alias("first_line"))
 
 
 @query
 def cleaning_history(f: Folder) -> DataFrame:
-    return f.lake.audit.history("sales").select(F.inline("operations"), "applied_at").drop("parameters")
+    rules = f.lake.audit.history("sales").select(F.inline("operations"))
+    return rules.withColumn("method", F.col("parameters")["method"]).drop("parameters")
 
 
 @query
@@ -134,7 +142,7 @@ def dim_customers(f: Folder) -> DataFrame:
 
 @query
 def fact_sales(f: Folder) -> DataFrame:
-    return v.presentable(f.star.fact_sales.drop("fact_key"))
+    return v.presentable(f.star.fact_sales)
 
 
 def _loads(f: Folder) -> tuple[DataFrame, DataFrame]:
@@ -315,12 +323,13 @@ def outlier_profile(f: Folder) -> DataFrame:
 
 @query
 def histograms(f: Folder) -> DataFrame:
-    return f.profile.histograms()
+    """As the dashboard shows them: rows at the maximum are left out."""
+    return f.profile.histograms(include_max=False)
 
 
 @query
 def histograms_with_maximum(f: Folder) -> DataFrame:
-    return f.profile.histograms(include_max=True)
+    return f.profile.histograms()
 
 
 @query
@@ -344,6 +353,59 @@ def recovered_consistency(f: Folder) -> DataFrame:
     return quality.consistency(f.profile, RECOVERING_FORMATS)
 
 
+# Dates in other forms
+
+
+def _dated(f: Folder, order_date) -> DataFrame:
+    """Clean sales with dates in another form, standardised, and summed per day in the fact table."""
+    raw = f.clean.withColumn("order_date", order_date).withColumn(POSITION, F.monotonically_increasing_id())
+    rows, _ = cleaning.apply_rules(raw, [Rule("standardize_dates", "order_date")], POSITION)
+    facts = warehouse.facts(rows.drop(POSITION), f.star.dim_customers, f.star.dim_products, f.star.dim_geography)
+    return facts.groupBy("date_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))
+
+
+@query
+def us_dates(f: Folder) -> DataFrame:
+    return _dated(f, F.date_format(F.col("order_date").cast("date"), "M/d/yyyy"))
+
+
+@query
+def day_first_dates(f: Folder) -> DataFrame:
+    return _dated(f, F.date_format(F.col("order_date").cast("date"), "dd/MM/yyyy"))
+
+
+@query
+def datetime_texts(f: Folder) -> DataFrame:
+    by_seven = F.dayofmonth(F.col("order_date").cast("date")) % 7 == 0
+    return _dated(f, F.concat("order_date", F.when(by_seven, "T08:30:00Z").otherwise(" 00:00:00")))
+
+
+@query
+def typed_dates(f: Folder) -> DataFrame:
+    return _dated(f, F.col("order_date").cast("timestamp"))
+
+
+@query
+def sku_import(f: Folder) -> DataFrame:
+    """Codes that a cast would take for numbers stay text."""
+    path = new_path(f.spark, "skus")
+    f.star.dim_products.select(F.concat("product_id", F.lit("D")).alias("sku"), F.concat("product_id", F.lit(".5e1")).alias("n")).write.option("header", True).csv(path)
+    rows = files.read_delimited(f.spark, path)
+    kinds = [F.lit(dict(rows.dtypes)[c]).alias(f"{c}_type") for c in ("sku", "n")]
+    return rows.agg(*kinds, F.count(F.lit(1)).alias("rows"), F.max("sku").alias("last_sku"), F.sum("n").alias("total"))
+
+
+@query
+def float_profile(f: Folder) -> DataFrame:
+    """A FLOAT column with NaN: NaN is missing, and every value has its place in the histogram."""
+    lines = f.spark.read.parquet(f"{f.folder}/lineitem.parquet")
+    value = F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("l_discount")).cast("float")
+    profile = Profile(lines.select(value.alias("value")))
+    counted = profile.histograms().groupBy("column").agg(F.sum("count").alias("counted"))
+    summary = profile.null_counts().join(profile.numeric_summary(), "column").join(counted, "column")
+    return summary.select("null_count", "unique_count", "counted", F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"))
+
+
 # Cleaning
 
 
@@ -527,6 +589,28 @@ def anomaly_metrics(f: Folder) -> DataFrame:
     return f.anomalies.metrics()
 
 
+@query
+def anomaly_checks(f: Folder) -> DataFrame:
+    """All facts are scored once; labels follow the scores; about two in a hundred are flagged."""
+    odd = F.col("anomaly_label") == -1
+    return f.anomalies.scored.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.countDistinct("fact_key").alias("facts"),
+        F.every(odd == (F.col("anomaly_score") < 0)).alias("labels_agree"),
+        (F.count_if(odd) <= F.count(F.lit(1)) * 0.02 + 1).alias("few_flagged"),
+    )
+
+
+@query
+def customer_scores(f: Folder) -> DataFrame:
+    """Every customer with sales is scored."""
+    p = F.col("high_value_probability")
+    return f.customer_model.scored.select(
+        "customer_key", "customer_tier", "is_high_value", p.between(0, 1).alias("is_share"),
+        ((p > 0.5) == (F.col("predicted_high_value") == 1)).alias("agrees"),
+    )
+
+
 @query
 def anomaly_samples(f: Folder) -> DataFrame:
     return v.presentable(f.anomalies.samples())

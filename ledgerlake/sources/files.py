@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from ledgerlake.errors import EmptyDataset, ImportFailed
 from ledgerlake.functions.names import normalise_headers, table_name
 from ledgerlake.functions.dates import RECOVERING_FORMATS, parse_date
 from ledgerlake.sources.inference import as_type, infer_types, present
 from ledgerlake.sources.workbook import POSITION, read_workbook
-from ledgerlake.staging import spread, stage
+from ledgerlake.staging import stage
 
 DATASET_FILES = "*.{csv,xlsx,xls}"
+_BAD_ROW = "_bad_row"
 
 
 def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +45,13 @@ def read_delimited(
 ) -> DataFrame:
     """A file with a header line. A given schema saves the pass that finds the types.
 
-    ``multiline`` allows line breaks inside quotes, at the price of reading each
-    file in one task.
+    Line breaks inside quotes are found and read; that, or ``multiline``, costs
+    that each file is read in one task. Rows with more cells than the header,
+    and cells that do not fit a given schema, raise ``ImportFailed``.
     """
+    if not multiline:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
     reader = (
         spark.read.option("header", True)
         .option("sep", delimiter or sniff_delimiter(spark, path))
@@ -54,18 +59,34 @@ def read_delimited(
         .option("escape", '"')
         .option("multiLine", multiline)
     )
+    names = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns]) if schema is None else schema
+    _refuse_bad_rows(reader, path, names, any_misfit=schema is not None)
+    raw = reader.schema(names).csv(path)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.csv(path)
+        return raw
     texts = raw.select(*[present(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     types = infer_types(texts)
     return texts.select(*[as_type(F.col(f"`{c}`"), t).alias(c) for c, t in types.items()])
 
 
+def _refuse_bad_rows(reader: DataFrameReader, path: str, schema: T.StructType, any_misfit: bool) -> None:
+    """Rows that do not fit; of plain texts only those with cells to spare (short rows end in nulls)."""
+    marked = T.StructType([*schema.fields, T.StructField(_BAD_ROW, T.StringType())])
+    rows = reader.option("columnNameOfCorruptRecord", _BAD_ROW).schema(marked).csv(path)
+    bad = F.col(_BAD_ROW).isNotNull()
+    if not any_misfit:
+        bad = bad & F.col(f"`{schema.names[-1]}`").isNotNull()
+    # Every column is asked for, or the reader would not look at all cells.
+    some = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in schema.names], F.col(_BAD_ROW))
+    found = rows.agg(F.count_if(bad).alias("n"), F.min(F.when(bad, F.col(_BAD_ROW))).alias("first"), F.count(some)).first()
+    if found["n"]:
+        raise ImportFailed(f"{found['n']} rows do not fit the columns, such as: {found['first']}")
+
+
 def schema_report(df: DataFrame) -> DataFrame:
     """(column, type): INTEGER, FLOAT, BOOLEAN, TIMESTAMP or TEXT, for information only.
 
-    A text column is called TIMESTAMP when its first ten values all parse.
+    A text column is called TIMESTAMP when all its values parse.
     """
     data = df.drop(POSITION)
 
@@ -78,18 +99,21 @@ def schema_report(df: DataFrame) -> DataFrame:
             return "BOOLEAN"
         return "TIMESTAMP" if isinstance(f.dataType, T.DatetimeType) else "TEXT"
 
-    rows = []
-    for place, field in enumerate(data.schema.fields):
+    fields = data.schema.fields
+    facts = []
+    for field in fields:
         column = F.col(f"`{field.name}`")
-        label = kind(field)
-        parsed = F.lit(None)
-        if label == "TEXT":
-            parsed = F.coalesce(parse_date(column, RECOVERING_FORMATS), column.try_cast("date"))
-        first_ten = data.filter(column.isNotNull()).select(parsed.isNotNull().alias("is_date")).limit(10)
-        seen = [r["is_date"] for r in first_ten.collect()]
-        if not seen:
-            label = "TEXT"
-        elif label == "TEXT" and all(seen):
+        dates = F.lit(None)
+        if kind(field) == "TEXT":
+            dates = parse_date(column, RECOVERING_FORMATS, with_time=True)
+            dates = F.coalesce(dates, *[parse_date(column, [f], with_time=True) for f in ("M/d/yyyy", "d/M/yyyy")])
+        facts.append(F.struct(F.count(column).alias("values"), F.count(dates).alias("dates")))
+    # One pass and one row for all columns.
+    found = data.agg(*[fact.alias(f"c{i}") for i, fact in enumerate(facts)]).first() if fields else []
+    rows = []
+    for place, (field, fact) in enumerate(zip(fields, found)):
+        label = kind(field) if fact["values"] else "TEXT"
+        if label == "TEXT" and fact["values"] and fact["dates"] == fact["values"]:
             label = "TIMESTAMP"
         rows.append((place, field.name, label))
     return df.sparkSession.createDataFrame(rows, "ord int, column string, type string")
@@ -104,7 +128,13 @@ class Imported:
     schema: DataFrame
 
 
-def import_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Imported:
+def import_file(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    delimiter: str | None = None,
+    multiline: bool = False,
+) -> Imported:
     """Load one file as a raw table with normalised headers and a row position."""
     filename = path.rstrip("/").split("/")[-1]
     if filename.endswith(".xls"):
@@ -113,14 +143,14 @@ def import_file(spark: SparkSession, path: str, schema: T.StructType | None = No
         if filename.endswith(".xlsx"):
             loaded = read_workbook(spark, path)
         else:
-            loaded = read_delimited(spark, path, schema)
-    except EmptyDataset:
+            loaded = read_delimited(spark, path, schema, delimiter, multiline)
+    except (EmptyDataset, ImportFailed):
         raise
     except Exception as problem:
         raise ImportFailed(f"could not read '{filename}': {problem}") from problem
     if POSITION not in loaded.columns:
         # The splits of one file are read in file order.
-        loaded = spread(loaded.withColumn(POSITION, F.monotonically_increasing_id()))
+        loaded = loaded.withColumn(POSITION, F.monotonically_increasing_id())
     rows = stage(normalise_headers(loaded), "import")
     count = rows.count()
     if not count:

@@ -10,6 +10,9 @@ MISSING_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# A cast to double alone would also take suffixes, so that "12D" became a number.
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
 _TRUTH_TEXTS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
 
@@ -31,7 +34,7 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
                 F.count(text).alias("values"),
                 F.count_if(text.isNull()).alias("gaps"),
                 F.every(text.rlike(r"^\s*[+-]?\d+\s*$") & text.try_cast("bigint").isNotNull()).alias("whole"),
-                F.every(text.try_cast("double").isNotNull() | text.isNull()).alias("number"),
+                F.every((text.rlike(_NUMBER) & text.try_cast("double").isNotNull()) | text.isNull()).alias("number"),
                 F.every(text.isin(_TRUTH_TEXTS)).alias("truth"),
             ).alias(name)
         )

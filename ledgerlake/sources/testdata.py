@@ -8,7 +8,6 @@ from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans.schema import SALES_COLUMNS
 from ledgerlake.sources.dirt import inject_dirt
 from ledgerlake.sources.workbook import POSITION
-from ledgerlake.staging import spread
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -24,7 +23,7 @@ def sales_rows(spark: SparkSession, folder: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     lines = (
-        spread(table("lineitem"))
+        table("lineitem")
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerlake.errors import EmptyDataset
+from ledgerlake.errors import EmptyDataset, ImportFailed
 from ledgerlake.sources.inference import as_type, infer_types, present
 from ledgerlake.staging import stage
 
@@ -117,6 +117,23 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_parse, _ROW_SCHEMA)
 
 
+def header_names(cells: dict[int, str], widest: int) -> list[str]:
+    """A name for every column up to the widest row: repeats are numbered, blank headers named by place."""
+    names: list[str] = []
+    for place in range(widest + 1):
+        base = name = cells.get(place) or f"Unnamed: {place}"
+        number = 0
+        while name in names:
+            number += 1
+            name = f"{base}.{number}"
+        names.append(name)
+    return names
+
+
+def _shown(cells: dict[int, str]) -> str:
+    return "{" + ", ".join(f"{k} -> {v}" for k, v in sorted(cells.items())) + "}"
+
+
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     """Workbooks with the same header row, as one table typed by its values.
 
@@ -127,12 +144,17 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     headers = cells.groupBy("file").agg(F.min("row").alias("_header"))
     headers = headers.withColumn("_book", F.row_number().over(Window.orderBy("file")) - 1)
     located = cells.join(headers, "file")
-    header = located.filter("row = _header and _book = 0").select("cells").first()
+    top = located.filter("row = _header")
+    header = top.filter("_book = 0").select("cells").first()
     if header is None:
         raise EmptyDataset("the workbook holds no rows")
-    names = {name: i for i, name in sorted(header["cells"].items())}
+    other = top.filter(F.map_from_entries(F.array_sort(F.map_entries("cells"))).cast("string") != _shown(header["cells"]))
+    if (odd := other.select("file").first()) is not None:
+        raise ImportFailed(f"the header row of {odd['file']} differs from that of the first workbook")
+    widest = located.agg(F.max(F.array_max(F.map_keys("cells")))).first()[0]
+    names = header_names(header["cells"], widest)
     texts = located.filter("row > _header").select(
-        *[present(F.col("cells")[i]).alias(name) for name, i in names.items()],
+        *[present(F.col("cells")[i]).alias(name) for i, name in enumerate(names)],
         (F.shiftleft(F.col("_book").cast("bigint"), _SHEET_BITS) + F.col("row")).alias(POSITION),
     )
     types = infer_types(texts.drop(POSITION))

@@ -43,12 +43,3 @@ def stage_at(df: DataFrame, path: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh path and return the table read back."""
     return stage_at(df, new_path(df.sparkSession, label))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A table read in fewer pieces than there are cores, dealt out to all of them.
-
-    Only small tables are: beyond one split per core a scan is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

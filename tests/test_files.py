@@ -119,3 +119,21 @@ def test_export(spark, tmp_path):
     part = next(p for p in os.listdir(path) if p.endswith(".csv"))
     with open(os.path.join(path, part), encoding="utf-8") as text:
         assert text.read().splitlines() == ['"a","b","c"', '"say \\"hi\\"","1.5","null"']
+
+
+def test_rows_with_cells_to_spare_are_refused(spark, tmp_path):
+    with pytest.raises(ImportFailed, match="3,4,5"):
+        files.import_file(spark, write(tmp_path, "spare.csv", "a,b\n1,2\n3,4,5\n"))
+    short = files.read_delimited(spark, write(tmp_path, "short.csv", "a,b\n1,2\n3\n"))
+    assert [tuple(r) for r in short.collect()] == [(1, 2.0), (3, None)]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    rows = files.read_delimited(spark, write(tmp_path, "q.csv", 'a,b\n1,"two\nlines"\n2,x\n'))
+    assert [tuple(r) for r in rows.collect()] == [(1, "two\nlines"), (2, "x")]
+
+
+def test_header_names():
+    from ledgerlake.sources.workbook import header_names
+
+    assert header_names({0: "a", 2: "a", 3: "b"}, 4) == ["a", "Unnamed: 1", "a.1", "b", "Unnamed: 4"]

@@ -97,7 +97,7 @@ def test_missing_columns(spark):
 
 
 def test_summary_of_missing_tables(spark):
-    rows = dashboard.summary(spark, {"fact_sales": None}).collect()
+    rows = dashboard.summary(spark, {"fact_sales": None}).drop("role").collect()
     assert [tuple(r) for r in rows] == [("fact_sales", False, 0)]
 
 
@@ -186,3 +186,57 @@ def test_sql(spark):
 def test_refused_sql(spark, text):
     with pytest.raises(QueryRefused):
         sqlstudio.answer(spark, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "select `reflect`('java.lang.Math', 'abs', -5)",
+        "select reflect/**/('java.lang.Math', 'abs', -5)",
+        "select * from text.`/etc/hostname`",
+        "select * from default.other",
+        "with a as (select 1 x) select * from b",
+        "select (select max(value) from text.`/etc/hostname`)",
+        "select * from warehouse.dim_time where exists (select 1 from csv.`/tmp/x`)",
+        "select * from identifier('text.`/etc/hostname`')",
+        "select transform(a) using 'cat' from warehouse.dim_time",
+    ],
+)
+def test_sql_gate_refuses(spark, text):
+    with pytest.raises(QueryRefused):
+        sqlstudio.query(spark, text)
+
+
+def test_sql_gate_reads_the_query_not_its_words(spark):
+    rows = sqlstudio.answer(spark, "select 'reflect(x)' as a from range(5)", limit=3)
+    assert rows.row_count == 3 and rows.cut and rows.rows[0] == {"a": "reflect(x)"}
+    assert not sqlstudio.answer(spark, "with r as (select id from range(3)) select * from r").cut
+
+
+def test_anomalies_do_not_depend_on_partitions(spark):
+    from ledgerlake.operators.isolation import detect_anomalies
+
+    rows = spark.range(700).selectExpr(
+        "id AS fact_key", "string(id % 90) AS order_id", "id % 7 AS product_key", "double(hash(id) % 1000) AS sales",
+        "int(id % 9) AS quantity", "double(id % 5) / 10 AS discount", "double(hash(id, 1) % 300) AS profit",
+    )
+    products = spark.range(7).selectExpr("id AS product_key", "string(id) AS product_name")
+    flagged = [
+        sorted(r["fact_key"] for r in detect_anomalies(rows.repartition(n), products, trees=20).flagged().collect()) for n in (3, 5)
+    ]
+    assert flagged[0] == flagged[1] and len(flagged[0]) == 14
+
+
+@pytest.mark.parametrize("rows", [257, 262, 268, 1500])
+def test_every_tree_gets_its_whole_sample(spark, rows):
+    from ledgerlake.operators.isolation import tree_samples
+
+    table = spark.range(rows).withColumnRenamed("id", "k")
+    sizes = [r["count"] for r in tree_samples(table, "k", rows, 256, 42).groupBy("tree").count().collect()]
+    assert sizes == [256] * 100
+
+
+def test_report_without_models(spark):
+    w = warehouse.build_warehouse(sales(spark, {}, {"sales": 5.0, "order_date": "2024-02-01"}))
+    rows = insights.insights_for(spark, w).collect()
+    assert any("too short" in r["text"] for r in rows)
