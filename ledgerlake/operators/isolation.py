@@ -203,7 +203,9 @@ def isolation_scores(
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            # A single column comes without a tuple around it.
+            each = columns if isinstance(columns, tuple) else (columns,)
+            points = np.column_stack([c.to_numpy(dtype=float) for c in each])
             yield pd.Series(strangeness(points, forest.value, depth, norm))
 
     return df.withColumn("score", score(*measures))
