@@ -28,14 +28,22 @@ def _small_star(links: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
 
 
+def _canonical(links: DataFrame) -> DataFrame:
+    return links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def contract(links: DataFrame) -> DataFrame:
+    """One pair of steps: links (a > b) that connect the same nodes, nearer to stars."""
+    return written(_small_star(_large_star(_canonical(links))), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, least) for every node in a link of (a, b); nodes that are least themselves are left out."""
-    edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links")
+    edges = written(_canonical(links), "links")
     state = None
     while True:
         seen = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == state or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
         state = seen
-        edges = written(_small_star(_large_star(edges)), "links")
+        edges = contract(edges)

@@ -7,18 +7,19 @@
    ``matches`` coordinates share one of the first ``size - matches + 1``, so the
    others are skipped. What is common, as a passage that many documents share,
    is skipped first.
-3. Posting lists are worked off in rounds. In a round every list has one hub, and
-   its sets meet only that; of the hubs a set meets, the one with most
-   collisions is tried. Pairs under the match threshold are dropped, the others
-   confirmed on the full sets. Sets that are linked by now need no more tests
-   among each other, so a group of thousands of near copies costs a pair per
-   member, not per pair.
-4. A last pass takes all pairs left that share a posting and are not linked yet.
-   Nothing is capped: every pair over the match threshold is either confirmed,
-   refuted, or known to be in one component.
-
-At a similarity of 0.85 and more, 32 coordinates agree in fewer than 14 places
-with a chance of about one in a hundred million.
+3. Posting lists are worked off in rounds. In a round every list has one hub (at
+   first the set with most collisions), and its sets meet only that; of the hubs
+   a set meets, the one with most collisions is tried. Pairs under the match
+   threshold are dropped, the others confirmed on the full sets. Sets that are
+   linked by now need no more tests among each other, so a group of thousands of
+   near copies costs a pair per member, not per pair.
+4. A last pass takes all pairs that are not linked yet and may still reach both
+   thresholds, which the order of their shingles by frequency tells exactly.
+   Nothing is capped: every pair over the match threshold is confirmed, refuted,
+   ruled out by that bound, or known to be in one component.
+
+``match_threshold`` sets the matches so that a pair at the similarity asked for
+has fewer with a chance of about one in fifty million: 14 of 32 at 0.85.
 
 Defined results: a null text counts as empty; a text without words is linked
 with nothing; fewer words than a shingle has are one shingle; component_id is
@@ -31,12 +32,13 @@ an empty table gives an empty result; other columns are ignored by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlake.llm.components import components
+from ledgerlake.llm.components import components, contract
 from ledgerlake.llm.shingles import Shingler, Signer, texts_in_chunks
 from ledgerlake.llm.sketch import passes_sketch
 from ledgerlake.llm.tables import named, text_of, whole_row, written
@@ -45,12 +47,24 @@ SHINGLE_WORDS = 3
 #: Linked when 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 COORDINATES = 32
-MATCHES = 14
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Chance with which a pair at the very threshold may agree in too few coordinates.
+MISSED = 2e-8
 
 _SIGNED = "row long, doc_id long, t1 long, n long, f1 long, f2 long, coords array<int>"
 
 
+def match_threshold(similarity: int, size: int = COORDINATES, missed: float = MISSED) -> int:
+    """Most matches that a pair of this similarity reaches but with a chance of ``missed``."""
+    p, below, matches = similarity / 100, 0.0, 0
+    while matches < size:
+        below += comb(size, matches) * p**matches * (1 - p) ** (size - matches)
+        if below > missed:
+            break
+        matches += 1
+    return max(matches, 1)
+
+
 def _signer(words: int, size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(words), Signer(size)
@@ -104,23 +118,32 @@ def _near_size(a: Column, b: Column, similarity: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
 
-def postings(sets: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(token, set_id, n): each set under its rarest shared (coordinate, value) pairs, as many as the threshold needs."""
+def postings(sets: DataFrame, matches: int) -> DataFrame:
+    """(token, set_id, n, central, lead): each set under the (coordinate, value) pairs that others post, too.
+
+    ``lead`` marks its rarest pairs, as many as the threshold needs to find all
+    partners. ``central`` counts the set's collisions with all others.
+    """
     coordinate = F.posexplode("coords").alias("c", "v")
     tokens = sets.select("set_id", "n", coordinate).select(
         "set_id", "n", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     # Pairs that only one set posts are the rarest: they take the first places and need no list.
-    ranked = tokens.join(shared, "token").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("ranked"))
-    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - (matches - 1))
-    return ranked.filter(F.size("ranked") >= matches).select(F.explode(prefix).alias("r"), "set_id", "n").select("r.token", "set_id", "n")
+    ranked = tokens.join(shared, "token").groupBy("set_id", "n").agg(
+        F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("ranked"), F.sum("sets").alias("central")
+    )
+    enough = ranked.filter(F.size("ranked") >= matches).withColumn("leads", F.size("ranked") - (matches - 1))
+    posted = enough.select(F.posexplode("ranked").alias("at", "r"), "set_id", "n", "central", "leads")
+    return posted.select("r.token", "set_id", "n", "central", (F.col("at") < F.col("leads")).alias("lead"))
 
 
-def _labelled(posts: DataFrame, stars: DataFrame | None) -> DataFrame:
-    if stars is None:
+def _labelled(posts: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Adds ``comp``: what a set is known to be linked with, as far as ``edges`` (a > b) show it."""
+    if edges is None:
         return posts.withColumn("comp", F.col("set_id"))
-    return posts.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("least", "set_id")).drop("least")
+    least = edges.groupBy(F.col("a").alias("set_id")).agg(F.min("b").alias("least"))
+    return posts.join(least, "set_id", "left").withColumn("comp", F.coalesce("least", "set_id")).drop("least")
 
 
 def _collisions(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -132,45 +155,108 @@ def _collisions(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", same.alias("same"))
 
 
+def _open_lists(rows: DataFrame, *hub: Column) -> DataFrame:
+    """Lists that still hold sets not known to be linked."""
+    lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *hub)
+    return lists.filter("lo < hi").drop("lo", "hi")
+
+
+def _hub_pairs(rows: DataFrame, step: int, similarity: int) -> DataFrame:
+    """(a, b): sets and their lists' hubs; first the set with most collisions is hub, then one by lot."""
+    draw = -F.col("central") if step == 0 else F.xxhash64("set_id", F.lit(step))
+    own = F.struct(draw.alias("draw"), F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+    lists = _open_lists(rows, F.min(own).alias("hub")).select("token", "hub.*")
+    met = rows.join(lists, "token").filter(F.col("comp") != F.col("hub_comp")).filter(_near_size(F.col("n"), F.col("hub_n"), similarity))
+    return met.select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _shingles_of(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            number = 0
+            for data, ends in texts_in_chunks(batch.column(1)):
+                found = list(shingler.sets(data, ends))
+                owner = np.repeat(batch.column(0).to_numpy()[number : number + len(found)], [len(x) for x in found])
+                number += len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], ["set_id", "shingle"])
+
+    return run
+
+
+def _remaining_pairs(rows: DataFrame, texts: DataFrame, words: int, similarity: int, matches: int) -> DataFrame:
+    """(a, b): all pairs that may reach both thresholds and are not known to be linked.
+
+    Only sets that post enough pairs together with sets of other components can
+    have a partner. Of these the shingles are ordered, rarest first; similar
+    sets share one of their first shingles, and where the first shared one
+    stands (after ``at`` of n others) bounds what they share: at most
+    m = min(n - at, n' - at'), so that their similarity is at most
+    m / (n + n' - m). For either set that bounds the partner's size, so sets
+    meet only in bands of admissible sizes.
+    """
+    among = rows.join(_open_lists(rows), "token", "left_semi").groupBy("set_id", "n", "comp")
+    open_sets = written(among.agg(F.count(F.lit(1)).alias("open")).filter(F.col("open") >= matches).drop("open"), "near-open")
+    own = texts.join(open_sets.select("set_id"), "set_id").select("set_id", "text")
+    shingles = written(own.mapInArrow(_shingles_of(words), "set_id long, shingle long"), "near-shingles")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    rarest = Window.partitionBy("set_id").orderBy("sets", "shingle")
+    first = shingles.join(shared, "shingle").withColumn("at", F.row_number().over(rarest) - 1).join(open_sets, "set_id")
+    first = first.filter(f"sets > 1 AND at <= n - (n * {similarity} + 99) div 100").select("set_id", "shingle", "at", "n", "comp")
+    share = similarity / (100 + similarity)
+    band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(np.log(1.02)))
+    least, most = F.col("n") * similarity / 100, F.least(F.col("n") * 100 / similarity, (F.col("n") - F.col("at")) / share - F.col("n"))
+    left = written(first.withColumns({"least": least, "most": most}).filter("most >= least - 1"), "near-first")
+    wide = left.withColumn("band", F.explode(F.sequence(band(F.col("least") - 1), band(F.col("most") + 1))))
+    right = left.select(
+        "shingle",
+        band(F.col("n").cast("double")).alias("band"),
+        F.col("set_id").alias("b"),
+        F.col("n").alias("n2"),
+        F.col("at").alias("at2"),
+        F.col("comp").alias("comp2"),
+    )
+    most_shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    possible = most_shared * 100 >= (F.col("n") + F.col("n2") - most_shared) * similarity
+    met = wide.join(right, ["shingle", "band"]).filter((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & possible)
+    return met.select(F.col("set_id").alias("a"), "b").distinct()
+
+
 def link_sets(
     sets: DataFrame, texts: DataFrame, posts: DataFrame, words: int, similarity: int, matches: int, rounds: int
 ) -> DataFrame | None:
     """(node, least) of linked sets; ``texts`` has (set_id, text) of all sets with postings."""
-    stars = links = tested = None
-    for step in range(rounds + 1):
-        rows = written(_labelled(posts, stars), "near-posts")
-        own = F.struct(F.xxhash64("set_id", F.lit(step)).alias("draw"), F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(own).alias("hub"))
-        lists = lists.filter("lo < hi").select("token", "hub.*")
-        if step < rounds:
-            met = rows.join(lists, "token").filter(F.col("comp") != F.col("hub_comp")).filter(_near_size(F.col("n"), F.col("hub_n"), similarity))
-            met = met.select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
-        else:
-            open_rows = rows.join(lists.select("token"), "token", "left_semi")
-            other = open_rows.select("token", F.col("set_id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
-            met = open_rows.join(other, "token").filter((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("bcomp")))
-            met = met.filter(_near_size(F.col("n"), F.col("bn"), similarity)).select(F.col("set_id").alias("a"), "b")
-        pairs = met.distinct()
-        if tested is not None:
-            either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(either, ["a", "b"], "left_anti")
-        found = _collisions(pairs, sets).filter(F.col("same") >= matches)
-        if step < rounds:
-            found = found.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
-        pairs = written(found.select("a", "b"), "near-pairs")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = both.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(words, similarity), "a long, b long")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        if tested is None:
+            return pairs
+        either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(either, ["a", "b"], "left_anti")
+
+    edges = tested = None
+    for step in range(rounds):
+        rows = written(_labelled(posts, edges), "near-posts")
+        found = _collisions(untested(_hub_pairs(rows.filter("lead"), step, similarity)), sets).filter(F.col("same") >= matches)
+        pairs = written(found.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "near-pairs")
         if pairs.isEmpty():
-            if step == rounds:
-                break
             continue
         tested = pairs if tested is None else written(tested.unionByName(pairs), "near-tested")
-        both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
-        new = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(words, similarity), "a long, b long")
-        if stars is not None:
-            new = new.unionByName(stars.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        links = written(new, "near-links")
-        stars = written(components(links), "near-stars")
-    return stars
+        new = written(confirmed(pairs), "near-links")
+        edges = contract(new if edges is None else edges.unionByName(new))
+    if edges is not None:
+        edges = components(edges).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    rows = written(_labelled(posts, edges), "near-posts")
+    left = untested(_remaining_pairs(rows, texts, words, similarity, matches))
+    pairs = written(_collisions(left, sets).filter(F.col("same") >= matches).select("a", "b"), "near-pairs")
+    if not pairs.isEmpty():
+        new = written(confirmed(pairs), "near-links")
+        edges = components(new if edges is None else edges.unionByName(new)).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return None if edges is None else edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 
 def _clustered(
@@ -180,10 +266,10 @@ def _clustered(
     words: int = SHINGLE_WORDS,
     similarity: int = SIMILARITY,
     size: int = COORDINATES,
-    matches: int = MATCHES,
     rounds: int = HUB_ROUNDS,
 ) -> DataFrame:
     """doc_id, t1 (hash of the text), n_shingles, component_id, kept."""
+    matches = match_threshold(similarity, size)
     plain = docs.select(named(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("t1", F.xxhash64("text"))
     ordered = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t1", "text")
     signed = written(ordered.mapInArrow(_signer(words, size), _SIGNED), "near-signed")
