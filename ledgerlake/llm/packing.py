@@ -65,59 +65,55 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndar
 
 def best_cuts(lanes: list[tuple[np.ndarray, np.ndarray]], room: int = ROOM) -> list[np.ndarray]:
     """Least-cost cut places of every lane, from its candidate places and their costs."""
-    n = len(lanes)
-    steps = max(len(places) for places, _ in lanes)
+    # Lanes by length, so that those still running are always the first ones.
+    order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i][0]))
+    running = np.array([len(lanes[i][0]) for i in order])
+    n, steps = len(lanes), int(running[0])
     far = np.iinfo(np.int64).max // 4
     x = np.full((steps, n), far, np.int64)
     cut = np.zeros((steps, n), np.int64)
-    powers = [p for p in (1 << k for k in range(room.bit_length())) if p <= room]
-    jump = np.full((len(powers), steps, n), -1, np.int32)
-    for lane, (places, cost) in enumerate(lanes):
-        x[: len(places), lane], cut[: len(places), lane] = places, cost
-        for k, p in enumerate(powers):
-            at = np.searchsorted(places, places - p)
-            hit = (places >= p) & (places[np.minimum(at, len(places) - 1)] == places - p)
-            jump[k, : len(places), lane] = np.where(hit, at, -1)
-    f = np.full((steps, n), far, np.int64)
+    powers = 1 << np.arange(room.bit_length())
+    powers = powers[powers <= room]
+    # Step before by a power of two, or the row behind the last, which stands for none.
+    jump = np.full((steps, len(powers), n), steps, np.int32)
+    for column, lane in enumerate(order):
+        places, cost = lanes[lane]
+        x[: len(places), column], cut[: len(places), column] = places, cost
+        back = places[:, None] - powers
+        at = np.searchsorted(places, back)
+        hit = (back >= 0) & (places[np.minimum(at, len(places) - 1)] == back)
+        jump[: len(places), :, column] = np.where(hit, at, steps)
+    f = np.full((steps + 1, n), far, np.int64)
     f[0] = 0
     came = np.zeros((steps, n), np.int32)
-    queue = np.zeros((steps, n), np.int32)  # places by rising f + x, of which the first in reach is the least
+    queue = np.zeros((steps, n), np.int32)  # steps by rising f + x; the first in reach is the least
     keys = np.zeros((steps, n), np.int64)
     head, tail = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    column = np.arange(n)
-    lengths = np.array([len(places) for places, _ in lanes])
+    columns = np.arange(n)
     for j in range(1, steps):
-        live = column[lengths > j]
-        key = f[j - 1, live] + x[j - 1, live]
-        h, t = head[live], tail[live]
-        while True:
-            worse = (t > h) & (keys[np.maximum(t - 1, 0), live] >= key)
-            if not worse.any():
-                break
-            t = t - worse
-        keys[t, live], queue[t, live] = key, j - 1
-        t = t + 1
-        here = x[j, live]
-        while True:
-            out = x[queue[h, live], live] < here - room
-            if not out.any():
-                break
-            h = h + out
-        best, source = keys[h, live] + room - here, queue[h, live]
-        for k in range(len(powers)):
-            back = jump[k, j, live]
-            offer = np.where(back >= 0, f[back, live], far)
-            better = offer < best
-            best, source = np.where(better, offer, best), np.where(better, back, source)
-        f[j, live], came[j, live] = best + cut[j, live], source
-        head[live], tail[live] = h, t
-    found = []
-    for lane, (places, _) in enumerate(lanes):
-        path, j = [], len(places) - 1
+        k = int(np.searchsorted(-running, -j))  # lanes longer than j
+        own, h, t = columns[:k], head[:k], tail[:k]
+        key, here = f[j - 1, :k] + x[j - 1, :k], x[j, :k]
+        while (worse := (t > h) & (keys[np.maximum(t - 1, 0), own] >= key)).any():
+            t -= worse
+        keys[t, own], queue[t, own] = key, j - 1
+        t += 1
+        while (out := x[queue[h, own], own] < here - room).any():
+            h += out
+        back = jump[j, :, :k]
+        offers = f[back, own]
+        least = offers.argmin(axis=0)
+        offer, padded = offers[least, own], keys[h, own] + room - here
+        better = offer < padded
+        f[j, :k] = np.where(better, offer, padded) + cut[j, :k]
+        came[j, :k] = np.where(better, back[least, own], queue[h, own])
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    for column, lane in enumerate(order):
+        places, path, j = lanes[lane][0], [], len(lanes[lane][0]) - 1
         while j > 0:
             path.append(j)
-            j = int(came[j, lane])
-        found.append(places[path[::-1]])
+            j = int(came[j, column])
+        found[lane] = places[path[::-1]]
     return found
 
 

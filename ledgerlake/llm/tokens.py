@@ -10,7 +10,6 @@ whole. Tests hold the ids against those of the tokenizer file itself.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,52 +25,61 @@ def load_encoding(path: str, pattern: str):
 
 
 class _Pieces(dict):
-    """Index of a piece's ids; a new piece is encoded when it is first asked for."""
+    """Number of a piece; pieces asked for the first time are noted as ``new``."""
 
-    def __init__(self, add, lead: str):
+    def __init__(self):
         super().__init__()
-        self._add, self._lead = add, lead
+        self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = index = self._add(self._lead + piece, piece)
-        return index
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
 
 
 class TextEncoder:
     def __init__(self, encoding, most_pieces: int = 2_000_000):
         """``most_pieces`` bounds the memory for known pieces; beyond it they are forgotten and learnt anew."""
         self._encode = encoding.encode_ordinary
+        self._widths = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.max_token_value + 1)])
         self._most = most_pieces
         self._forget()
 
     def _forget(self) -> None:
-        self._ids, self._ends, self._unsafe = array("I"), array("q", [0]), bytearray()
-        self._first, self._rest = _Pieces(self._add, ""), _Pieces(self._add, " ")
-
-    def _add(self, shown: str, piece: str) -> int:
-        unsafe = not piece or piece[0].isspace() or piece[-1].isspace()
-        if not unsafe:
-            self._ids.extend(self._encode(shown))
-        self._ends.append(len(self._ids))
-        self._unsafe.append(unsafe)
-        return len(self._unsafe) - 1
+        self._pieces = _Pieces()
+        self._ids, self._sizes, self._unsafe = (np.zeros(0, kind) for kind in (np.uint32, np.int64, bool))
+
+    def _learn(self) -> None:
+        """Encode all new pieces as one text, and cut its ids where the pieces end, by bytes."""
+        new, self._pieces.new = self._pieces.new, []
+        # A piece that is empty or has white space at an end cannot stand between single spaces.
+        unsafe = np.array([not piece or piece.strip() is not piece for piece in new], bool)
+        joined = [" " + piece for piece, odd in zip(new, unsafe) if not odd]
+        ids = np.array(self._encode("".join(joined)), np.uint32)
+        ends = np.cumsum([len(piece.encode()) for piece in joined], dtype=np.int64)
+        sizes = np.zeros(len(new), np.int64)
+        sizes[~unsafe] = np.diff(np.searchsorted(np.cumsum(self._widths[ids]), ends, side="left") + 1, prepend=0)
+        self._ids = np.concatenate([self._ids, ids])
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._unsafe = np.concatenate([self._unsafe, unsafe])
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text. All texts are looked up before the first is given out, so pass bounded lists."""
+        if len(self._pieces) > self._most:
+            self._forget()
+        number = self._pieces.__getitem__
         looked_up = []
         for text in texts:
             first, *rest = text.split(" ")
-            index = np.fromiter(map(self._rest.__getitem__, rest), np.int64, len(rest))
-            looked_up.append((text, np.insert(index, 0, self._first[first])))
-        ids, ends = np.array(self._ids, np.uint32), np.array(self._ends, np.int64)
-        starts, sizes = ends[:-1], np.diff(ends)
-        unsafe = np.array(self._unsafe, np.uint8)
-        if len(self._unsafe) > self._most:
-            self._forget()
-        for text, index in looked_up:
-            if unsafe[index].any():
+            looked_up.append((text, first, np.fromiter(map(number, rest), np.int64, len(rest))))
+        if self._pieces.new:
+            self._learn()
+        ends = np.cumsum(self._sizes)
+        for text, first, index in looked_up:
+            if self._unsafe[index].any() or (len(index) and first.strip() is not first):
                 yield np.array(self._encode(text), np.uint32)
                 continue
-            size = sizes[index]
+            size = self._sizes[index]
             upto = np.cumsum(size)
-            yield ids[np.repeat(starts[index] - upto + size, size) + np.arange(upto[-1])]
+            rest = self._ids[np.repeat(ends[index] - upto, size) + np.arange(upto[-1] if len(upto) else 0)]
+            yield np.concatenate([np.array(self._encode(first), np.uint32), rest])
