@@ -27,8 +27,8 @@ strings that differ are compared by their bytes.
 Defined results: a null text is empty; documents shorter than a window lose
 nothing unless a longer repeat covers them, which none can; repeated rows are
 documents of their own, so each makes the other's windows repeated; an empty
-table gives an empty result; other columns are ignored by ``find_repeats`` and
-kept by ``cut_repeats``.
+table gives an empty result; other columns are ignored. What is left is bytes: a
+cut may fall inside a character.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.llm.shingles import texts_in_chunks
 from ledgerlake.llm.sketch import passes_sketch
-from ledgerlake.llm.tables import named, text_of, whole_row, written
+from ledgerlake.llm.tables import discard, named, sweep, text_of, written
 from ledgerlake.llm.transforms import PAD, Strings, merge
 
 WINDOW = 200
@@ -125,7 +125,18 @@ def _pieces(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndar
         number += len(ends)
 
 
-_ANCHORS = "k1 long, k2 long, h long, c long, place long, first int, last int"
+_ANCHORS = "k1 long, k2 long, h long, c long, seen long"
+#: ``seen`` holds the anchor's place and the first and last offsets of its windows, which need so many bits each.
+_OFFSET_BITS = 12
+
+
+def _unpacked(seen: Column) -> dict[str, Column]:
+    mask = F.lit((1 << _OFFSET_BITS) - 1)
+    return {
+        "place": F.shiftright(seen, 2 * _OFFSET_BITS),
+        "first": F.shiftright(seen, _OFFSET_BITS).bitwiseAND(mask).cast("int"),
+        "last": seen.bitwiseAND(mask).cast("int"),
+    }
 
 
 def _anchors(window: int, gram: int):
@@ -136,8 +147,8 @@ def _anchors(window: int, gram: int):
             for data, ends, number, skipped in _pieces(batch.column(2), window):
                 h, c, text, place, first, last = finder.find(data, ends)
                 text = text + number
-                columns = (k1[text], k2[text], h, c, place + skipped, first.astype(np.int32), last.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k1", "k2", "h", "c", "place", "first", "last"])
+                seen = ((place + skipped) << (2 * _OFFSET_BITS)) | (first << _OFFSET_BITS) | last
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[text], k2[text], h, c, seen)], ["k1", "k2", "h", "c", "seen"])
 
     return find
 
@@ -251,29 +262,36 @@ def _halves(strings: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(strings: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, c, lo, hi): offsets of repeated windows of strings (h, c, weight, first, last, bytes)."""
-    found, mappings = [], []
+    """(h, c, lo, hi): offsets of repeated windows of written strings (h, c, weight, first, last, bytes, strings)."""
+    found, mappings, levels = [], [], [strings]
     level = strings.withColumns({"klo": F.lit(0), "khi": F.lit(window - gram)})
     columns = ["h", "c", "first", "last", "weight", "bytes"]
     while True:
-        level = written(_groups(level), "repeats-level")
+        if mappings:
+            level = written(_groups(level), "repeats-level")
+            levels.append(level)
         hot = (F.col("strings") > GROUP_STRINGS) & (F.col("khi") > F.col("klo"))
         alone = level.filter("strings = 1").select("h", "c", F.col("last").alias("lo"), F.col("first").alias("hi"))
         together = level.filter((F.col("strings") > 1) & ~hot).select(*columns)
         shards = together.mapInArrow(_shards(window, gram), _SHARD)
         dealt = shards.repartition("h").sortWithinPartitions("h")
-        found.append(alone.unionByName(dealt.mapInArrow(_merge_shards(window, gram), _REPEATED)))
+        merged = dealt.mapInArrow(_merge_shards(window, gram), _REPEATED)
+        found.append(written(alone.unionByName(merged), "repeats-merged"))
         rest = level.filter(hot)
         if rest.isEmpty():
             break
         cut = written(_halves(rest, window), "repeats-halves")
         mappings.append(cut.select("ph", "pc", "h", "c").distinct())
         level = cut.groupBy("h", "c", "first", "last", "klo", "khi").agg(F.sum("weight").alias("weight"), F.first("bytes").alias("bytes"))
-    result = written(found.pop(), "repeats-found")
+        levels.append(cut)
+    result = found.pop()
     while mappings:
         of = mappings.pop()
         up = of.join(result, ["h", "c"]).select(F.col("ph").alias("h"), F.col("pc").alias("c"), "lo", "hi")
-        result = written(found.pop().unionByName(up), "repeats-found")
+        lower = [found.pop(), result]
+        result = written(lower[0].unionByName(up), "repeats-found")
+        discard(*lower)
+    discard(*levels)
     return result
 
 
@@ -281,33 +299,50 @@ def _spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(k1, k2, spans): byte ranges (start, end) that repeated windows cover, sorted; ``docs`` has k1, k2, text."""
     anchors = written(docs.mapInArrow(_anchors(window, gram), _ANCHORS), "repeats-anchors")
     twice = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeats-grams")
+    sweep(docs.sparkSession)
     routed = passes_sketch(anchors, twice, "h", SKETCH_BITS).filter("routed").drop("routed")
-    rep = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("rep")
+    rep = F.min(F.struct("k1", "k2", "seen")).alias("rep")
     strings = _groups(routed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("weight"), rep))
-    strings = written(strings.select("h", "c", "weight", "strings", "rep.*"), "repeats-strings")
+    strings = strings.select("h", "c", "weight", "strings", "rep.k1", "rep.k2", *[x.alias(n) for n, x in _unpacked(F.col("rep.seen")).items()])
+    strings = written(strings, "repeats-strings")
+    sweep(docs.sparkSession)
 
     several = strings.filter("strings > 1")
     wanted = written(several.select("k1", "k2").distinct(), "repeats-wanted")
     texts = passes_sketch(docs, wanted.select("k1"), "k1", SKETCH_BITS).filter("routed").select("k1", "k2", F.col("text").cast("binary").alias("data"))
     cut = F.substring("data", (F.col("place") - F.col("first") + 1).cast("int"), F.lit(window) + F.col("first") - F.col("last"))
-    fetched = several.join(texts, ["k1", "k2"]).select("h", "c", "weight", "first", "last", cut.alias("bytes"))
-    merged = repeated_windows(written(fetched, "repeats-bytes"), window, gram)
+    fetched = several.join(texts, ["k1", "k2"]).select("h", "c", "weight", "first", "last", "strings", cut.alias("bytes"))
+    fetched = written(fetched, "repeats-bytes")
+    sweep(docs.sparkSession)
+    merged = repeated_windows(fetched, window, gram)
+    sweep(docs.sparkSession)
     alone = strings.filter("strings = 1").select("h", "c", F.col("last").alias("lo"), F.col("first").alias("hi"))
     found = written(alone.unionByName(merged).groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("offsets")), "repeats-offsets")
 
-    start, end = F.col("place") - F.col("o.hi"), F.col("place") - F.col("o.lo") + window
-    spans = routed.join(found, ["h", "c"]).select("k1", "k2", "place", F.explode("offsets").alias("o")).select("k1", "k2", start.alias("start"), end.alias("end"))
-    return written(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats-spans")
+    discard(strings, wanted, merged)
+    sweep(docs.sparkSession)
+    place = _unpacked(F.col("seen"))["place"]
+    start, end = place - F.col("o.hi"), place - F.col("o.lo") + window
+    spans = routed.join(found, ["h", "c"]).select("k1", "k2", "seen", F.explode("offsets").alias("o")).select("k1", "k2", start.alias("start"), end.alias("end"))
+    spans = written(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats-spans")
+    discard(anchors, twice, found)
+    sweep(docs.sparkSession)
+    return spans
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, spans) to (id, n_removed, n_spans, kept): spans that touch or overlap are one."""
+    """(id, text, spans) to (id, n_removed, n_spans, kept): spans that touch or overlap are one; null is none."""
     for batch in batches:
         removed, runs, kept = [], [], []
         spans = batch.column(2)
         for i in range(batch.num_rows):
             data = memoryview(batch.column(1)[i].as_buffer())
             own = spans[i].values
+            if own is None:
+                removed.append(0)
+                runs.append(0)
+                kept.append(data.tobytes())
+                continue
             start, end = own.field(0).to_numpy(), np.maximum.accumulate(own.field(1).to_numpy())
             new = np.r_[True, start[1:] > end[:-1]]
             start, end = start[new], end[np.r_[new[1:], True]]
@@ -320,20 +355,25 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and the bytes that are left, ``kept``."""
     rows = docs.select(named(doc_id).alias("id"), text_of(text).alias("text"))
     rows = rows.withColumns(_keys(F.col("id"), F.col("text")))
     spans = _spans(rows.select("k1", "k2", "text"), window, gram)
     routed = passes_sketch(rows, spans.select("k1"), "k1", SKETCH_BITS)
     size = F.octet_length("text").cast("long").alias("n_bytes")
     none = F.lit(0).cast("long")
-    whole = [F.col("id").alias("doc_id"), size, none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
-    untouched = routed.filter("NOT routed").select(*whole)
+    untouched = routed.filter("NOT routed").select(
+        F.col("id").alias("doc_id"), size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept")
+    )
     met = routed.filter("routed").join(spans, ["k1", "k2"], "left")
-    clean = met.filter("spans IS NULL").select(*whole)
-    hit = met.filter("spans IS NOT NULL").select(F.struct(F.col("id").alias("doc_id"), size).alias("id"), F.col("text").cast("binary"), "spans")
-    kind = hit.schema["id"].dataType.simpleString()
-    cut = hit.mapInArrow(_cutter, f"id {kind}, n_removed long, n_spans long, kept binary")
-    cut = cut.select("id.doc_id", "id.n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return untouched.unionByName(clean).unionByName(cut)
+    met = met.select(F.struct(F.col("id").alias("doc_id"), size).alias("id"), F.col("text").cast("binary"), "spans")
+    kind = met.schema["id"].dataType.simpleString()
+    cut = met.mapInArrow(_cutter, f"id {kind}, n_removed long, n_spans long, kept binary")
+    return untouched.unionByName(cut.select("id.doc_id", "id.n_bytes", "n_removed", "n_spans", "kept"))
+
+
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    cut = cut_repeats(docs, doc_id, text, window, gram)
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

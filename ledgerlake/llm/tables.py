@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlake.staging import new_path, stage_at
@@ -37,4 +39,25 @@ def whole_row(df: DataFrame) -> Column:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written under the shared folder and read back; cuts lineage and outlives executors."""
-    return stage_at(df, new_path(df.sparkSession, f"llm-{label}"))
+    path = new_path(df.sparkSession, f"llm-{label}")
+    table = stage_at(df, path)
+    table._written_to = path
+    return table
+
+
+def sweep(spark: SparkSession) -> None:
+    """Free the disk of finished steps now.
+
+    Spark removes shuffle files when the driver's garbage collection finds that
+    nothing refers to them, which may be long after a step was written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables; what was made from them must have been written, too."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
