@@ -7,7 +7,8 @@ begin. Each vote is verified on the words themselves, so votes are exact.
 Votes are summed by (document, template, diagonal); neighbouring diagonals,
 which differ by a few words put in or left out, are merged into one span; a
 span whose votes cover enough of its template gives the template's label. A
-base phrase counts only where one diagonal covers all of it.
+short template's last position must be among them: it is what tells versions
+apart. A base phrase counts only where one diagonal covers all of it.
 
 The broadcast side has a row per 2-word position of the templates. Texts meet
 no one but themselves: rows are dealt by document.
@@ -32,6 +33,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COVERAGE = 0.8
 #: Diagonals up to so many words apart are one span.
 NEIGHBOURS = 4
+#: Templates up to so many words need their last position, however much else is covered.
+SHORT = 8
 
 
 @dataclass(frozen=True)
@@ -99,6 +102,11 @@ def _template_positions(spark: SparkSession, templates: Sequence[Template]) -> D
     return pairs.withColumn("gram", F.xxhash64("first", "second")).unionByName(mark.withColumn("gram", F.lit(_MARK).cast("long")))
 
 
+def _telling(template: Template) -> int:
+    """The mask of the position that a span must cover: the last of a short template, none of a longer one."""
+    return 1 << len(template.words) - 2 if 2 <= len(template.words) <= SHORT else 0
+
+
 def _chosen(templates: Sequence[Template], value) -> Column:
     return F.element_at(F.array(*[F.lit(value(t)) for t in templates]), F.col("template") + 1)
 
@@ -145,8 +153,9 @@ def scan_licenses(
         F.bit_or("covered").alias("covered"),
     )
     share = F.when(F.col("template") < 0, 0.0).when(base, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).otherwise(F.bit_count("covered") / needed)
+    told = F.when(F.col("template") >= 0, F.bitwise_not("covered").bitwiseAND(_chosen(templates, _telling)) == 0)
     label = _chosen(templates, lambda t: t.label)
-    spans = spans.withColumns({"share": share, "label": F.when(F.col("template") >= 0, label), "is_base": base})
+    spans = spans.withColumns({"share": share, "told": told, "label": F.when(F.col("template") >= 0, label), "is_base": base})
 
     def labels(chosen: Column) -> Column:
         return F.array_join(F.sort_array(F.collect_set(F.when(chosen, F.col("label")))), ",")
@@ -158,7 +167,7 @@ def scan_licenses(
             F.min("first_word").alias("first_word"),
             F.max("last_word").alias("last_word"),
             labels(F.col("n_base") > 0).alias("base_labels"),
-            labels(F.col("share") >= coverage).alias("labels"),
+            labels((F.col("share") >= coverage) & F.col("told")).alias("labels"),
             F.max("share").alias("score"),
         )
         .drop("doc")

@@ -123,6 +123,20 @@ def test_licences_in_odd_places(spark):
     assert licenses.scan_licenses(docs.unionByName(docs)).count() == 2 * len(texts)
 
 
+def test_licence_versions_are_told_apart(spark):
+    texts = {
+        1: "under the GNU General Public License version 2 only",
+        2: "under the GNU General Public License, Version 3.",
+        3: "under the GNU General Public License version",
+        4: "under the GNU General Public License (GPL) version 3",
+        5: "GNU General Public License version 2 or version 3",
+        6: "Apache License, Version 2.0",
+    }
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: "gpl,gpl-2", 2: "gpl,gpl-3", 3: "gpl", 4: "gpl,gpl-3", 5: "gpl,gpl-2,gpl-3", 6: "apache,apache-2.0"}
+
+
 # Mixing.
 
 
