@@ -76,8 +76,10 @@ def _sized(rows: DataFrame, doc_id: Column, text: Column, source: Column, seed:
 def _plan(sized: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
     """One row per source: its target, whole repetitions, and the bucket at the edge with the words missing there."""
     targets = written(source_targets(sized, weights, share, epochs), "mix-targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    part = F.round("target").cast("long") - whole * F.col("source_size")
+    # Rounded first: a target just below a multiple of the size is whole repetitions, so that part < source_size.
+    rounded = F.round("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(rounded / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    part = rounded - whole * F.col("source_size")
     targets = targets.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), part.alias("part"))
     # At most 16**BUCKET_DIGITS rows of a source meet in this window.
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))

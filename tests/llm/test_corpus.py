@@ -7,9 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from compare import differences
 from odd import LONG, TEXTS, odd_documents
 from pyspark.sql import functions as F
 from test_duplicates import near_components
@@ -172,6 +174,17 @@ def test_water_fills_to_the_caps(spark):
     assert got == {"a": 200.0, "b": 20.0, "c": 1445.0, None: 0.0}
 
 
+def test_a_target_just_below_a_whole_repetition(spark):
+    sizes = {"a": 294, "b": 31, "c": 324}
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, text string")
+    got = {r.source: (r.target, r.taken) for r in mixing.plan_mix(docs).collect()}
+    assert got == {"a": (588.0, 588), "b": (62.0, 62), "c": (323.5, 324)}
+    assert Counter(r.source for r in mixing.mix(docs).collect()) == {"a": 2, "b": 2, "c": 1}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', repeat('w ', {n}))" for i, (s, n) in enumerate(sizes.items())) + ") AS v(doc_id, source, text)")
+    assert differences(mixing.plan_mix(docs), con, queries.all_sql()["op6_source_mix"]) == ""
+
+
 # Quality.
 
 
