@@ -137,23 +137,26 @@ def scan_licenses(
 
     own = ["doc", "doc_id", "n_words"]
     diagonal = (F.col("place") - 1 - F.col("at")).cast("long")
-    covered = F.bit_or(F.expr("shiftleft(1L, at)"))
-    votes = hits.groupBy(*own, "template", diagonal.alias("diagonal")).agg(covered.alias("covered"))
+    # One mask per block of 64 positions, since a long holds no more.
+    masks = {f"covered_{block}": block for block in range(max((len(t.words) + 62) // 64 for t in templates))}
+    covered = [F.bit_or(F.expr(f"if(at div 64 = {block}, shiftleft(1L, at % 64), 0L)")).alias(m) for m, block in masks.items()]
+    votes = hits.groupBy(*own, "template", diagonal.alias("diagonal")).agg(*covered)
+    n_covered = F.expr(" + ".join(f"bit_count({m})" for m in masks))
 
     in_order = Window.partitionBy(*own, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(in_order) > neighbours
     votes = votes.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
     needed = _chosen(templates, lambda t: len(t.words) - 1)
     base = (F.col("template") >= 0) & _chosen(templates, lambda t: t.base)
-    whole = base & (F.bit_count("covered") == needed)
+    whole = base & (n_covered == needed)
     spans = votes.groupBy(*own, "template", "span").agg(
         F.count_if(whole).alias("n_base"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first_word"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last_word"),
-        F.bit_or("covered").alias("covered"),
+        *[F.bit_or(m).alias(m) for m in masks],
     )
-    share = F.when(F.col("template") < 0, 0.0).when(base, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).otherwise(F.bit_count("covered") / needed)
-    told = F.when(F.col("template") >= 0, F.bitwise_not("covered").bitwiseAND(_chosen(templates, _telling)) == 0)
+    share = F.when(F.col("template") < 0, 0.0).when(base, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).otherwise(n_covered / needed)
+    told = F.when(F.col("template") >= 0, F.bitwise_not("covered_0").bitwiseAND(_chosen(templates, _telling)) == 0)
     label = _chosen(templates, lambda t: t.label)
     spans = spans.withColumns({"share": share, "told": told, "label": F.when(F.col("template") >= 0, label), "is_base": base})
 

@@ -139,6 +139,18 @@ def test_licence_versions_are_told_apart(spark):
     assert got == {1: "gpl,gpl-2", 2: "gpl,gpl-3", 3: "gpl", 4: "gpl,gpl-3", 5: "gpl,gpl-2,gpl-3", 6: "apache,apache-2.0"}
 
 
+def test_templates_of_more_than_64_positions(spark):
+    def words(n):
+        return " ".join(f"w{i}x" for i in range(n))
+
+    templates = [licenses.Template(f"t{n}", words(n)) for n in (65, 66, 170)] + [licenses.Template("base", words(170), base=True)]
+    texts = {1: words(170), 2: words(138), 3: words(136), 4: words(65), 5: words(100) + " and more " + words(170).split(" ", 100)[100]}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.n_base) for r in licenses.scan_licenses(docs, templates).collect()}
+    every = "t170,t65,t66"
+    assert got == {1: (f"base,{every}", 1), 2: (every, 0), 3: ("t65,t66", 0), 4: ("t65,t66", 0), 5: (every, 0)}
+
+
 # Mixing.
 
 
