@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import chat, exact_dedup, licenses, minhash, mixing, packing, quality_model, quality_rules, repeats, resharding
+from ledgerlake.llm import (
+    chat,
+    exact_dedup,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    phrases,
+    quality_model,
+    quality_rules,
+    repeats,
+    resharding,
+    runs,
+    simhash,
+)
 from ledgerlake.llm.tables import table
 
 
@@ -57,6 +71,18 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(hard)))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.find_runs(table(spark, folder, "documents"), tail=runs.circular_tail)
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.find_similar(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
@@ -120,6 +146,33 @@ def all_sql() -> dict[str, str]:
                    sum(length(role) + length(shown) + 15)::BIGINT AS formatted_chars
             FROM s GROUP BY conv_id
         """,
+        "op11_collocations": r"""
+            WITH d AS (
+                SELECT coalesce(lang, 'und') AS lang,
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+                FROM documents),
+            p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+            i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+            s AS (SELECT lang, unnest([array_to_string(w[i:i + k], ' ') FOR k IN range(0, 5) IF i + k <= len(w)]) AS phrase FROM i),
+            f AS (SELECT lang, phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 100),
+            n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+            c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f),
+            k AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
+            x AS (
+                SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, n.n,
+                       (1000::HUGEINT * k.a * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+                FROM k JOIN n ON n.lang = k.lang
+                JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k.k], ' ')
+                JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k.k + 1:], ' ')),
+            y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            z AS (
+                SELECT DISTINCT lang, a, unnest([array_to_string(w[:len(w) - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase
+                FROM c WHERE len(w) > 2)
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+            FROM y ANTI JOIN z USING (lang, phrase, a)
+            QUALIFY rank <= 2000
+        """,
         "op8_quality_rules": r"""
             WITH d AS (
                 SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
