@@ -213,8 +213,9 @@ def find_in(s: np.ndarray, ends: np.ndarray) -> _Runs:
         n = int(ends[parts - 1])
         s, windows = s[:n], windows[: n - size + 1]
         longer = _doubled(windows, size)
-        at = _synchronising(windows, size, runs)
-        proposed = zip(_equal_contexts(at, longer[at], size), _touching(s, size, runs))
+        own = tuple(x[: np.searchsorted(runs[0], n)] for x in runs)
+        at = _synchronising(windows, size, own)
+        proposed = zip(_equal_contexts(at, longer[at], size), _touching(s, size, own))
         runs = _least_periods(_joined([runs, _confirmed(s, *map(np.concatenate, proposed))]))
         windows, size = longer, 2 * size
     return runs
