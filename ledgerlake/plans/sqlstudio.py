@@ -7,6 +7,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.errors import QueryRefused
@@ -17,12 +18,20 @@ from ledgerlake.staging import shared_dir
 ROW_LIMIT = 1000
 DATABASE = "warehouse"
 
-# Functions that run code outside the query.
-_REFUSED_FUNCTIONS = {"reflect", "try_reflect", "java_method"}
-# Parsed nodes that read something other than a named table, or name it only when they run.
-_REFUSED_NODES = ("ScriptTransformation", "UnresolvedIdentifier")
-# Functions in FROM that make rows from their arguments alone.
-_ROW_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
+# Where tables of the session's own catalog live.
+_CATALOG = "spark_catalog"
+# Parsed nodes that read something before the query is analysed, or name it only then.
+_REFUSED_PARSED = ("ScriptTransformation", "UnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "RelationTimeTravel")
+# What an analysed query may consist of; relations are told by their catalog entry.
+_OPERATORS = {
+    "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate",
+    "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "LogicalRelation", "Offset",
+    "OneRowRelation", "OneRowSubquery", "Pivot", "Project", "Range", "RebalancePartitions", "Repartition",
+    "RepartitionByExpression", "ResolvedHint", "ResolvedInlineTable", "Sample", "Sort", "SubqueryAlias", "Union", "Unpivot",
+    "Window", "WithCTE", "WithWindowDefinition",
+}
+# Expressions that run code outside the query, by a part of their class names.
+_FOREIGN_CODE = ("Reflect", "Python", "ScalaUD", "ScalaAgg", "UserDefined", "Hive", "TypedAgg", "ObjectAggregator")
 
 # Names and texts of the saved queries.
 SAVED_QUERIES = {
@@ -59,64 +68,97 @@ def _items(seq) -> Iterator:
     return (seq.apply(i) for i in range(seq.size()))
 
 
-def _nodes(tree) -> Iterator:
-    """All nodes of a parsed plan: operators, expressions, subqueries and named subqueries."""
-    waiting = [tree]
-    while waiting:
-        node = waiting.pop()
-        yield node
-        kind = node.getClass().getSimpleName()
-        waiting += _items(node.children())
-        if hasattr(node, "expressions") and "org.apache.spark.sql.catalyst.plans" in node.getClass().getName():
-            waiting += _items(node.expressions())
-        if kind in _WITH_PLAN:
-            waiting.append(node.plan())
-        if kind == "UnresolvedWith":
-            waiting += (pair._2() for pair in _items(node.cteRelations()))
+class _Walk:
+    """All nodes of a plan: operators, expressions, subqueries and named subqueries."""
 
+    def __init__(self, spark: SparkSession):
+        load = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
+        self._plan = load("org.apache.spark.sql.catalyst.plans.QueryPlan")
+        self._holds_plan = load("org.apache.spark.sql.catalyst.expressions.PlanExpression")
 
-# Expressions that hold a query of their own.
-_WITH_PLAN = {"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+    def is_operator(self, node) -> bool:
+        return self._plan.isInstance(node)
+
+    def nodes(self, root) -> Iterator[tuple[str, object]]:
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            kind = node.getClass().getSimpleName()
+            yield kind, node
+            waiting += _items(node.children())
+            if self.is_operator(node):
+                waiting += _items(node.expressions())
+            if self._holds_plan.isInstance(node):
+                waiting.append(node.plan())
+            if kind == "UnresolvedWith":
+                waiting += (pair._2() for pair in _items(node.cteRelations()))
 
 
 def _check_parsed(spark: SparkSession, statement: str) -> None:
-    """Refuses what reads other tables or files than the warehouse's, or runs other code."""
-    nodes = list(_nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)))
-    own = {
-        pair._1().lower()
-        for node in nodes
-        if node.getClass().getSimpleName() == "UnresolvedWith"
-        for pair in _items(node.cteRelations())
-    }
-    tables = {f"{DATABASE}.{name}" for name in TABLE_ROLES}
-    for node in nodes:
-        kind = node.getClass().getSimpleName()
-        if any(refused in kind for refused in _REFUSED_NODES):
+    """Refuses what could reach a file while the query is analysed.
+
+    A name of one part is a named subquery, a view or a table, which the
+    analysed plan will tell; names of more parts must be a warehouse table's,
+    part by part, for ``format.`path``` has two parts as well.
+    """
+    for kind, node in _Walk(spark).nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)):
+        if kind in _REFUSED_PARSED:
             raise QueryRefused("the query may only read the warehouse tables by name")
-        if kind == "UnresolvedTableValuedFunction" and ".".join(_items(node.name())).lower() not in _ROW_FUNCTIONS:
-            raise QueryRefused("only row-making functions may stand in FROM")
         if kind == "UnresolvedRelation":
-            name = ".".join(_items(node.multipartIdentifier())).lower()
-            if name not in own and name not in tables:
-                raise QueryRefused(f"'{name}' is not a warehouse table")
-        if kind == "UnresolvedFunction":
-            parts = [p.lower() for p in _items(node.nameParts())]
-            if parts[-1] in _REFUSED_FUNCTIONS:
-                raise QueryRefused(f"the function '{parts[-1]}' is not allowed")
+            parts = [p.lower() for p in _items(node.multipartIdentifier())]
+            own = parts[1:] if parts[0] == _CATALOG else parts
+            if len(parts) > 1 and not (len(own) == 2 and own[0] == DATABASE and own[1] in TABLE_ROLES):
+                raise QueryRefused(f"'{'.'.join(parts)}' is not a warehouse table")
+
+
+def _is_warehouse_table(relation) -> bool:
+    entry = relation.catalogTable()
+    if entry.isEmpty():
+        return False
+    name = entry.get().identifier()
+    catalog = name.catalog().get() if name.catalog().isDefined() else _CATALOG
+    database = name.database().get() if name.database().isDefined() else None
+    return catalog == _CATALOG and database == DATABASE and name.table() in TABLE_ROLES
+
+
+def _check_analysed(spark: SparkSession, plan) -> None:
+    """Refuses an analysed plan that holds anything but relational operators over the warehouse's tables.
+
+    Names are resolved here: named subqueries are inlined or referred to by
+    number, and every relation carries the catalog entry that it stands for,
+    whatever the text calls it. Views, files, cached and streamed data are
+    other nodes and stay outside.
+    """
+    walk = _Walk(spark)
+    for kind, node in walk.nodes(plan):
+        if walk.is_operator(node):
+            if kind not in _OPERATORS:
+                raise QueryRefused(f"the query may only read the warehouse tables by name ({kind})")
+            if kind == "LogicalRelation" and not _is_warehouse_table(node):
+                raise QueryRefused("the query reads a table outside the warehouse")
+        elif any(part in kind for part in _FOREIGN_CODE):
+            raise QueryRefused(f"functions that run other code are not allowed ({kind})")
 
 
 def query(spark: SparkSession, text: str, limit: int = ROW_LIMIT) -> DataFrame:
     """Rows of a SELECT or WITH statement over the warehouse tables, at most ``limit``.
 
-    What the parser makes of the text is checked, not its words. The text is
-    then read as a subquery, so a command or a second statement is a syntax
-    error before anything runs.
+    The text is read as a subquery, so a command or a second statement is a
+    syntax error before anything runs. What Spark's analyser makes of it is
+    checked, not its words: each relation by its catalog entry.
     """
     statement = text.strip().rstrip(";").strip()
     if not re.match(r"(select|with)\b", statement, re.I):
         raise QueryRefused("queries start with SELECT or WITH")
     _check_parsed(spark, statement)
-    return spark.sql(f"SELECT * FROM (\n{statement}\n) LIMIT {int(limit)}")
+    try:
+        result = spark.sql(f"SELECT * FROM (\n{statement}\n) LIMIT {int(limit)}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+            raise
+        raise QueryRefused("the query names a table that is not in the warehouse") from problem
+    _check_analysed(spark, result._jdf.queryExecution().analyzed())
+    return result
 
 
 @dataclass(frozen=True)

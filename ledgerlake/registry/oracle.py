@@ -523,6 +523,17 @@ def all_sql() -> dict[str, str]:
             JOIN dim_geography USING (geo_key) GROUP BY city, state ORDER BY sum(sales) DESC, city LIMIT 15""",
         "sql_capped_rows": f"""WITH {STAR} SELECT CAST(full_date AS VARCHAR) AS full_date, {_double('sum(sales)')} AS sales
             FROM fact_sales JOIN dim_time USING (date_key) GROUP BY full_date ORDER BY full_date LIMIT 1000""",
+        "sql_in_subquery": f"""WITH {STAR} SELECT year, count(*) AS n_facts, {_double('sum(sales)')} AS sales
+            FROM fact_sales JOIN dim_time USING (date_key) JOIN dim_customers USING (customer_key)
+            WHERE customer_tier = 'Platinum' AND product_key % 2 <> 0 GROUP BY year""",
+        "sql_exists": f"""WITH {STAR} SELECT region, count(DISTINCT geo_key) AS places
+            FROM fact_sales JOIN dim_geography USING (geo_key) WHERE discount > 0.09 GROUP BY region""",
+        "sql_scalar_subquery": f"""WITH {STAR}, most AS (
+                SELECT *, max(quantity) OVER (PARTITION BY order_id) AS most, avg(sales) OVER () AS middle FROM fact_sales)
+            SELECT category, count(*) AS above_average FROM most JOIN dim_products USING (product_key)
+            WHERE sales > middle AND quantity = most GROUP BY category""",
+        "sql_lateral": f"""WITH {STAR} SELECT year, month, count(*) AS n_facts, {_double('sum(sales)')} AS sales
+            FROM fact_sales JOIN dim_time USING (date_key) GROUP BY year, month""",
         "month_series": f"WITH {_MONTHS} SELECT CAST(month AS VARCHAR) AS month, sales FROM series",
         "lag_features": f"WITH {_MONTHS} SELECT * REPLACE (CAST(month AS VARCHAR) AS month) FROM lags",
         "forecast_split": f"""WITH {_MONTHS} SELECT CAST(month AS VARCHAR) AS month, row_number() OVER (ORDER BY month)

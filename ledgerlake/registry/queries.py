@@ -506,6 +506,56 @@ def sql_capped_rows(f: Folder) -> DataFrame:
     )
 
 
+@query
+def sql_in_subquery(f: Folder) -> DataFrame:
+    return _sql(
+        f,
+        """
+        SELECT d.year, COUNT(*) AS n_facts, SUM(s.sales) AS sales
+        FROM warehouse.fact_sales s JOIN warehouse.dim_time d ON d.date_key = s.date_key
+        WHERE s.customer_key IN (SELECT customer_key FROM warehouse.dim_customers WHERE customer_tier = 'Platinum')
+          AND s.product_key NOT IN (SELECT product_key FROM warehouse.dim_products WHERE product_key % 2 = 0)
+        GROUP BY d.year""",
+    )
+
+
+@query
+def sql_exists(f: Folder) -> DataFrame:
+    return _sql(
+        f,
+        """
+        SELECT g.region, COUNT(*) AS places
+        FROM warehouse.dim_geography g
+        WHERE EXISTS (SELECT 1 FROM warehouse.fact_sales s WHERE s.geo_key = g.geo_key AND s.discount > 0.09)
+        GROUP BY g.region""",
+    )
+
+
+@query
+def sql_scalar_subquery(f: Folder) -> DataFrame:
+    return _sql(
+        f,
+        """
+        SELECT p.category, COUNT(*) AS above_average
+        FROM warehouse.fact_sales s JOIN warehouse.dim_products p ON p.product_key = s.product_key
+        WHERE s.sales > (SELECT AVG(sales) FROM warehouse.fact_sales)
+          AND s.quantity = (SELECT MAX(i.quantity) FROM warehouse.fact_sales i WHERE i.order_id = s.order_id)
+        GROUP BY p.category""",
+    )
+
+
+@query
+def sql_lateral(f: Folder) -> DataFrame:
+    return _sql(
+        f,
+        """
+        SELECT t.year, t.month, x.n_facts, x.sales
+        FROM (SELECT year, month, MIN(date_key) AS low, MAX(date_key) AS high FROM warehouse.dim_time GROUP BY year, month) t,
+        LATERAL (SELECT COUNT(*) AS n_facts, SUM(s.sales) AS sales FROM warehouse.fact_sales s
+                 JOIN warehouse.dim_time d ON d.date_key = s.date_key WHERE d.year = t.year AND d.month = t.month) x""",
+    )
+
+
 # Forecast
 
 

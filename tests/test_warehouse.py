@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import ParseException
 
 from ledgerlake.errors import EtlFailed, LedgerLakeError, QueryRefused, SchemaMismatch
 from ledgerlake.operators.cleaning import Rule
@@ -200,13 +201,60 @@ def test_refused_sql(spark, text):
         "select * from warehouse.dim_time where exists (select 1 from csv.`/tmp/x`)",
         "select * from identifier('text.`/etc/hostname`')",
         "select transform(a) using 'cat' from warehouse.dim_time",
+        "with `text./etc/hostname` as (select 1 as x) select * from text.`/etc/hostname`",
+        "select o.x from (with session_view as (select 1 as x) select * from session_view) i, session_view o",
+        "select * from session_view",
+        "select * from global_temp.everyone_sees_it",
+        "select * from warehouse.dim_time where date_key in (select x from session_view)",
+        "select * from warehouse.not_a_role",
+        "select not_a_role.x from warehouse.dim_time, lateral (select * from not_a_role)",
+        "select try_reflect('java.lang.Math', 'abs', -5)",
+        "select own_code(date_key) from warehouse.dim_time",
+        "select * from (table text.`/etc/hostname`)",
+        "select * from spark_catalog.default.other",
+        "select * from warehouse.dim_time version as of 1",
     ],
 )
-def test_sql_gate_refuses(spark, text):
-    with pytest.raises(QueryRefused):
+def test_sql_gate_refuses(spark, gated, text):
+    with pytest.raises((QueryRefused, ParseException)):
         sqlstudio.query(spark, text)
 
 
+@pytest.fixture
+def gated(spark):
+    """A warehouse beside things of the session that queries must not reach."""
+    w = warehouse.build_warehouse(sales(spark, {}, {"sales": 5.0, "order_date": "2024-02-01"}))
+    sqlstudio.register(spark, w)
+    spark.range(1).toDF("x").createOrReplaceTempView("session_view")
+    spark.range(1).toDF("x").createOrReplaceGlobalTempView("everyone_sees_it")
+    spark.sql("CREATE OR REPLACE VIEW warehouse.not_a_role AS SELECT 1 AS x")
+    spark.udf.register("own_code", lambda x: x, "int")
+    yield w
+    spark.sql("DROP VIEW warehouse.not_a_role")
+    spark.catalog.dropTempView("session_view")
+    spark.catalog.dropGlobalTempView("everyone_sees_it")
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ("select count(*) n from warehouse.fact_sales where date_key in (select date_key from warehouse.dim_time where month = 2)", 1),
+        ("select count(*) n from warehouse.fact_sales f where exists (select 1 from warehouse.dim_time t where t.date_key = f.date_key)", 2),
+        ("select (select count(*) from warehouse.fact_sales) n", 2),
+        ("select count(*) n from warehouse.dim_time t, lateral (select * from warehouse.fact_sales f where f.date_key = t.date_key)", 2),
+        ("with session_view as (select 1 x), b as (select * from session_view) select count(*) n from b join session_view using (x)", 1),
+        ("with a as (select 1 n), b as (with a as (select 2 n) select * from a) select b.n from a, b", 2),
+        ("select count(*) n from SPARK_CATALOG.Warehouse.Fact_Sales", 2),
+        ("select sum(x) n from (values (1), (2)) v(x)", 3),
+        ("select count(*) n from warehouse.dim_time lateral view explode(array(1, 2)) e as x where month = 2", 2),
+        ("select max(n) n from (select count(*) over (partition by customer_key) n from warehouse.fact_sales)", 2),
+        ("select count(*) n from (select date_key from warehouse.dim_time union select 1 intersect select 1)", 3),
+    ],
+)
+def test_sql_gate_answers(spark, gated, text, rows):
+    assert [r["n"] for r in sqlstudio.answer(spark, text).rows] == [rows]
+
+
 def test_sql_gate_reads_the_query_not_its_words(spark):
     rows = sqlstudio.answer(spark, "select 'reflect(x)' as a from range(5)", limit=3)
     assert rows.row_count == 3 and rows.cut and rows.rows[0] == {"a": "reflect(x)"}
