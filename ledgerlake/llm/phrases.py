@@ -1,23 +1,23 @@
 """Phrase collocations, counted in HAT-tries whose sorted runs are merged by prefix.
 
-1. Words are counted per language. A sketch of fixed size remembers which are
-   frequent; it may let others pass, but misses none.
-2. Pairs of words that pass are counted in a trie of depth two, and frequent
-   pairs go to a second sketch.
-3. From every word on, a window is extended as long as the next pair passes, to
+1. A survey counts the words of each language, and hashes of neighbouring words
+   in blocks by their first bits. Hashes that come often enough set the bits of
+   a sketch of fixed size: it may let other pairs pass, but misses none that is
+   frequent.
+2. From every word on, a window is extended as long as the next pair passes, to
    ``MAX_WORDS`` at most. A phrase that is frequent has frequent pairs only, so
    each of its places lies at the start of a window. A trie holds the windows: the
    first word leads to a branch, which is a hash container of rests and bursts
    into containers by the second word when it grows.
-4. When a trie is full its largest subtrees are spilled whole: sorted, with a sum
+3. When a trie is full its largest subtrees are spilled whole: sorted, with a sum
    for every prefix, for the occurrences of a phrase are the windows that begin
    with it. Each prefix has a partition by its hash, where the sorted runs of
    all tasks are merged. So a word or pair that begins a third of all phrases is
    spread, and a prefix brings one row per run.
-5. Candidates meet the counts of the parts of each cut; products are decimals.
+4. Candidates meet the counts of the parts of each cut; products are decimals.
 
 Memory: a trie and the words of one task; rows of a run are bounded by what a
-trie holds. Words are told by their bytes throughout: sketches only spare work.
+trie holds. Phrases are told by their bytes: hashes and the sketch only spare work.
 
 Defined results: a null text counts as empty; a null language is ``und``; ties
 of score are settled by count, then by the phrase's UTF-8 bytes; rows that
@@ -28,10 +28,10 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
@@ -44,6 +44,10 @@ LEAST_COUNT = 100
 TOP = 2000
 #: 2**SKETCH_BITS bits: 4 MB, of which no more than 2**(SKETCH_BITS - 6) words reach the driver.
 SKETCH_BITS = 25
+#: Pairs are hashed to so many bits, of which the first ones name a block.
+PAIR_BITS, BLOCK_BITS = 46, 14
+#: Distinct pairs and words that a task holds before it hands on a sorted run.
+HELD_PAIRS, HELD_WORDS = 1 << 20, 1 << 19
 #: First selection of the top phrases of a language: parts by hash.
 TOP_PARTS = 64
 
@@ -56,17 +60,6 @@ _U = np.uint64
 _TEXTS_BYTES = 4 << 20
 
 
-def _words_numbered(vocabulary: Vocabulary, texts: list[bytes]) -> np.ndarray:
-    """Word numbers of all texts; number 0 stands between pieces and texts."""
-    return vocabulary.numbers(_END.join(texts).translate(_CLEAN).replace(_END, b" . "))
-
-
-def _new_vocabulary() -> Vocabulary:
-    vocabulary = Vocabulary()
-    vocabulary[_END] = 0
-    return vocabulary
-
-
 def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """Texts of one language, some megabytes at a time."""
     for batch in batches:
@@ -83,114 +76,179 @@ def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
         yield from held.items()
 
 
-def _batch(lang: str, phrases: list[bytes], counts) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    x = one * _U(0x9E3779B97F4A7C15) + (two ^ (two >> _U(31)))
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x >> _U(64 - PAIR_BITS)
 
 
-def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, occurrences) of a task, in sorted runs."""
-    seen: dict[str, tuple[Vocabulary, np.ndarray]] = {}
+class _Language:
+    """Words of one language in one task, by number, with their hashes."""
 
-    def run(lang: str) -> pa.RecordBatch:
-        vocabulary, counts = seen.pop(lang)
-        words = sorted(word for word in vocabulary if word != _END)
-        return _batch(lang, words, [counts[vocabulary[w]] for w in words])
+    def __init__(self, lang: str):
+        self.lang, self._seed = lang, xxh64_intdigest(lang.encode())
+        self._vocabulary, self._hashes = Vocabulary(), np.zeros(0, _U)
+        self._vocabulary[_END] = 0
+        self.names: list[bytes] = []
 
-    for lang, texts in _texts_by_language(batches):
-        vocabulary, counts = seen.get(lang) or (_new_vocabulary(), np.zeros(0, np.int64))
-        own = np.bincount(_words_numbered(vocabulary, texts), minlength=len(vocabulary))
-        own[: len(counts)] += counts
-        seen[lang] = vocabulary, own
-        if sum(len(v) for v, _ in seen.values()) > 1 << 19:
-            yield run(max(seen, key=lambda x: len(seen[x][0])))
-    for lang in list(seen):
-        yield run(lang)
+    def numbers(self, texts: list[bytes]) -> np.ndarray:
+        """Word numbers of all texts; 0 stands between pieces and texts."""
+        numbers = self._vocabulary.numbers(_END.join(texts).translate(_CLEAN).replace(_END, b" . "))
+        self.names = list(self._vocabulary)
+        new = [xxh64_intdigest(word, self._seed) for word in self.names[len(self._hashes) :]]
+        self._hashes = np.concatenate([self._hashes, np.array(new, _U)])
+        return numbers
 
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word and the next stand in one piece, and the hash of both."""
+        hashes = self._hashes[numbers]
+        return (numbers[:-1] > 0) & (numbers[1:] > 0), _pair_hash(hashes[:-1], hashes[1:])
 
-def _seed(lang: str) -> int:
-    return xxh64_intdigest(lang.encode())
+    def in_order(self) -> tuple[pa.Array, np.ndarray]:
+        """The words sorted by their bytes, and the place of each number among them."""
+        order = sorted(range(len(self.names)), key=self.names.__getitem__)
+        rank = np.empty(len(order) + 1, np.int32)
+        rank[order], rank[-1] = np.arange(len(order)), -1
+        return pa.array([self.names[i] for i in order], pa.binary()), rank
 
 
-def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    x = one * _U(0x9E3779B97F4A7C15) + (two ^ (two >> _U(31)))
-    return (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in a sketch of words, or of pairs of words."""
-    for batch in batches:
-        parts = [[xxh64_intdigest(w, _seed(lang)) for w in phrase.encode().split(b" ")] for lang, phrase in zip(*(c.to_pylist() for c in batch.columns[:2]))]
-        hashes = np.array([p[0] for p in parts], _U)
-        if parts and len(parts[0]) == 2:
-            hashes = _pair_hash(hashes, np.array([p[1] for p in parts], _U))
-        yield pa.RecordBatch.from_arrays([pa.array((hashes >> _U(64 - SKETCH_BITS)).astype(np.int64))], ["place"])
+_SURVEY = "lang string, phrase string, f long, block int, pairs binary, counts binary"
+_COUNTED = "lang string, phrase string, f long"
+_SURVEY_NAMES = [field.split()[0] for field in _SURVEY.split(", ")]
 
 
-def _sketch(frequent: DataFrame) -> np.ndarray:
-    """Bits of the frequent words or pairs; a fixed number of bytes whatever their number."""
-    places = frequent.select("lang", "phrase").mapInArrow(_places, "place long")
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-    found = words.toArrow()
-    bits = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return bits
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _in_sketch(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> _U(64 - SKETCH_BITS)
-    return (sketch.view(_U)[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+def _surveyor(least_count: int):
+    """Two kinds of rows: (lang, phrase, f) of a task's words, and hashes of its pairs with their counts by block.
 
+    Counts of pairs end at ``least_count``: what has reached it is frequent anyway.
+    """
+    kind = np.dtype(np.min_scalar_type(least_count))
+
+    def word_run(language: _Language, counts: np.ndarray) -> pa.RecordBatch:
+        words, rank = language.in_order()
+        own = np.zeros(len(words), np.int64)
+        own[rank[: len(counts)]] = counts
+        end = int(rank[0])
+        words = pa.concat_arrays([words[:end], words[end + 1 :]])
+        found = _batch(language.lang, words, np.delete(own, end))
+        return pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(len(words), t) for t in (pa.int32(), pa.binary(), pa.binary()))], _SURVEY_NAMES)
+
+    def pair_run(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        block = (keys >> _U(PAIR_BITS - BLOCK_BITS)).astype(np.int32)
+        first = np.flatnonzero(np.r_[len(block) > 0, block[1:] != block[:-1]])
+        rest, most = keys.astype(np.uint32), np.minimum(counts, least_count).astype(kind)
+        cuts = np.r_[first, len(keys)].astype(np.int32)
+        held = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]) for x in (rest, most)]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(first), t) for t in (pa.string(), pa.string(), pa.int64())), pa.array(block[first]), *held], _SURVEY_NAMES)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[_Language, np.ndarray]] = {}
+        keys, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for lang, texts in _texts_by_language(batches):
+            language, before = seen.get(lang) or (_Language(lang), np.zeros(0, np.int64))
+            numbers = language.numbers(texts)
+            own = np.bincount(numbers, minlength=len(language.names))
+            own[: len(before)] += before
+            seen[lang] = language, own
+            inside, hashes = language.pairs(numbers)
+            found, often = np.unique(hashes[inside], return_counts=True)
+            keys.append(found)
+            counts.append(often)
+            if sum(map(len, keys)) > 2 * HELD_PAIRS:
+                keys, counts = ([x] for x in _sums(keys, counts))
+                if len(keys[0]) > HELD_PAIRS:
+                    yield pair_run(keys[0], counts[0])
+                    keys, counts = [keys[0][:0]], [counts[0][:0]]
+            if sum(len(x.names) for x, _ in seen.values()) > HELD_WORDS:
+                yield word_run(*seen.pop(max(seen, key=lambda x: len(seen[x][0].names))))
+        yield pair_run(*_sums(keys, counts))
+        for language, own in seen.values():
+            yield word_run(language, own)
+
+    return survey
+
+
+def _block_merger(least_count: int):
+    """Hashes whose counts, over all runs of a block, reach ``least_count``; rows come sorted by block."""
+    kind = np.dtype(np.min_scalar_type(least_count))
 
-class _Language:
-    """Words of one language in one task, their hashes, and the trie of their sequences."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, counts = None, [], []
 
-    def __init__(self, lang: str, width: int):
-        self.lang, self.seed = lang, _seed(lang)
-        self.vocabulary, self.names = _new_vocabulary(), []
-        self.hashes = np.zeros(0, _U)
-        self.trie = HatTrie(width)
+        def frequent() -> pa.RecordBatch:
+            key, count = _sums(keys, counts)
+            found = key[count >= least_count].astype(np.int64) | last << (PAIR_BITS - BLOCK_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(found)], ["pair"])
 
-    def numbers(self, texts: list[bytes]) -> np.ndarray:
-        numbers = _words_numbered(self.vocabulary, texts)
-        names = list(self.vocabulary)
-        new = [xxh64_intdigest(w, self.seed) for w in names[len(self.hashes) :]]
-        self.names, self.hashes = names, np.concatenate([self.hashes, np.array(new, _U)])
-        return numbers
+        for batch in batches:
+            for block, pairs, often in zip(*(column.to_pylist() for column in batch.columns)):
+                if block != last:
+                    if keys:
+                        yield frequent()
+                    last, keys, counts = block, [], []
+                keys.append(np.frombuffer(pairs, np.uint32))
+                counts.append(np.frombuffer(often, kind).astype(np.int64))
+        if keys:
+            yield frequent()
 
-    def run(self, least: int, everything: bool) -> Iterator[pa.RecordBatch]:
-        """A spilled part of the trie as a sorted run: all prefixes of ``least`` words or more."""
-        for rows, counts in prefix_counts(*self.trie.spill(everything), least):
-            names = np.array(self.names, object)
-            phrases = [b" ".join(words) for words in names[rows].tolist()]
-            order = sorted(range(len(phrases)), key=phrases.__getitem__)
-            yield _batch(self.lang, [phrases[i] for i in order], counts[order])
+    return merge
 
 
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, sorted, and how often each comes."""
-    if rows.shape[1] == 2:
-        keys, counts = np.unique(rows[:, 0].astype(np.int64) << 32 | rows[:, 1], return_counts=True)
-        return np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1).astype(np.int32), counts
-    rows = rows[np.lexsort(rows.T[::-1])]
-    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], np.diff(np.r_[first, len(rows)])
+def _sketch(survey: DataFrame, least_count: int) -> np.ndarray:
+    """Bits of the frequent pairs; a fixed number of bytes whatever their number."""
+    runs = survey.filter("block IS NOT NULL").select("block", "pairs", "counts")
+    frequent = runs.repartition("block").sortWithinPartitions("block").mapInArrow(_block_merger(least_count), "pair long")
+    place = F.shiftright("pair", PAIR_BITS - SKETCH_BITS)
+    mask = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = frequent.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(mask).alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(_U)
 
 
-def _pairs_in(language: _Language, numbers: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    passes = _in_sketch(sketch, language.hashes)
-    passes[0] = False
-    known = passes[numbers]
-    at = np.flatnonzero(known[:-1] & known[1:])
-    return np.stack([numbers[at], numbers[at + 1]], axis=1)
+def _in_sketch(sketch: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    place = pairs >> _U(PAIR_BITS - SKETCH_BITS)
+    return (sketch[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of word numbers, sorted, and how often each comes."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    wide = int(rows.max() + 1).bit_length()
+    each = 63 // wide
+    keys = []
+    for start in range(0, rows.shape[1], each):
+        key = np.zeros(len(rows), np.int64)
+        for k in range(start, min(start + each, rows.shape[1])):
+            key = key << wide | rows[:, k].astype(np.int64) + 1
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = np.logical_or.reduce([key[order[1:]] != key[order[:-1]] for key in keys])
+    first = np.flatnonzero(new)
+    return rows[order[first]], np.diff(np.r_[first, len(rows)])
 
 
 def _windows_in(language: _Language, numbers: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """From each word on, the words as far as neighbours are frequent pairs; three at least."""
-    hashes = language.hashes[numbers]
-    joined = _in_sketch(sketch, _pair_hash(hashes[:-1], hashes[1:])) & (numbers[:-1] > 0) & (numbers[1:] > 0)
-    joined = np.r_[joined, np.zeros(MAX_WORDS, bool)]
-    at = np.flatnonzero(joined[:-1] & joined[1:])
+    """From each word on, the words as far as neighbours are frequent pairs; two at least."""
+    inside, hashes = language.pairs(numbers)
+    joined = np.r_[inside & _in_sketch(sketch, hashes), np.zeros(MAX_WORDS, bool)]
+    at = np.flatnonzero(joined)
     rows = np.full((len(at), MAX_WORDS), -1, np.int32)
     on = np.ones(len(at), bool)
     rows[:, 0] = numbers[at]
@@ -200,20 +258,27 @@ def _windows_in(language: _Language, numbers: np.ndarray, sketch: np.ndarray) ->
     return rows
 
 
-def _sequence_counter(width: int, least: int, sketch):
-    """(lang, phrase, occurrences) of the task's phrases of ``least`` to ``width`` words, in sorted runs."""
+def _sorted_run(language: _Language, trie: HatTrie, everything: bool) -> Iterator[pa.RecordBatch]:
+    """What a trie spills: all phrases of its windows, length by length in the order of their words."""
+    rows, counts = trie.spill(everything)
+    words, rank = language.in_order()
+    for found, often in prefix_counts(rank[rows], counts, 2):
+        columns = [words.take(pa.array(found[:, k])) for k in range(found.shape[1])]
+        yield _batch(language.lang, pc.binary_join_element_wise(*columns, b" "), often)
+
+
+def _phrase_counter(sketch):
+    """(lang, phrase, f) of the task's phrases of two words and more, in sorted runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, languages = sketch.value, {}
+        bits, seen = sketch.value, {}
         for lang, texts in _texts_by_language(batches):
-            language = languages.get(lang) or languages.setdefault(lang, _Language(lang, width))
-            numbers = language.numbers(texts)
-            found = (_pairs_in if width == 2 else _windows_in)(language, numbers, bits)
-            language.trie.add(*_distinct(found))
-            while language.trie.full():
-                yield from language.run(least, False)
-        for language in languages.values():
-            yield from language.run(least, True)
+            language, trie = seen.get(lang) or seen.setdefault(lang, (_Language(lang), HatTrie(MAX_WORDS)))
+            trie.add(*_distinct(_windows_in(language, language.numbers(texts), bits)))
+            while trie.full():
+                yield from _sorted_run(language, trie, False)
+        for language, trie in seen.values():
+            yield from _sorted_run(language, trie, True)
 
     return count
 
@@ -222,41 +287,36 @@ def _run_merger(least_count: int):
     """Adds up the neighbours of one phrase in rows sorted by language and phrase."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
+        held = None
         for batch in batches:
-            merged = []
-            for lang, phrase, count in zip(*(column.to_pylist() for column in batch.columns)):
-                if (lang, phrase) == last:
-                    total += count
-                else:
-                    if total >= least_count:
-                        merged.append((*last, total))
-                    last, total = (lang, phrase), count
-            if merged:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*merged))], ["lang", "phrase", "f"])
-        if total >= least_count:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*last, total)], ["lang", "phrase", "f"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            lang, phrase, counts = (table.column(i).combine_chunks() for i in range(3))
+            new = np.ones(len(phrase) + 1, bool)
+            new[1:-1] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(phrase[1:], phrase[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new[:-1])
+            sums = np.add.reduceat(counts.to_numpy(), first)
+            # The last phrase may go on in the next batch.
+            held = pa.RecordBatch.from_arrays([lang[first[-1] : first[-1] + 1], phrase[first[-1] : first[-1] + 1], pa.array(sums[-1:])], batch.schema.names)
+            chosen = np.flatnonzero(sums[:-1] >= least_count)
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(first[chosen])), phrase.take(pa.array(first[chosen])), pa.array(sums[chosen])], batch.schema.names)
+        if held is not None and held.column(2)[0].as_py() >= least_count:
+            yield held
 
     return merge
 
 
-def _merged(runs: DataFrame, least_count: int) -> DataFrame:
-    """Sums of the sorted runs, prefix by prefix, of what is frequent."""
-    dealt = runs.repartition("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return dealt.mapInArrow(_run_merger(least_count), "lang string, phrase string, f long")
-
-
 def frequent_phrases(texts: DataFrame, least_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of 1 to MAX_WORDS words with ``f >= least_count``; and (lang, n): all word occurrences."""
-    spark, schema = texts.sparkSession, "lang string, phrase string, f long"
-    words = written(texts.mapInArrow(_word_counter, schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrase-words")
+    survey = written(texts.mapInArrow(_surveyor(least_count), _SURVEY), "phrase-survey")
+    words = survey.filter("phrase IS NOT NULL")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [words.filter(F.col("f") >= least_count)]
-    for width, least in ((2, 2), (MAX_WORDS, 3)):
-        sketch = spark.sparkContext.broadcast(_sketch(levels[-1]))
-        runs = texts.mapInArrow(_sequence_counter(width, least, sketch), schema)
-        levels.append(written(_merged(runs, least_count), f"phrase-{width}"))
-    return reduce(DataFrame.unionByName, levels), totals
+    frequent_words = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least_count)
+    sketch = texts.sparkSession.sparkContext.broadcast(_sketch(survey, least_count))
+    runs = texts.mapInArrow(_phrase_counter(sketch), _COUNTED)
+    dealt = runs.repartition("lang", "phrase").sortWithinPartitions("lang", "phrase")
+    return frequent_words.unionByName(dealt.mapInArrow(_run_merger(least_count), _COUNTED)), totals
 
 
 def _part(first: int | Column, count: int | Column) -> Column:
