@@ -9,7 +9,7 @@ import numpy as np
 #: A container of more entries is burst: the next word becomes a branch of the trie.
 BURST = 4096
 #: Entries of all containers together before the largest subtrees are spilled.
-HELD = 1 << 19
+HELD = 1 << 18
 
 _WORD = 4
 _Rows = tuple[np.ndarray, np.ndarray]

@@ -3,12 +3,12 @@
 1. A survey counts the words of each language, and hashes of neighbouring words
    in blocks by their first bits. Hashes that come often enough set the bits of
    a sketch of fixed size: it may let other pairs pass, but misses none that is
-   frequent.
-2. From every word on, a window is extended as long as the next pair passes, to
-   ``MAX_WORDS`` at most. A phrase that is frequent has frequent pairs only, so
-   each of its places lies at the start of a window. A trie holds the windows: the
-   first word leads to a branch, which is a hash container of rests and bursts
-   into containers by the second word when it grows.
+   frequent. A second survey does the same for three words whose pairs pass.
+2. From every word on, a window is extended as long as the next pair and the next
+   three words pass, to ``MAX_WORDS`` at most. All parts of a frequent phrase are
+   frequent, so each of its places lies at the start of a window. A trie holds the
+   windows: the first word leads to a branch, which is a hash container of rests
+   and bursts into containers by the second word when it grows.
 3. When a trie is full its largest subtrees are spilled whole: sorted, with a sum
    for every prefix, for the occurrences of a phrase are the windows that begin
    with it. Each prefix has a partition by its hash, where the sorted runs of
@@ -44,10 +44,10 @@ LEAST_COUNT = 100
 TOP = 2000
 #: 2**SKETCH_BITS bits: 4 MB, of which no more than 2**(SKETCH_BITS - 6) words reach the driver.
 SKETCH_BITS = 25
-#: Pairs are hashed to so many bits, of which the first ones name a block.
-PAIR_BITS, BLOCK_BITS = 46, 14
-#: Distinct pairs and words that a task holds before it hands on a sorted run.
-HELD_PAIRS, HELD_WORDS = 1 << 20, 1 << 19
+#: Words in sequence are hashed to so many bits, of which the first ones name a block.
+HASH_BITS, BLOCK_BITS = 46, 14
+#: Distinct hashes and words that a task holds before it hands on a sorted run.
+HELD_HASHES, HELD_WORDS = 1 << 19, 1 << 18
 #: First selection of the top phrases of a language: parts by hash.
 TOP_PARTS = 64
 
@@ -57,7 +57,7 @@ _END = b"."
 _CLEAN = bytes(_END[0] if c in _ENDS else c for c in ASCII_LOWER)
 
 _U = np.uint64
-_TEXTS_BYTES = 4 << 20
+_TEXTS_BYTES = 2 << 20
 
 
 def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -76,10 +76,10 @@ def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
         yield from held.items()
 
 
-def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def _hash_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     x = one * _U(0x9E3779B97F4A7C15) + (two ^ (two >> _U(31)))
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return x >> _U(64 - PAIR_BITS)
+    return x >> _U(64 - HASH_BITS)
 
 
 class _Language:
@@ -102,7 +102,7 @@ class _Language:
     def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word and the next stand in one piece, and the hash of both."""
         hashes = self._hashes[numbers]
-        return (numbers[:-1] > 0) & (numbers[1:] > 0), _pair_hash(hashes[:-1], hashes[1:])
+        return (numbers[:-1] > 0) & (numbers[1:] > 0), _hash_of(hashes[:-1], hashes[1:])
 
     def in_order(self) -> tuple[pa.Array, np.ndarray]:
         """The words sorted by their bytes, and the place of each number among them."""
@@ -116,9 +116,10 @@ def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
 
-_SURVEY = "lang string, phrase string, f long, block int, pairs binary, counts binary"
 _COUNTED = "lang string, phrase string, f long"
-_SURVEY_NAMES = [field.split()[0] for field in _SURVEY.split(", ")]
+_HASHED = "block int, hashes binary, counts binary"
+_SURVEY = f"{_COUNTED}, {_HASHED}"
+_NAMES = [field.split()[0] for field in _SURVEY.split(", ")]
 
 
 def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,33 +131,57 @@ def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _surveyor(least_count: int):
-    """Two kinds of rows: (lang, phrase, f) of a task's words, and hashes of its pairs with their counts by block.
+class _HashCounts:
+    """Counts of hashes in one task, handed on in runs sorted by block.
 
-    Counts of pairs end at ``least_count``: what has reached it is frequent anyway.
+    Counts end at ``most``: what has reached it is frequent anyway.
     """
-    kind = np.dtype(np.min_scalar_type(least_count))
 
-    def word_run(language: _Language, counts: np.ndarray) -> pa.RecordBatch:
-        words, rank = language.in_order()
-        own = np.zeros(len(words), np.int64)
-        own[rank[: len(counts)]] = counts
-        end = int(rank[0])
-        words = pa.concat_arrays([words[:end], words[end + 1 :]])
-        found = _batch(language.lang, words, np.delete(own, end))
-        return pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(len(words), t) for t in (pa.int32(), pa.binary(), pa.binary()))], _SURVEY_NAMES)
-
-    def pair_run(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        block = (keys >> _U(PAIR_BITS - BLOCK_BITS)).astype(np.int32)
+    def __init__(self, most: int):
+        self._most, self._kind = most, np.dtype(np.min_scalar_type(most))
+        self._keys, self._counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+
+    def add(self, hashes: np.ndarray) -> None:
+        found, often = np.unique(hashes, return_counts=True)
+        self._keys.append(found)
+        self._counts.append(often)
+        if sum(map(len, self._keys)) > 2 * HELD_HASHES:
+            self._keys, self._counts = ([x] for x in _sums(self._keys, self._counts))
+
+    def full(self) -> bool:
+        return sum(map(len, self._keys)) > HELD_HASHES
+
+    def run(self) -> list[pa.Array]:
+        """(block, hashes, counts), and nothing is held any more."""
+        keys, counts = _sums(self._keys, self._counts)
+        self._keys, self._counts = [keys[:0]], [counts[:0]]
+        block = (keys >> _U(HASH_BITS - BLOCK_BITS)).astype(np.int32)
         first = np.flatnonzero(np.r_[len(block) > 0, block[1:] != block[:-1]])
-        rest, most = keys.astype(np.uint32), np.minimum(counts, least_count).astype(kind)
         cuts = np.r_[first, len(keys)].astype(np.int32)
-        held = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]) for x in (rest, most)]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(first), t) for t in (pa.string(), pa.string(), pa.int64())), pa.array(block[first]), *held], _SURVEY_NAMES)
+        parts = keys.astype(np.uint32), np.minimum(counts, self._most).astype(self._kind)
+        held = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]) for x in parts]
+        return [pa.array(block[first]), *held]
+
+
+def _word_run(language: _Language, counts: np.ndarray) -> list[pa.Array]:
+    """(lang, phrase, f) of the words, sorted."""
+    words, rank = language.in_order()
+    own, end = np.zeros(len(words), np.int64), int(rank[0])
+    own[rank[: len(counts)]] = counts
+    return _batch(language.lang, pa.concat_arrays([words[:end], words[end + 1 :]]), np.delete(own, end)).columns
+
+
+def _surveyor(least_count: int):
+    """Two kinds of rows: the words of a task with their counts, and hashes of its pairs with theirs."""
+
+    def row_of(words: list[pa.Array] | None, hashes: list[pa.Array] | None) -> pa.RecordBatch:
+        words = words or [pa.nulls(len(hashes[0]), t) for t in (pa.string(), pa.string(), pa.int64())]
+        hashes = hashes or [pa.nulls(len(words[0]), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*words, *hashes], _NAMES)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[_Language, np.ndarray]] = {}
-        keys, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        pairs = _HashCounts(least_count)
         for lang, texts in _texts_by_language(batches):
             language, before = seen.get(lang) or (_Language(lang), np.zeros(0, np.int64))
             numbers = language.numbers(texts)
@@ -164,19 +189,41 @@ def _surveyor(least_count: int):
             own[: len(before)] += before
             seen[lang] = language, own
             inside, hashes = language.pairs(numbers)
-            found, often = np.unique(hashes[inside], return_counts=True)
-            keys.append(found)
-            counts.append(often)
-            if sum(map(len, keys)) > 2 * HELD_PAIRS:
-                keys, counts = ([x] for x in _sums(keys, counts))
-                if len(keys[0]) > HELD_PAIRS:
-                    yield pair_run(keys[0], counts[0])
-                    keys, counts = [keys[0][:0]], [counts[0][:0]]
+            pairs.add(hashes[inside])
+            if pairs.full():
+                yield row_of(None, pairs.run())
             if sum(len(x.names) for x, _ in seen.values()) > HELD_WORDS:
-                yield word_run(*seen.pop(max(seen, key=lambda x: len(seen[x][0].names))))
-        yield pair_run(*_sums(keys, counts))
+                yield row_of(_word_run(*seen.pop(max(seen, key=lambda x: len(seen[x][0].names)))), None)
+        yield row_of(None, pairs.run())
         for language, own in seen.values():
-            yield word_run(language, own)
+            yield row_of(_word_run(language, own), None)
+
+    return survey
+
+
+def _in_sketch(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> _U(HASH_BITS - SKETCH_BITS)
+    return (sketch[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
+
+
+def _triples(language: _Language, numbers: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a pair passes; where three words begin whose pairs both pass, and their hashes."""
+    inside, hashes = language.pairs(numbers)
+    joined = inside & _in_sketch(pairs, hashes)
+    at = np.flatnonzero(joined[:-1] & joined[1:])
+    return joined, at, _hash_of(hashes[at], hashes[at + 1])
+
+
+def _triple_surveyor(least_count: int, sketch):
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, _Language] = {}
+        triples = _HashCounts(least_count)
+        for lang, texts in _texts_by_language(batches):
+            language = seen.get(lang) or seen.setdefault(lang, _Language(lang))
+            triples.add(_triples(language, language.numbers(texts), sketch.value)[2])
+            if triples.full():
+                yield pa.RecordBatch.from_arrays(triples.run(), _NAMES[3:])
+        yield pa.RecordBatch.from_arrays(triples.run(), _NAMES[3:])
 
     return survey
 
@@ -190,16 +237,16 @@ def _block_merger(least_count: int):
 
         def frequent() -> pa.RecordBatch:
             key, count = _sums(keys, counts)
-            found = key[count >= least_count].astype(np.int64) | last << (PAIR_BITS - BLOCK_BITS)
-            return pa.RecordBatch.from_arrays([pa.array(found)], ["pair"])
+            found = key[count >= least_count].astype(np.int64) | last << (HASH_BITS - BLOCK_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(found)], ["hash"])
 
         for batch in batches:
-            for block, pairs, often in zip(*(column.to_pylist() for column in batch.columns)):
+            for block, hashes, often in zip(*(column.to_pylist() for column in batch.columns)):
                 if block != last:
                     if keys:
                         yield frequent()
                     last, keys, counts = block, [], []
-                keys.append(np.frombuffer(pairs, np.uint32))
+                keys.append(np.frombuffer(hashes, np.uint32))
                 counts.append(np.frombuffer(often, kind).astype(np.int64))
         if keys:
             yield frequent()
@@ -207,24 +254,18 @@ def _block_merger(least_count: int):
     return merge
 
 
-def _sketch(survey: DataFrame, least_count: int) -> np.ndarray:
-    """Bits of the frequent pairs; a fixed number of bytes whatever their number."""
-    runs = survey.filter("block IS NOT NULL").select("block", "pairs", "counts")
-    frequent = runs.repartition("block").sortWithinPartitions("block").mapInArrow(_block_merger(least_count), "pair long")
-    place = F.shiftright("pair", PAIR_BITS - SKETCH_BITS)
+def _sketch(runs: DataFrame, least_count: int) -> np.ndarray:
+    """Bits of the frequent hashes; a fixed number of bytes whatever their number."""
+    dealt = runs.repartition("block").sortWithinPartitions("block")
+    place = F.shiftright("hash", HASH_BITS - SKETCH_BITS).alias("place")
     mask = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = frequent.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(mask).alias("bits"))
-    found = words.toArrow()
+    places = dealt.mapInArrow(_block_merger(least_count), "hash long").select(place)
+    found = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(mask).alias("bits")).toArrow()
     bits = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(_U)
 
 
-def _in_sketch(sketch: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    place = pairs >> _U(PAIR_BITS - SKETCH_BITS)
-    return (sketch[place >> _U(6)] >> (place & _U(63)) & _U(1)).astype(bool)
-
-
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of word numbers, sorted, and how often each comes."""
     if not len(rows):
@@ -244,16 +285,17 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order[first]], np.diff(np.r_[first, len(rows)])
 
 
-def _windows_in(language: _Language, numbers: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """From each word on, the words as far as neighbours are frequent pairs; two at least."""
-    inside, hashes = language.pairs(numbers)
-    joined = np.r_[inside & _in_sketch(sketch, hashes), np.zeros(MAX_WORDS, bool)]
+def _windows_in(language: _Language, numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """From each word on, the words as far as pairs and threes pass; two at least."""
+    joined, at, hashes = _triples(language, numbers, pairs)
+    goes_on = np.zeros(len(joined) + MAX_WORDS, bool)
+    goes_on[at] = _in_sketch(triples, hashes)
     at = np.flatnonzero(joined)
     rows = np.full((len(at), MAX_WORDS), -1, np.int32)
+    rows[:, 0], rows[:, 1] = numbers[at], numbers[at + 1]
     on = np.ones(len(at), bool)
-    rows[:, 0] = numbers[at]
-    for k in range(1, MAX_WORDS):
-        on &= joined[at + k - 1]
+    for k in range(2, MAX_WORDS):
+        on &= goes_on[at + k - 2]
         rows[on, k] = numbers[at[on] + k]
     return rows
 
@@ -267,14 +309,14 @@ def _sorted_run(language: _Language, trie: HatTrie, everything: bool) -> Iterato
         yield _batch(language.lang, pc.binary_join_element_wise(*columns, b" "), often)
 
 
-def _phrase_counter(sketch):
+def _phrase_counter(pairs, triples):
     """(lang, phrase, f) of the task's phrases of two words and more, in sorted runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = sketch.value, {}
+        seen: dict[str, tuple[_Language, HatTrie]] = {}
         for lang, texts in _texts_by_language(batches):
             language, trie = seen.get(lang) or seen.setdefault(lang, (_Language(lang), HatTrie(MAX_WORDS)))
-            trie.add(*_distinct(_windows_in(language, language.numbers(texts), bits)))
+            trie.add(*_distinct(_windows_in(language, language.numbers(texts), pairs.value, triples.value)))
             while trie.full():
                 yield from _sorted_run(language, trie, False)
         for language, trie in seen.values():
@@ -308,15 +350,20 @@ def _run_merger(least_count: int):
 
 
 def frequent_phrases(texts: DataFrame, least_count: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f) of 1 to MAX_WORDS words with ``f >= least_count``; and (lang, n): all word occurrences."""
+    """(lang, phrase, f) of 1 to MAX_WORDS words with ``f >= least_count``, written; and (lang, n): all word occurrences."""
+    context = texts.sparkSession.sparkContext
     survey = written(texts.mapInArrow(_surveyor(least_count), _SURVEY), "phrase-survey")
-    words = survey.filter("phrase IS NOT NULL")
+    words = survey.filter("phrase IS NOT NULL").select("lang", "phrase", "f")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent_words = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least_count)
-    sketch = texts.sparkSession.sparkContext.broadcast(_sketch(survey, least_count))
-    runs = texts.mapInArrow(_phrase_counter(sketch), _COUNTED)
+    pairs = context.broadcast(_sketch(survey.filter("block IS NOT NULL").select("block", "hashes", "counts"), least_count))
+    triples = context.broadcast(_sketch(texts.mapInArrow(_triple_surveyor(least_count, pairs), _HASHED), least_count))
+    runs = texts.mapInArrow(_phrase_counter(pairs, triples), _COUNTED)
     dealt = runs.repartition("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    return frequent_words.unionByName(dealt.mapInArrow(_run_merger(least_count), _COUNTED)), totals
+    frequent = written(frequent_words.unionByName(dealt.mapInArrow(_run_merger(least_count), _COUNTED)), "phrase-frequent")
+    pairs.destroy()
+    triples.destroy()
+    return frequent, totals
 
 
 def _part(first: int | Column, count: int | Column) -> Column:
@@ -355,7 +402,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least_
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = docs.select(F.coalesce(named(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     frequent, totals = frequent_phrases(texts, least_count)
-    frequent = written(frequent, "phrase-frequent")
     candidates = written(_independent(scored(frequent, totals), frequent), "phrase-candidates")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
