@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Row, functions as F, types as T
 
 from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
+from ledgerlake.operators.duplicates import first_copies
 from ledgerlake.operators.fills import forward_then_backward
-from ledgerlake.operators.frequencies import exact_quantiles, modes, nan_as_null, numeric_columns, value_frequencies
+from ledgerlake.operators.frequencies import modes, nan_as_null, numeric_columns, value_frequencies
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.quality import consistency
+from ledgerlake.operators.selection import exact_quantiles
 from ledgerlake.staging import stage
 
 RULE_SCHEMA = T.StructType(
@@ -104,13 +106,16 @@ def rules_list(rules: DataFrame) -> list[Rule]:
 
 
 def keep_first(df: DataFrame, position: str) -> DataFrame:
-    """Drop rows equal to an earlier one in everything but the position.
+    """Drop rows equal to an earlier one in everything but the position."""
+    return first_copies(df, position).select(*[F.col(f"`{c}`") for c in df.columns])
 
-    Grouping on the whole row combines copies before the shuffle, so many
-    copies of one row cost one row per task.
-    """
-    data = [c for c in df.columns if c != position]
-    return df.groupBy(*data).agg(F.min(position).alias(position)).select(*df.columns)
+
+def remove_duplicates(df: DataFrame, position: str) -> tuple[DataFrame, int]:
+    """The first copies, written, and how many rows went; counted by the write itself."""
+    gone = Observation()
+    kept = first_copies(df, position, "_dropped").observe(gone, F.sum("_dropped").alias("rows"))
+    written = stage(kept.select(*[F.col(f"`{c}`") for c in df.columns]), "deduplicated")
+    return written, gone.get["rows"] or 0
 
 
 def standardize_dates(
@@ -147,10 +152,9 @@ def fill_values(df: DataFrame, fills: Sequence[Rule]) -> dict[str, object]:
     if by_mean:
         values.update(df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in by_mean]).first().asDict())
     if by_median or by_mode:
-        counts = stage(value_frequencies(df, sorted({*by_median, *by_mode})), "fill-frequencies")
-        middles = exact_quantiles(counts, by_median, [0.5]) if by_median else {}
+        middles = exact_quantiles(df, by_median, [0.5]) if by_median else {}
         values.update({c: middles[c][0] if c in middles else None for c in by_median})
-        top = modes(counts, by_mode, sorted(numeric)) if by_mode else {}
+        top = modes(stage(value_frequencies(df, sorted(by_mode)), "fill-frequencies"), by_mode, sorted(numeric)) if by_mode else {}
         for c in by_mode:
             # A number column without values cannot hold the text placeholder.
             values[c] = top.get(c, None if c in numeric else "N/A")
@@ -211,9 +215,8 @@ def apply_rules(
     for kind, run in groupby(usable, key=lambda r: r.type):
         steps = list(run)
         if kind == "remove_duplicates":
-            before = df.count()
-            df = stage(keep_first(df, position), "deduplicated")
-            logs.append(f"Dropped {before - df.count()} duplicate rows.")
+            df, dropped = remove_duplicates(df, position)
+            logs.append(f"Dropped {dropped} duplicate rows.")
             logs += ["Dropped 0 duplicate rows."] * (len(steps) - 1)
         elif kind == "fill_nulls":
             while steps:

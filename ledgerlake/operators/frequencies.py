@@ -1,23 +1,17 @@
 """How often each value occurs in each column, and what follows from it.
 
-One shuffle with map-side combining turns the table into (column, text, n);
-distinct counts, modes, exact quantiles, outliers, histograms and parse rates
-then read this smaller table rather than the raw rows again. A value held by a
-large part of the rows is one counter per task before it is shuffled.
+One shuffle with map-side combining turns the columns asked for into (column,
+text, n), from which modes are read. A value held by a large part of the rows is
+one counter per task before it is shuffled. Distinct counts need no texts and no
+counts: numbers are told apart as numbers, or by a sketch of fixed size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgerlake.operators.ranking import rows_at
-
-# Bins per column in which ranks are looked up.
-_BINS = 1000
-
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -43,69 +37,32 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in real else F.col(f"`{c}`") for c in df.columns])
 
 
-def numbers(frequencies: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value DOUBLE, n) of the numeric columns, nulls left out."""
-    chosen = frequencies.filter(F.col("column").isin(list(columns)) & F.col("text").isNotNull())
-    values = chosen.select("column", F.col("text").cast("double").alias("value"), "n")
-    return values.filter(~F.isnan("value"))
-
+def distinct_counts(df: DataFrame, error: float | None = None) -> dict[str, int]:
+    """Different values of each column, nulls left out.
 
-def exact_quantiles(
-    frequencies: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
-) -> dict[str, list[float]]:
-    """Exact quantiles with linear interpolation between neighbouring rows.
-
-    Values are first counted in equal bins per column. Only the bins that hold
-    a wanted rank are then sorted, so little is sorted unless nearly all values
-    share a bin; a value repeated many times is one row. Returns one number per
-    column and probability; columns without any value are left out.
+    Exact by default: values of all columns meet in one shuffle that combines
+    first. With ``error`` each column has a mergeable sketch (HyperLogLog) of
+    that relative standard deviation, and only sketches are moved.
     """
-    values = numbers(frequencies, columns)
-    spans = {
-        r["column"]: r
-        for r in values.groupBy("column")
-        .agg(F.sum("n").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    }
-    low = by_column({c: s["low"] for c, s in spans.items()}).cast("double")
-    width = by_column({c: s["high"] - s["low"] for c, s in spans.items()}).cast("double")
-    place = F.least(F.floor((F.col("value") - low) / width * _BINS), F.lit(_BINS - 1))
-    binned = values.withColumn("bin", F.when((width > 0) & (width < F.lit(float("inf"))), place).otherwise(0))
-
-    # Rows before and after each wanted quantile, counted from 0 in their column.
-    ranks: dict[str, dict[float, tuple[int, int, float]]] = {}
-    for column, span in spans.items():
-        steps = {p: p * (span["rows"] - 1) for p in probabilities}
-        ranks[column] = {p: (int(s), min(int(s) + 1, span["rows"] - 1), s - int(s)) for p, s in steps.items()}
-
-    # At most _BINS rows per column.
-    sizes = binned.groupBy("column", "bin").agg(F.sum("n").alias("rows")).orderBy("column", "bin").collect()
-    position, kept, sorted_rows = {}, {}, 0
-    for column, bins in groupby(sizes, key=lambda r: r["column"]):
-        wanted = {rank for low_rank, high_rank, _ in ranks[column].values() for rank in (low_rank, high_rank)}
-        start = 0
-        for size in bins:
-            inside = [r for r in wanted if start <= r < start + size["rows"]]
-            if inside:
-                kept.setdefault(column, []).append(size["bin"])
-                position.update({(column, r): sorted_rows + r - start + 1 for r in inside})
-                sorted_rows += size["rows"]
-            start += size["rows"]
-    near = F.lit(False)
-    for column, bins in kept.items():
-        near = near | ((F.col("column") == column) & F.col("bin").isin(bins))
-    found = {
-        r["position"]: r["value"]
-        for r in rows_at(
-            binned.filter(near).drop("bin"), ["column", "value"], sorted(position.values()), weight="n"
+    if error is not None:
+        row = df.agg(*[F.approx_count_distinct(f"`{c}`", error).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+        return dict(zip(df.columns, row))
+    cells = []
+    for i, field in enumerate(df.schema.fields):
+        value = F.col(f"`{field.name}`")
+        whole = isinstance(field.dataType, T.IntegralType)
+        real = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+        cell = F.struct(
+            F.lit(i).alias("c"),
+            (value if whole else F.lit(None)).cast("long").alias("whole"),
+            (value if real else F.lit(None)).cast("double").alias("real"),
+            (F.lit(None) if whole or real else value).cast("string").alias("text"),
         )
-    }
-
-    def between(column: str, lower: int, upper: int, part: float) -> float:
-        first, second = found[position[column, lower]], found[position[column, upper]]
-        return first + (second - first) * part
-
-    return {c: [between(c, *ranks[c][p]) for p in probabilities] for c in spans}
+        cells.append(F.when(value.isNotNull(), cell))
+    values = df.select(F.explode(F.array(*cells)).alias("v")).filter("v IS NOT NULL").select("v.*")
+    counts = values.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {df.columns[r["c"]]: r["n"] for r in counts}
+    return {c: found.get(c, 0) for c in df.columns}
 
 
 def modes(

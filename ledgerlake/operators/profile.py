@@ -1,8 +1,9 @@
 """Table profile: shape, per-column statistics, outliers, histograms, correlations.
 
-Three scans of the raw rows, each over just the columns it needs: value
-frequencies (one shuffle), moments and correlations (one aggregate row), and
-duplicates (one shuffle). The rest reads the written frequency table.
+Everything is read off the raw rows by aggregates that combine before they
+shuffle: counts and moments in one row, quartiles by radix selection, outliers
+in one row, histograms as a row per bin. Only exact distinct counts move values,
+each different one once per task, and duplicates move a hash per row.
 """
 
 from __future__ import annotations
@@ -14,44 +15,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.errors import EmptyDataset
-from ledgerlake.operators.frequencies import (
-    by_column,
-    exact_quantiles,
-    nan_as_null,
-    numbers,
-    numeric_columns,
-    value_frequencies,
-)
-from ledgerlake.staging import stage
+from ledgerlake.operators.duplicates import duplicate_rows
+from ledgerlake.operators.frequencies import by_column, distinct_counts, nan_as_null, numeric_columns
+from ledgerlake.operators.selection import as_number, exact_quantiles
 
 HISTOGRAM_BINS = 10
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows equal an earlier row (nulls equal each other)."""
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
-
-
-def moments(df: DataFrame) -> DataFrame:
-    """(column, min, max, mean, std_dev) of the numeric columns, unrounded."""
-    columns = numeric_columns(df)
-    aggregates = []
-    for c in columns:
-        value = F.col(f"`{c}`").cast("double")
-        aggregates += [
-            F.struct(
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                F.avg(value).alias("mean"),
-                F.when(F.count(value) > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("std_dev"),
-            ).alias(c)
-        ]
-    if not aggregates:
-        return df.sparkSession.createDataFrame(
-            [], "column string, min double, max double, mean double, std_dev double"
-        )
-    return df.agg(*aggregates).unpivot([], columns, "column", "stats").select("column", "stats.*")
+def _frame(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A few statistics as a table."""
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
@@ -90,41 +63,67 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Profile:
-    """Profile of a table; each part is computed when first asked for."""
+    """Profile of a table; each part is computed when first asked for.
+
+    ``distinct_error`` counts different values by sketches with that relative
+    standard deviation, for tables too wide or too large for exact counts.
+    """
 
     source: DataFrame
+    distinct_error: float | None = None
 
     def __post_init__(self):
         self.source = nan_as_null(self.source)
 
-    @cached_property
-    def frequencies(self) -> DataFrame:
-        return stage(value_frequencies(self.source), "frequencies")
-
     @cached_property
     def numeric(self) -> list[str]:
         return numeric_columns(self.source)
 
+    @cached_property
+    def _cells(self):
+        """One row: the rows, the values of every column, and moments of the numeric ones."""
+        parts = [F.count(F.lit(1)).alias("rows"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(self.source.columns)]]
+        for i, c in enumerate(self.numeric):
+            value = as_number(self.source, c)
+            parts.append(F.struct(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).alias(f"m{i}"))
+        return self.source.agg(*parts).first()
+
     @cached_property
     def row_count(self) -> int:
-        return self.source.count()
+        return self._cells["rows"]
+
+    @cached_property
+    def value_counts(self) -> dict[str, int]:
+        """How many cells of each column hold a value."""
+        return {c: self._cells[f"n{i}"] for i, c in enumerate(self.source.columns)}
+
+    @cached_property
+    def moments(self) -> dict[str, tuple[float, float, float, float]]:
+        """Least, greatest, mean and sample deviation of the numeric columns that hold a value."""
+        rows = {c: self._cells[f"m{i}"] for i, c in enumerate(self.numeric)}
+        return {c: (m["min"], m["max"], m["mean"], m["std"] or 0.0) for c, m in rows.items() if m["min"] is not None}
 
     @cached_property
     def duplicates(self) -> int:
         return duplicate_rows(self.source).first()["duplicate_rows"]
 
     @cached_property
-    def quartiles(self) -> dict[str, list[float]]:
-        return exact_quantiles(self.frequencies, self.numeric, [0.25, 0.5, 0.75])
+    def distinct(self) -> dict[str, int]:
+        return distinct_counts(self.source, self.distinct_error)
 
     @cached_property
-    def _moments(self) -> DataFrame:
-        # One row per numeric column.
-        return stage(moments(self.source), "moments")
+    def quartiles(self) -> dict[str, list[float]]:
+        extent = {c: (self.value_counts[c], m[0], m[1]) for c, m in self.moments.items()}
+        return exact_quantiles(self.source, self.numeric, [0.25, 0.5, 0.75], extent)
 
     @cached_property
-    def _extent(self) -> dict[str, tuple[float, float]]:
-        return {r["column"]: (r["min"], r["max"]) for r in self._moments.filter("min is not null").collect()}
+    def _outlier_counts(self) -> dict[str, int]:
+        parts = []
+        for c, (q1, _, q3) in self.quartiles.items():
+            value, reach = as_number(self.source, c), 1.5 * (q3 - q1)
+            parts.append(F.count_if((value < q1 - reach) | (value > q3 + reach)))
+        row = self.source.agg(*[p.alias(f"o{i}") for i, p in enumerate(parts)]).first() if parts else ()
+        return dict(zip(self.quartiles, row))
 
     def require_rows(self) -> None:
         if not self.row_count:
@@ -133,51 +132,28 @@ class Profile:
     def null_counts(self) -> DataFrame:
         """(column, null_count, null_percentage, unique_count)"""
         self.require_rows()
-        nulls = F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0))
-        return self.frequencies.groupBy("column").agg(
-            nulls.alias("null_count"),
-            F.round(nulls / self.row_count * 100, 2).alias("null_percentage"),
-            F.count("text").alias("unique_count"),
-        )
+        rows = [(c, self.row_count - n, self.distinct[c]) for c, n in self.value_counts.items()]
+        counts = _frame(self.source, rows, "column string, null_count long, unique_count long")
+        percentage = F.round(F.col("null_count") / self.row_count * 100, 2)
+        return counts.select("column", "null_count", percentage.alias("null_percentage"), "unique_count")
 
     def numeric_summary(self) -> DataFrame:
         """(column, min, max, mean, median, std_dev), rounded to four places."""
-        medians = {c: q[1] for c, q in self.quartiles.items()}
-        return self._moments.filter(F.col("min").isNotNull()).select(
-            "column",
-            "min",
-            "max",
-            F.round("mean", 4).alias("mean"),
-            F.round(by_column(medians).cast("double"), 4).alias("median"),
-            F.round("std_dev", 4).alias("std_dev"),
-        )
+        rows = [(c, low, high, mean, self.quartiles[c][1], std) for c, (low, high, mean, std) in self.moments.items()]
+        stats = _frame(self.source, rows, "column string, min double, max double, mean double, median double, std_dev double")
+        return stats.select("column", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std_dev")])
 
     def outliers(self) -> DataFrame:
         """(column, q1, q3, value_count, outlier_count): values strictly beyond 1.5 quartile ranges."""
-        low = by_column({c: q[0] - 1.5 * (q[2] - q[0]) for c, q in self.quartiles.items()}).cast("double")
-        high = by_column({c: q[2] + 1.5 * (q[2] - q[0]) for c, q in self.quartiles.items()}).cast("double")
-        beyond = (F.col("value") < low) | (F.col("value") > high)
-        return (
-            numbers(self.frequencies, self.numeric)
-            .groupBy("column")
-            .agg(
-                F.sum("n").alias("value_count"),
-                F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("outlier_count"),
-            )
-            .select(
-                "column",
-                by_column({c: q[0] for c, q in self.quartiles.items()}).cast("double").alias("q1"),
-                by_column({c: q[2] for c, q in self.quartiles.items()}).cast("double").alias("q3"),
-                "value_count",
-                "outlier_count",
-            )
-        )
+        rows = [(c, q[0], q[2], self.value_counts[c], self._outlier_counts[c]) for c, q in self.quartiles.items()]
+        return _frame(self.source, rows, "column string, q1 double, q3 double, value_count long, outlier_count long")
 
     def missing_cells_pct(self) -> DataFrame:
         """One row: share of all cells that are missing, in percent."""
         self.require_rows()
-        missing = F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0))
-        return self.frequencies.agg(F.round(missing / F.sum("n") * 100, 2).alias("missing_cells_pct"))
+        cells = self.row_count * len(self.value_counts)
+        rows = _frame(self.source, [(cells - sum(self.value_counts.values()), cells)], "missing long, cells long")
+        return rows.select(F.round(F.col("missing") / F.col("cells") * 100, 2).alias("missing_cells_pct"))
 
     def histograms(self, include_max: bool = True) -> DataFrame:
         """(column, bin, bin_start, bin_end, count): ten equal bins, empty ones left out.
@@ -185,30 +161,20 @@ class Profile:
         Without ``include_max`` rows at the maximum fall just past the last bin
         and are not shown.
         """
-        low = by_column({c: e[0] for c, e in self._extent.items()}).cast("double")
-        width = by_column(
-            {c: (e[1] - e[0]) / HISTOGRAM_BINS for c, e in self._extent.items()}
-        ).cast("double")
-        place = F.floor((F.col("value") - F.col("low")) / F.col("width"))
-        if include_max:
-            place = F.least(place, F.lit(HISTOGRAM_BINS - 1))
-        return (
-            numbers(self.frequencies, self.numeric)
-            .withColumn("low", low)
-            .withColumn("width", width)
-            .filter(F.col("width") > 0)
-            .withColumn("bin", place)
-            .filter(F.col("bin").between(0, HISTOGRAM_BINS - 1))
-            .groupBy("column", "low", "width", "bin")
-            .agg(F.sum("n").alias("count"))
-            .select(
-                "column",
-                "bin",
-                F.round(F.col("low") + F.col("bin") * F.col("width"), 2).alias("bin_start"),
-                F.round(F.col("low") + (F.col("bin") + 1) * F.col("width"), 2).alias("bin_end"),
-                "count",
-            )
-        )
+        low = {c: m[0] for c, m in self.moments.items()}
+        width = {c: (m[1] - m[0]) / HISTOGRAM_BINS for c, m in self.moments.items()}
+        cells = []
+        for c in (c for c, w in width.items() if 0 < w < float("inf")):
+            value = as_number(self.source, c)
+            place = F.floor((value - F.lit(low[c])) / F.lit(width[c]))
+            place = F.least(place, F.lit(HISTOGRAM_BINS - 1)) if include_max else place
+            cells.append(F.when(value.isNotNull(), F.struct(F.lit(c).alias("column"), place.alias("bin"))))
+        if not cells:
+            return _frame(self.source, [], "column string, bin long, bin_start double, bin_end double, count long")
+        binned = self.source.select(F.explode(F.array(*cells)).alias("c")).filter(f"c.bin BETWEEN 0 AND {HISTOGRAM_BINS - 1}").select("c.*")
+        counts = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
+        edge = lambda step: F.round(by_column(low).cast("double") + (F.col("bin") + step) * by_column(width).cast("double"), 2)
+        return counts.select("column", "bin", edge(0).alias("bin_start"), edge(1).alias("bin_end"), "count")
 
     def correlations(self) -> DataFrame:
         return correlation_matrix(self.source)

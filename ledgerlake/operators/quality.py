@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlake.functions.dates import STRICT_FORMATS, is_date_column, parse_date
-from ledgerlake.operators.frequencies import numbers
+from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.profile import Profile
 
 # Weight of each dimension in the total, and the score from which
@@ -23,37 +22,52 @@ GOOD_FROM = {
 }
 
 
+def _score(profile: Profile, value: Column) -> DataFrame:
+    return profile.source.sparkSession.range(1).select(F.round(value, 2).alias("score"))
+
+
 def _mean_share(shares: DataFrame) -> DataFrame:
     """Mean of the per-column shares as a rounded percentage; 100 when no column applies."""
     return shares.agg(F.coalesce(F.round(F.avg("share") * 100, 2), F.lit(100.0)).alias("score"))
 
 
+def _shares(profile: Profile, conditions: dict[str, Column]) -> DataFrame:
+    """(share): of each column's values, those that meet its condition; no row for a column without values."""
+    parts = [F.try_divide(F.count_if(met), F.count(f"`{c}`")) for c, met in conditions.items()]
+    one_row = profile.source.agg(F.array(*[p.cast("double") for p in parts] or [F.lit(None).cast("double")]).alias("shares"))
+    return one_row.select(F.explode("shares").alias("share"))
+
+
 def completeness(profile: Profile) -> DataFrame:
-    filled = F.sum(F.when(F.col("text").isNotNull(), F.col("n")).otherwise(0))
-    return profile.frequencies.agg(F.round(filled / F.sum("n") * 100, 2).alias("score"))
+    cells = profile.row_count * len(profile.value_counts)
+    return _score(profile, F.lit(sum(profile.value_counts.values())) / F.lit(cells) * 100)
+
 
+def consistency(profile: Profile, formats: Sequence[str] | None = STRICT_FORMATS) -> DataFrame:
+    """Share of date texts that parse, averaged over the date and time columns.
 
-def consistency(profile: Profile, formats: Sequence[str] = STRICT_FORMATS) -> DataFrame:
-    """Share of date texts that parse, averaged over the date and time columns."""
-    dated = [c for c in profile.source.columns if is_date_column(c)]
-    typed = [f.name for f in profile.source.schema.fields if isinstance(f.dataType, T.DatetimeType)]
-    values = profile.frequencies.filter(F.col("column").isin(dated) & F.col("text").isNotNull())
-    parses = F.col("column").isin(typed) | parse_date(F.col("text"), formats).isNotNull()
-    parsed = F.sum(F.when(parses, F.col("n")).otherwise(0))
-    return _mean_share(values.groupBy("column").agg((parsed / F.sum("n")).alias("share")))
+    Without ``formats`` a text counts if standardising dates would read it.
+    """
+    source, conditions = profile.source, {}
+    for c in filter(is_date_column, source.columns):
+        text = F.col(f"`{c}`").cast("string")
+        if is_typed_date(source, c):
+            conditions[c] = text.isNotNull()
+        elif formats is None:
+            conditions[c] = parse_date(F.trim(text), formats_of(source, c), with_time=True).isNotNull()
+        else:
+            conditions[c] = parse_date(text, formats).isNotNull()
+    return _mean_share(_shares(profile, conditions))
 
 
 def validity(profile: Profile) -> DataFrame:
     """Share of values that are not negative, averaged over the sales and quantity columns."""
     checked = [c for c in profile.numeric if "sales" in c.lower() or "quantity" in c.lower()]
-    positive = F.sum(F.when(F.col("value") >= 0, F.col("n")).otherwise(0))
-    values = numbers(profile.frequencies, checked)
-    return _mean_share(values.groupBy("column").agg((positive / F.sum("n")).alias("share")))
+    return _mean_share(_shares(profile, {c: F.col(f"`{c}`") >= 0 for c in checked}))
 
 
 def uniqueness(profile: Profile) -> DataFrame:
-    from_counts = F.lit(profile.row_count - profile.duplicates) / F.lit(profile.row_count) * 100
-    return profile.frequencies.agg(F.round(from_counts, 2).alias("score"))
+    return _score(profile, F.lit(profile.row_count - profile.duplicates) / F.lit(profile.row_count) * 100)
 
 
 def accuracy(profile: Profile) -> DataFrame:

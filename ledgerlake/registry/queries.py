@@ -11,7 +11,8 @@ from ledgerlake.functions.dates import RECOVERING_FORMATS, is_iso_date
 from ledgerlake.functions.names import normalise_headers
 from ledgerlake.operators import cleaning, classify, quality, timeseries
 from ledgerlake.operators.cleaning import Rule
-from ledgerlake.operators.profile import Profile, duplicate_rows
+from ledgerlake.operators.duplicates import duplicate_rows
+from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans import dashboard, insights, report, sqlstudio, warehouse
 from ledgerlake.registry.data import Folder, folder
