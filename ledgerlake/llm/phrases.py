@@ -11,9 +11,9 @@
    and bursts into containers by the second word when it grows.
 3. When a trie is full its largest subtrees are spilled whole: sorted, with a sum
    for every prefix, for the occurrences of a phrase are the windows that begin
-   with it. Each prefix has a partition by its hash, where the sorted runs of
-   all tasks are merged. So a word or pair that begins a third of all phrases is
-   spread, and a prefix brings one row per run.
+   with it. Each prefix has a partition by its hash; a run is cut by partition,
+   and there the sorted runs of all tasks are merged. So a word or pair that
+   begins a third of all phrases is spread, and a prefix comes once per run.
 4. Candidates meet the counts of the parts of each cut; products are decimals.
 
 Memory: a trie and the words of one task; rows of a run are bounded by what a
@@ -28,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ SKETCH_BITS = 25
 HASH_BITS, BLOCK_BITS = 46, 14
 #: Distinct hashes and words that a task holds before it hands on a sorted run.
 HELD_HASHES, HELD_WORDS = 1 << 19, 1 << 18
+#: Each language's prefixes are dealt to 2**PREFIX_BITS partitions.
+PREFIX_BITS = 12
+#: Phrases of one partition that are gathered from runs before they are merged.
+MERGED = 1 << 18
 #: First selection of the top phrases of a language: parts by hash.
 TOP_PARTS = 64
 
@@ -104,6 +109,12 @@ class _Language:
         hashes = self._hashes[numbers]
         return (numbers[:-1] > 0) & (numbers[1:] > 0), _hash_of(hashes[:-1], hashes[1:])
 
+    def hashes_in_order(self, rank: np.ndarray) -> np.ndarray:
+        """The words' hashes in the order of :meth:`in_order`."""
+        found = np.empty_like(self._hashes)
+        found[rank[:-1]] = self._hashes
+        return found
+
     def in_order(self) -> tuple[pa.Array, np.ndarray]:
         """The words sorted by their bytes, and the place of each number among them."""
         order = sorted(range(len(self.names)), key=self.names.__getitem__)
@@ -300,17 +311,35 @@ def _windows_in(language: _Language, numbers: np.ndarray, pairs: np.ndarray, tri
     return rows
 
 
-def _sorted_run(language: _Language, trie: HatTrie, everything: bool) -> Iterator[pa.RecordBatch]:
-    """What a trie spills: all phrases of its windows, length by length in the order of their words."""
+def _sorted_run(language: _Language, trie: HatTrie, everything: bool) -> pa.RecordBatch:
+    """What a trie spills: (lang, partition, phrases, counts), the phrases of a length in the order of their words."""
     rows, counts = trie.spill(everything)
     words, rank = language.in_order()
+    hashes = language.hashes_in_order(rank)
+    phrases, sums, partitions = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for found, often in prefix_counts(rank[rows], counts, 2):
-        columns = [words.take(pa.array(found[:, k])) for k in range(found.shape[1])]
-        yield _batch(language.lang, pc.binary_join_element_wise(*columns, b" "), often)
+        phrases.append(pc.binary_join_element_wise(*[words.take(pa.array(found[:, k])) for k in range(found.shape[1])], b" "))
+        hashed = reduce(_hash_of, (hashes[found[:, k]] for k in range(found.shape[1])))
+        partitions.append((hashed & _U((1 << PREFIX_BITS) - 1)).astype(np.int64))
+        sums.append(often)
+    partition = np.concatenate(partitions)
+    order = np.argsort(partition, kind="stable")
+    partition = partition[order]
+    first = np.flatnonzero(np.r_[len(partition) > 0, partition[1:] != partition[:-1]])
+    cuts = pa.array(np.r_[first, len(partition)].astype(np.int32))
+    lists = [
+        pa.ListArray.from_arrays(cuts, pa.concat_arrays(phrases).cast(pa.string()).take(pa.array(order))),
+        pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sums)[order])),
+    ]
+    names = ["lang", "partition", "phrases", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array([language.lang] * len(first), pa.string()), pa.array(partition[first].astype(np.int32)), *lists], names)
+
+
+_RUNS = "lang string, partition int, phrases array<string>, counts array<long>"
 
 
 def _phrase_counter(pairs, triples):
-    """(lang, phrase, f) of the task's phrases of two words and more, in sorted runs."""
+    """Sorted runs of the task's phrases of two words and more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[_Language, HatTrie]] = {}
@@ -318,33 +347,51 @@ def _phrase_counter(pairs, triples):
             language, trie = seen.get(lang) or seen.setdefault(lang, (_Language(lang), HatTrie(MAX_WORDS)))
             trie.add(*_distinct(_windows_in(language, language.numbers(texts), pairs.value, triples.value)))
             while trie.full():
-                yield from _sorted_run(language, trie, False)
+                yield _sorted_run(language, trie, False)
         for language, trie in seen.values():
-            yield from _sorted_run(language, trie, True)
+            yield _sorted_run(language, trie, True)
 
     return count
 
 
+def _merged(phrases: list[pa.Array], counts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct phrases of several runs with the sums of their counts."""
+    joined = pa.concat_arrays(phrases)
+    order = pc.sort_indices(joined)
+    joined = joined.take(order)
+    new = np.ones(len(joined), bool)
+    new[1:] = pc.not_equal(joined[1:], joined[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    return joined.take(pa.array(first)), np.add.reduceat(pa.concat_arrays(counts).to_numpy()[order.to_numpy()], first)
+
+
 def _run_merger(least_count: int):
-    """Adds up the neighbours of one phrase in rows sorted by language and phrase."""
+    """Frequent phrases of each partition; rows come sorted by language and partition."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        last, phrases, counts, held = None, [], [], 0
+
+        def frequent() -> pa.RecordBatch:
+            found, sums = _merged(phrases, counts)
+            chosen = np.flatnonzero(sums >= least_count)
+            return _batch(last[0], found.take(pa.array(chosen)), sums[chosen])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            lang, phrase, counts = (table.column(i).combine_chunks() for i in range(3))
-            new = np.ones(len(phrase) + 1, bool)
-            new[1:-1] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(phrase[1:], phrase[:-1])).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(new[:-1])
-            sums = np.add.reduceat(counts.to_numpy(), first)
-            # The last phrase may go on in the next batch.
-            held = pa.RecordBatch.from_arrays([lang[first[-1] : first[-1] + 1], phrase[first[-1] : first[-1] + 1], pa.array(sums[-1:])], batch.schema.names)
-            chosen = np.flatnonzero(sums[:-1] >= least_count)
-            yield pa.RecordBatch.from_arrays([lang.take(pa.array(first[chosen])), phrase.take(pa.array(first[chosen])), pa.array(sums[chosen])], batch.schema.names)
-        if held is not None and held.column(2)[0].as_py() >= least_count:
-            yield held
+            cuts = batch.column(2).offsets.to_pylist()
+            parts = batch.column(2).values, batch.column(3).values
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key != last:
+                    if phrases:
+                        yield frequent()
+                    last, phrases, counts, held = key, [], [], 0
+                phrases.append(parts[0][cuts[i] : cuts[i + 1]])
+                counts.append(parts[1][cuts[i] : cuts[i + 1]])
+                held += cuts[i + 1] - cuts[i]
+                if held > MERGED:
+                    found, sums = _merged(phrases, counts)
+                    phrases, counts, held = [found], [pa.array(sums)], 0
+        if phrases:
+            yield frequent()
 
     return merge
 
@@ -358,8 +405,8 @@ def frequent_phrases(texts: DataFrame, least_count: int) -> tuple[DataFrame, Dat
     frequent_words = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least_count)
     pairs = context.broadcast(_sketch(survey.filter("block IS NOT NULL").select("block", "hashes", "counts"), least_count))
     triples = context.broadcast(_sketch(texts.mapInArrow(_triple_surveyor(least_count, pairs), _HASHED), least_count))
-    runs = texts.mapInArrow(_phrase_counter(pairs, triples), _COUNTED)
-    dealt = runs.repartition("lang", "phrase").sortWithinPartitions("lang", "phrase")
+    runs = texts.mapInArrow(_phrase_counter(pairs, triples), _RUNS)
+    dealt = runs.repartition("lang", "partition").sortWithinPartitions("lang", "partition")
     frequent = written(frequent_words.unionByName(dealt.mapInArrow(_run_merger(least_count), _COUNTED)), "phrase-frequent")
     pairs.destroy()
     triples.destroy()
