@@ -58,11 +58,10 @@ def is_typed_date(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.DatetimeType)
 
 
-def iso_text(df: DataFrame, column: str) -> DataFrame:
-    """A DATE or TIMESTAMP column as yyyy-MM-dd text; a text column stays as it is."""
-    if column not in df.columns or not is_typed_date(df, column):
-        return df
-    return df.withColumn(column, F.date_format(F.col(f"`{column}`"), "yyyy-MM-dd"))
+def day_of(df: DataFrame, column: str) -> Column:
+    """The day of a DATE or TIMESTAMP column as it is, or of well-formed yyyy-MM-dd texts; else NULL."""
+    value = F.col(f"`{column}`")
+    return value.cast("date") if is_typed_date(df, column) else iso_date(value)
 
 
 def iso_date(text: Column) -> Column:

@@ -45,6 +45,66 @@ def global_row_number(
     )
 
 
+def _common_prefix(first: str, last: str) -> int:
+    return next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+
+
+def _bucket(text: Column, depth: Column) -> Column:
+    """The first characters of a text, in an order that has null before all texts."""
+    return F.when(text.isNull(), "0").otherwise(F.concat(F.lit("1"), F.substring(text, F.lit(1), depth)))
+
+
+def _split_depths(df: DataFrame, lead: str, second: str, counts: DataFrame, most: int) -> dict:
+    """For leads with more than ``most`` rows, how many characters of ``second`` make their buckets small enough.
+
+    Where the texts of a lead begin alike, the splitting starts behind that.
+    Each round counts the leads still open, a row per bucket and task. A single
+    text that has more rows stays one bucket.
+    """
+    found, depths = {}, {r[lead]: 0 for r in counts.filter(F.col("rows") > most).select(lead).collect()}
+    while depths:
+        depth = F.create_map(*[F.lit(x) for pair in depths.items() for x in pair])[F.col(lead)]
+        inside = df.filter(F.col(lead).isin(list(depths))).groupBy(lead, _bucket(F.col(second), depth).alias("_bucket"))
+        ends = [f(F.col(second)).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+        sizes = inside.agg(F.count(F.lit(1)).alias("rows"), *ends).filter((F.col("rows") > most) & (F.col("first") < F.col("last")))
+        open_ = {}
+        for r in sizes.groupBy(lead).agg(F.min_by(F.struct("first", "last"), "_bucket").alias("ends")).collect():
+            open_[r[lead]] = max(_common_prefix(*r["ends"]), depths[r[lead]]) + 1
+        found.update({k: d for k, d in depths.items() if k not in open_})
+        depths = open_
+    return {k: d for k, d in found.items() if d}
+
+
+def number_by_lead(df: DataFrame, order: Sequence[str], name: str, most: int = 1 << 20) -> DataFrame:
+    """Dense numbers 1, 2, ... in the order of ``order``, whose first column has few values, as a day.
+
+    Rows are dealt by hash to buckets that follow each other in the order: one
+    per value of the first column, or several by the beginnings of the second, a
+    text, where a value has more than ``most`` rows. Counts per bucket, taken
+    map-side, say where each bucket's numbers begin. So nothing is sorted as a
+    whole or written before it is numbered. The first column has no nulls.
+    """
+    lead, second = order[0], order[1]
+    counts = stage(df.groupBy(lead).agg(F.count(F.lit(1)).alias("rows")), "lead-counts")
+    depths = _split_depths(df, lead, second, counts, most)
+    depth = F.lit(0)
+    if depths:
+        depth = F.coalesce(F.create_map(*[F.lit(x) for pair in depths.items() for x in pair])[F.col(lead)], F.lit(0))
+    before = (Window.unboundedPreceding, -1)
+    # One row per value of the first column.
+    starts = counts.select(lead, F.coalesce(F.sum("rows").over(Window.orderBy(lead).rowsBetween(*before)), F.lit(0)).alias("_start"))
+    bucketed = df
+    keys = [lead]
+    if depths:
+        keys = [lead, "_bucket"]
+        bucketed = df.withColumn("_bucket", F.when(depth > 0, _bucket(F.col(second), depth)).otherwise(""))
+        parts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        inside = F.coalesce(F.sum("rows").over(Window.partitionBy(lead).orderBy("_bucket").rowsBetween(*before)), F.lit(0))
+        starts = stage(parts.join(starts, lead).select(*keys, (F.col("_start") + inside).alias("_start")), "bucket-starts")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order[1:]))
+    return bucketed.join(starts, keys).withColumn(name, (F.col("_start") + place).cast("long")).select(*df.columns, name)
+
+
 def rows_at(
     df: DataFrame,
     order: Sequence[Column | str],

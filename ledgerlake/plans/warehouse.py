@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.functions import values as v
-from ledgerlake.functions.dates import date_key, iso_date, iso_text
-from ledgerlake.operators.ranking import global_row_number, ntile_scores
+from ledgerlake.functions.dates import date_key, day_of
+from ledgerlake.operators.ranking import ntile_scores, number_by_lead
 from ledgerlake.operators.upsert import insert_absent, one_per_key, upsert
 from ledgerlake.plans.schema import TABLE_ROLES, Warehouse, require_sales_columns
 from ledgerlake.staging import new_path, stage, stage_at
 
 GEOGRAPHY = ["city", "state", "region", "country"]
-# A customer may hold any share of the rows, so totals get room to grow.
 # Facts that agree in all of these are equal, so any order among them will do.
 FACT_ORDER = [
     "date_key", "order_id", "customer_key", "product_key", "geo_key", "sales", "quantity", "discount", "profit",
 ]
 _EXACT = "decimal(18,4)"
+# A customer may hold any share of the rows, so totals get room to grow.
 _TOTAL = "decimal(28,2)"
 
 
@@ -35,7 +35,7 @@ def geography(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 
 def calendar(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    days = iso_text(raw, "order_date").select("order_date").distinct().select(iso_date(F.col("order_date")).alias("full_date"))
+    days = raw.select(day_of(raw, "order_date").alias("full_date")).distinct()
     incoming = days.filter(F.col("full_date").isNotNull()).select(
         date_key(F.col("full_date")).alias("date_key"),
         "full_date",
@@ -49,11 +49,11 @@ def calendar(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def customer_activity(raw: DataFrame) -> DataFrame:
     """(customer_id, recency, frequency, monetary) over the rows with a valid date."""
-    dated = iso_text(raw, "order_date").select(
+    dated = raw.select(
         "customer_id",
         "order_id",
         v.zero_if_null(F.col("sales").cast(_EXACT)).alias("sales"),
-        iso_date(F.col("order_date")).alias("day"),
+        day_of(raw, "order_date").alias("day"),
     ).filter(F.col("day").isNotNull())
     # Rows without a customer count towards the latest day only. The distinct
     # count groups by (customer, order) first, so a customer holding a large
@@ -129,12 +129,12 @@ def facts(raw: DataFrame, dim_customers: DataFrame, dim_products: DataFrame, dim
     known and one is broadcast only below the session's threshold; above it the
     join shuffles and adaptive execution splits a customer or product that
     holds a large share of the rows. Keys are places in the order of all other
-    columns, so they do not depend on how the rows are partitioned.
+    columns, so they do not depend on how the rows are partitioned; they come
+    from counts per day, without a sort of the whole table.
     """
-    raw = iso_text(raw, "order_date")
-    day = iso_date(F.col("order_date"))
+    dated = raw.withColumn("_day", day_of(raw, "order_date"))
     lines = (
-        raw.filter(day.isNotNull())
+        dated.filter(F.col("_day").isNotNull())
         .join(dim_customers.select("customer_id", "customer_key"), "customer_id")
         .join(dim_products.select("product_id", "product_key"), "product_id")
         .join(dim_geography, GEOGRAPHY)
@@ -143,14 +143,14 @@ def facts(raw: DataFrame, dim_customers: DataFrame, dim_products: DataFrame, dim
             "customer_key",
             "product_key",
             "geo_key",
-            date_key(day).alias("date_key"),
+            date_key(F.col("_day")).alias("date_key"),
             v.money(F.col("sales")).alias("sales"),
             v.whole(F.col("quantity")).alias("quantity"),
             v.rate(F.col("discount")).alias("discount"),
             v.money(F.col("profit")).alias("profit"),
         )
     )
-    return global_row_number(lines, FACT_ORDER, "fact_key").select("fact_key", *lines.columns)
+    return number_by_lead(lines, FACT_ORDER, "fact_key").select("fact_key", *lines.columns)
 
 
 def unplaced_rows(raw: DataFrame) -> DataFrame:
@@ -158,8 +158,7 @@ def unplaced_rows(raw: DataFrame) -> DataFrame:
     lacks_place = F.lit(False)
     for c in GEOGRAPHY:
         lacks_place = lacks_place | F.col(c).isNull()
-    raw = iso_text(raw, "order_date")
-    dated = raw.filter(iso_date(F.col("order_date")).isNotNull())
+    dated = raw.filter(day_of(raw, "order_date").isNotNull())
     return dated.agg(
         F.count(F.lit(1)).alias("dated_rows"),
         F.count_if(F.col("customer_id").isNull()).alias("no_customer"),

@@ -15,6 +15,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("ledgerlake")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small tables are read by all cores, too.
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
+        .config("spark.sql.files.openCostInBytes", str(256 << 10))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

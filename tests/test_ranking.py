@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.frequencies import exact_quantiles, modes, value_frequencies
-from ledgerlake.operators.ranking import global_row_number, ntile_ends, ntile_scores, rows_at
+from ledgerlake.operators.frequencies import modes, value_frequencies
+from ledgerlake.operators.ranking import global_row_number, ntile_ends, ntile_scores, number_by_lead, rows_at
+from ledgerlake.operators.selection import exact_quantiles
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
@@ -39,7 +40,7 @@ def test_tile_ends():
 
 def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
-    assert exact_quantiles(value_frequencies(df), ["x"], [0.25, 0.5, 0.75, 0, 1]) == {"x": [1.75, 2.5, 4.75, 1, 10]}
+    assert exact_quantiles(df, ["x"], [0.25, 0.5, 0.75, 0, 1]) == {"x": [1.75, 2.5, 4.75, 1, 10]}
 
 
 def test_modes(spark):
@@ -54,11 +55,29 @@ def test_quantiles_of_a_lopsided_column(spark):
     # One far value squeezes all others into a single bin.
     values = [float(i) for i in range(200)] + [50.0] * 300 + [1e9]
     df = spark.createDataFrame([(v, 7.0, -v) for v in values], "x double, same double, y double")
-    got = exact_quantiles(value_frequencies(df), ["x", "same", "y"], [0.02, 0.25, 0.5, 0.9, 0.999])
+    got = exact_quantiles(df, ["x", "same", "y"], [0.02, 0.25, 0.5, 0.9, 0.999])
     for column, rows in {"x": values, "same": [7.0] * len(values), "y": [-v for v in values]}.items():
         expected = np.quantile(rows, [0.02, 0.25, 0.5, 0.9, 0.999])
         assert got[column] == pytest.approx(expected, rel=1e-12)
 
 
 def test_no_values_no_quantiles(spark):
-    assert exact_quantiles(value_frequencies(spark.createDataFrame([(None,)], "x double")), ["x"], [0.5]) == {}
+    assert exact_quantiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]) == {}
+
+
+@pytest.mark.parametrize("most", [10**6, 40, 7, 1])
+def test_numbers_by_lead(spark, most):
+    """Whether days are whole buckets or split by the beginnings of a text; texts share a beginning, one repeats, some are null."""
+    rng = np.random.default_rng(3)
+    rows = [(20240101, f"ORD-2024-{int(i):05d}", int(i) % 7) for i in rng.integers(0, 300, 400)]
+    rows += [(20240102, "same", i % 3) for i in range(60)] + [(20240102, None, 1), (20240102, "", 2), (20240102, "sam", 2)]
+    rows += [(20240103, f"\u00e9{chr(97 + i)}" * (i % 3), i) for i in range(26)]
+    expected = sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode(), r[2]))
+    for partitions in (3, 5):
+        df = spark.createDataFrame(rows, "day int, id string, x int").repartition(partitions)
+        got = number_by_lead(df, ["day", "id", "x"], "n", most)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan.replace("rangepartitioning(day", "")
+        numbered = sorted((r["n"], r["day"], r["id"], r["x"]) for r in got.collect())
+        assert numbered == [(i + 1, *r) for i, r in enumerate(expected)]
+    assert number_by_lead(df.limit(0), ["day", "id", "x"], "n").count() == 0
