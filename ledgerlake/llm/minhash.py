@@ -14,9 +14,12 @@
    linked by now need no more tests among each other, so a group of thousands of
    near copies costs a pair per member, not per pair.
 4. A last pass takes all pairs that are not linked yet and may still reach both
-   thresholds, which the order of their shingles by frequency tells exactly.
+   thresholds, which the order of their shingles by frequency and the parity of
+   their sketches tell without losing a link. It begins with rounds of hubs, too,
+   now one by lot for each of a set's first shingles, so that a dense family is
+   linked before its pairs are listed.
    Nothing is capped: every pair over the match threshold is confirmed, refuted,
-   ruled out by that bound, or known to be in one component.
+   ruled out by such a bound, or known to be in one component.
 
 ``match_threshold`` sets the matches so that a pair at the similarity asked for
 has fewer with a chance of about one in fifty million: 14 of 32 at 0.85.
@@ -48,6 +51,8 @@ SHINGLE_WORDS = 3
 SIMILARITY = 85
 COORDINATES = 32
 HUB_ROUNDS = 2
+#: Bits of the sketches by which pairs of the last pass are refuted.
+PARITY_BITS = 512
 #: Chance with which a pair at the very threshold may agree in too few coordinates.
 MISSED = 2e-8
 
@@ -171,43 +176,95 @@ def _hub_pairs(rows: DataFrame, step: int, similarity: int) -> DataFrame:
 
 
 def _shingles_of(words: int):
+    """(set_id, shingle, parity) of (set_id, text); only the first row of a set has its parity sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             number = 0
             for data, ends in texts_in_chunks(batch.column(1)):
                 found = list(shingler.sets(data, ends))
-                owner = np.repeat(batch.column(0).to_numpy()[number : number + len(found)], [len(x) for x in found])
+                sizes = np.array([len(x) for x in found])
+                owner = np.repeat(batch.column(0).to_numpy()[number : number + len(found)], sizes)
                 number += len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], ["set_id", "shingle"])
+                parity = pa.array([parity_sketch(x) for x in found], pa.list_(pa.int64()))
+                first = np.full(len(owner), -1)
+                first[(np.cumsum(sizes) - sizes)[sizes > 0]] = np.flatnonzero(sizes)
+                shown = parity.take(pa.array(first, mask=first < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(found).view(np.int64)), shown], ["set_id", "shingle", "parity"])
 
     return run
 
 
-def _remaining_pairs(rows: DataFrame, texts: DataFrame, words: int, similarity: int, matches: int) -> DataFrame:
-    """(a, b): all pairs that may reach both thresholds and are not known to be linked.
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of shingles fell on them.
+
+    A shingle that both of two sets have cancels out of the difference of their
+    sketches, so that cannot have more bits than the sets have shingles apart.
+    """
+    place = shingles >> np.uint64(64 - PARITY_BITS.bit_length() + 1)
+    odd = np.bincount(place.astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _near_sketches(a: Column, b: Column, together: Column, similarity: int) -> Column:
+    """Whether sketches allow the similarity: similar sets of ``together`` shingles have that many apart at most."""
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return apart * (100 + similarity) <= together * (100 - similarity)
+
+
+def _first_shingles(rows: DataFrame, texts: DataFrame, words: int, similarity: int, matches: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of the sets that may still have a partner under their first shingles, and the texts of these sets.
 
     Only sets that post enough pairs together with sets of other components can
     have a partner. Of these the shingles are ordered, rarest first; similar
     sets share one of their first shingles, and where the first shared one
     stands (after ``at`` of n others) bounds what they share: at most
     m = min(n - at, n' - at'), so that their similarity is at most
-    m / (n + n' - m). For either set that bounds the partner's size, so sets
-    meet only in bands of admissible sizes.
+    m / (n + n' - m). That bounds the size of a partner by ``lowest`` and ``highest``.
     """
     among = rows.join(_open_lists(rows), "token", "left_semi").groupBy("set_id", "n", "comp")
     open_sets = written(among.agg(F.count(F.lit(1)).alias("open")).filter(F.col("open") >= matches).drop("open"), "near-open")
-    own = texts.join(open_sets.select("set_id"), "set_id").select("set_id", "text")
-    shingles = written(own.mapInArrow(_shingles_of(words), "set_id long, shingle long"), "near-shingles")
+    own = written(texts.join(open_sets.select("set_id"), "set_id").select("set_id", "text"), "near-own")
+    shingles = written(own.mapInArrow(_shingles_of(words), "set_id long, shingle long, parity array<long>"), "near-shingles")
+    sketched = open_sets.join(shingles.filter("parity IS NOT NULL").select("set_id", "parity"), "set_id")
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
     rarest = Window.partitionBy("set_id").orderBy("sets", "shingle")
-    first = shingles.join(shared, "shingle").withColumn("at", F.row_number().over(rarest) - 1).join(open_sets, "set_id")
-    first = first.filter(f"sets > 1 AND at <= n - (n * {similarity} + 99) div 100").select("set_id", "shingle", "at", "n", "comp")
+    first = shingles.select("set_id", "shingle").join(shared, "shingle").withColumn("at", F.row_number().over(rarest) - 1).join(sketched, "set_id")
+    first = first.filter(f"sets > 1 AND at <= n - (n * {similarity} + 99) div 100").select("set_id", "shingle", "at", "n", "comp", "parity")
     share = similarity / (100 + similarity)
+    lowest, highest = F.col("n") * similarity / 100, F.least(F.col("n") * 100 / similarity, (F.col("n") - F.col("at")) / share - F.col("n"))
+    return written(first.withColumns({"lowest": lowest, "highest": highest}).filter("highest >= lowest - 1"), "near-first"), own
+
+
+def _possible(similarity: int) -> Column:
+    """Whether a set and its partner (``n2``, ``at2``, ``comp2``, ``parity2``) may be similar and are not known to be linked."""
+    most_shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    possible = most_shared * 100 >= (F.col("n") + F.col("n2") - most_shared) * similarity
+    near = _near_sketches(F.col("parity"), F.col("parity2"), F.col("n") + F.col("n2"), similarity)
+    return (F.col("comp") != F.col("comp2")) & possible & near
+
+
+def _shingle_hubs(first: DataFrame, step: int, similarity: int) -> DataFrame:
+    """(a, b): sets and the hubs of their shingles' lists, one by lot for each list that is not linked yet."""
+    partner = {"b": "set_id", "n2": "n", "at2": "at", "comp2": "comp", "parity2": "parity"}
+    own = F.struct(F.xxhash64("set_id", F.lit(step)).alias("draw"), *[F.col(c).alias(name) for name, c in partner.items()])
+    lists = first.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(own).alias("hub"))
+    met = first.join(lists.filter("lo < hi").select("shingle", "hub.*"), "shingle").filter(_possible(similarity))
+    return met.select(F.greatest("set_id", "b").alias("a"), F.least("set_id", "b").alias("b")).distinct()
+
+
+def _remaining_pairs(first: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): all pairs that may reach both thresholds and are not known to be linked.
+
+    Sets meet in their shingles' lists, in bands of admissible sizes. What meets
+    is skipped unless the place of the shingle and the parity sketches allow the
+    similarity; neither bound loses a link.
+    """
     band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(np.log(1.02)))
-    least, most = F.col("n") * similarity / 100, F.least(F.col("n") * 100 / similarity, (F.col("n") - F.col("at")) / share - F.col("n"))
-    left = written(first.withColumns({"least": least, "most": most}).filter("most >= least - 1"), "near-first")
-    wide = left.withColumn("band", F.explode(F.sequence(band(F.col("least") - 1), band(F.col("most") + 1))))
+    lists = first.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    left = written(first.join(lists.select("shingle"), "shingle"), "near-left")
+    wide = left.withColumn("band", F.explode(F.sequence(band(F.col("lowest") - 1), band(F.col("highest") + 1))))
     right = left.select(
         "shingle",
         band(F.col("n").cast("double")).alias("band"),
@@ -215,10 +272,9 @@ def _remaining_pairs(rows: DataFrame, texts: DataFrame, words: int, similarity:
         F.col("n").alias("n2"),
         F.col("at").alias("at2"),
         F.col("comp").alias("comp2"),
+        F.col("parity").alias("parity2"),
     )
-    most_shared = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    possible = most_shared * 100 >= (F.col("n") + F.col("n2") - most_shared) * similarity
-    met = wide.join(right, ["shingle", "band"]).filter((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & possible)
+    met = wide.join(right, ["shingle", "band"]).filter((F.col("set_id") < F.col("b")) & _possible(similarity))
     return met.select(F.col("set_id").alias("a"), "b").distinct()
 
 
@@ -227,38 +283,52 @@ def link_sets(
 ) -> DataFrame | None:
     """(node, least) of linked sets; ``texts`` has (set_id, text) of all sets with postings."""
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(words, similarity), "a long, b long")
 
-    def untested(pairs: DataFrame) -> DataFrame:
-        if tested is None:
-            return pairs
-        either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return pairs.join(either, ["a", "b"], "left_anti")
+    def matching(pairs: DataFrame) -> DataFrame:
+        """(a, b, same): pairs not tested so far that agree in enough coordinates."""
+        if tested is not None:
+            either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(either, ["a", "b"], "left_anti")
+        return _collisions(pairs, sets).filter(F.col("same") >= matches)
+
+    def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        new = written(confirmed(pairs, texts), "near-links")
+        return new if edges is None else edges.unionByName(new)
 
     edges = tested = None
     for step in range(rounds):
         rows = written(_labelled(posts, edges), "near-posts")
-        found = _collisions(untested(_hub_pairs(rows.filter("lead"), step, similarity)), sets).filter(F.col("same") >= matches)
+        found = matching(_hub_pairs(rows.filter("lead"), step, similarity))
         pairs = written(found.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")), "near-pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else written(tested.unionByName(pairs), "near-tested")
-        new = written(confirmed(pairs), "near-links")
-        edges = contract(new if edges is None else edges.unionByName(new))
+        edges = contract(linked(pairs, texts))
     if edges is not None:
-        edges = components(edges).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    rows = written(_labelled(posts, edges), "near-posts")
-    left = untested(_remaining_pairs(rows, texts, words, similarity, matches))
-    pairs = written(_collisions(left, sets).filter(F.col("same") >= matches).select("a", "b"), "near-pairs")
+        edges = _stars(edges)
+    first, own = _first_shingles(written(_labelled(posts, edges), "near-posts"), texts, words, similarity, matches)
+    for step in range(rounds):
+        pairs = written(matching(_shingle_hubs(first, step, similarity)).select("a", "b"), "near-pairs")
+        if pairs.isEmpty():
+            break
+        tested = pairs if tested is None else written(tested.unionByName(pairs), "near-tested")
+        edges = _stars(linked(pairs, own))
+        first = written(_labelled(first.drop("comp"), edges), "near-first")
+    pairs = written(matching(_remaining_pairs(first, similarity)).select("a", "b"), "near-pairs")
     if not pairs.isEmpty():
-        new = written(confirmed(pairs), "near-links")
-        edges = components(new if edges is None else edges.unionByName(new)).select(F.col("node").alias("a"), F.col("least").alias("b"))
+        edges = _stars(linked(pairs, own))
     return None if edges is None else edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, b): each linked set and the least of its component."""
+    return components(edges).select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def _clustered(
     docs: DataFrame,
     doc_id: str,
