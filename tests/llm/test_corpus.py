@@ -139,6 +139,50 @@ def test_licence_versions_are_told_apart(spark):
     assert got == {1: "gpl,gpl-2", 2: "gpl,gpl-3", 3: "gpl", 4: "gpl,gpl-3", 5: "gpl,gpl-2,gpl-3", 6: "apache,apache-2.0"}
 
 
+_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU {0}General Public License as published by the Free Software Foundation, {1}. This program is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY. See the GNU {0}General Public License for more details."""
+_CC = 'This work is licensed under a <a href="x">Creative Commons Attribution{} 4.0 International License</a>.'
+
+
+def test_notices_have_no_strangers_label(spark):
+    later = "either version {} of the License, or (at your option) any later version"
+    mit = next(t for t in licenses.TEMPLATES if t.label == "mit-text").text
+    bsd = next(t for t in licenses.TEMPLATES if t.label == "bsd-text").text
+    three = next(t for t in licenses.TEMPLATES if t.label == "bsd-3").text
+    isc, zlib = (next(t for t in licenses.TEMPLATES if t.label == label).text for label in ("isc-text", "zlib-text"))
+    expected = {
+        _NOTICE.format("", later.format(3)): "gpl,gpl-3",
+        _NOTICE.format("", later.format(2)): "gpl,gpl-2",
+        _NOTICE.format("", "version unknown"): "gpl",
+        _NOTICE.format("Lesser ", later.format("2.1")): "lgpl",
+        _NOTICE.format("Lesser ", later.format(3)): "lgpl",
+        _NOTICE.format("Affero ", later.format(3)): "agpl",
+        _CC.format(""): "cc-by",
+        _CC.format("-ShareAlike"): "cc-by-sa",
+        _CC.format("-NonCommercial"): "cc-by-nc",
+        _CC.format("-NoDerivatives"): "cc-by-nd",
+        _CC.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        _CC.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        "Copyright (c) 2020 Someone\n\n" + mit.replace(" the ", "\nthe ", 9): "mit,mit-text",
+        mit.replace("merge", "mix").replace("sublicense", "sub license"): "mit",
+        bsd: "bsd,bsd-text",
+        bsd + " 3. " + three: "bsd,bsd-3,bsd-text",
+        "ISC License. " + isc: "isc-text",
+        zlib: "zlib-text",
+        "the software of the authors is provided to the public under the license of the software " * 20: "",
+    }
+    docs = spark.createDataFrame([*enumerate(expected)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert got == dict(enumerate(expected.values()))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(expected)])
+    assert {r[0]: r[6] for r in con.execute(licenses.sql()).fetchall()} == got
+
+
 def test_templates_of_more_than_64_positions(spark):
     def words(n):
         return " ".join(f"w{i}x" for i in range(n))
