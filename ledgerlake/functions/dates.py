@@ -12,6 +12,9 @@ RECOVERING_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy")
 
 #: Forms in which day and month may stand in either order, the usual order first.
 _EITHER_ORDER = (("M/d/yyyy", "d/M/yyyy"), ("d-M-yyyy", "M-d-yyyy"), ("d.M.yyyy", "M.d.yyyy"))
+_EITHER_ORDER += tuple((one.replace("yyyy", "yy"), two.replace("yyyy", "yy")) for one, two in _EITHER_ORDER)
+#: Two digits mean a year from 1969 to 2068.
+_FIRST_LATE_YEAR = 2069
 _OTHER_FORMS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy")
 #: A time of day behind a date, which is cut off.
 _TIME = r"([T ]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?( ?[AaPp][Mm])?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?)?"
@@ -36,7 +39,10 @@ def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS, with_t
     for f in formats:
         shape = _shape(f)
         fits = text.rlike(f"^{shape}{_TIME if with_time else ''}$")
-        attempts.append(F.when(fits, F.try_to_date(F.regexp_extract(text, f"^({shape})", 1) if with_time else text, f)))
+        day = F.try_to_date(F.regexp_extract(text, f"^({shape})", 1) if with_time else text, f)
+        if re.fullmatch(r".*[^y]yy", f):
+            day = F.when(F.year(day) >= _FIRST_LATE_YEAR, F.add_months(day, -1200)).otherwise(day)
+        attempts.append(F.when(fits, day))
     return F.coalesce(*attempts)
 
 
@@ -44,14 +50,15 @@ def formats_of(df: DataFrame, column: str) -> tuple[str, ...]:
     """Formats for a text column, decided from all its values.
 
     Where day and month may be swapped, the order that reads more of the
-    column's values is taken; on a tie the usual one for that form.
+    column's values comes first, on a tie the usual one for that form; the other
+    reads what only it can, as a 25th month.
     """
     text = F.trim(F.col(f"`{column}`").cast("string"))
     orders = [f for pair in _EITHER_ORDER for f in pair]
     read = df.agg(*[F.count(parse_date(text, [f], True)).alias(f"n{i}") for i, f in enumerate(orders)]).first()
     counts = dict(zip(orders, read))
-    chosen = tuple(usual if counts[usual] >= counts[other] else other for usual, other in _EITHER_ORDER)
-    return (*RECOVERING_FORMATS[:2], *chosen, *_OTHER_FORMS)
+    chosen = [(usual, other) if counts[usual] >= counts[other] else (other, usual) for usual, other in _EITHER_ORDER]
+    return (*RECOVERING_FORMATS[:2], *[f for pair in chosen for f in pair], *_OTHER_FORMS)
 
 
 def is_typed_date(df: DataFrame, column: str) -> bool:

@@ -119,27 +119,38 @@ def remove_duplicates(df: DataFrame, position: str) -> tuple[DataFrame, int]:
 
 
 def standardize_dates(
-    df: DataFrame, column: str, position: str, formats: Sequence[str] | None = None
+    df: DataFrame, column: str, position: str, formats: Sequence[str] | None = None, unread: str = "fill"
 ) -> tuple[DataFrame, str]:
-    """Dates rewritten as yyyy-MM-dd, and a log line.
+    """Dates rewritten as yyyy-MM-dd, and a log line that says what could not be read.
 
-    If that leaves new nulls, all nulls take a neighbour's date. Typed columns
-    only change their form. Without ``formats`` all usual ones are read, day or
-    month first as fits the column. A column of which more would be lost than is
-    read stays as it is.
+    Typed columns only change their form. Without ``formats`` all usual ones are
+    read, day or month first as fits the column. A column of which more would be
+    lost than is read stays as it is. What cannot be read and is no gap
+
+    * ``fill``: takes a neighbour's date, as all gaps do then;
+    * ``keep``: stays as it is, and gaps take a neighbour's date;
+    * ``null``: becomes a gap, and gaps stay.
     """
+    if unread not in ("fill", "keep", "null"):
+        raise ValueError(f"unread texts can be filled, kept or nulled, not {unread!r}")
     value = F.col(f"`{column}`")
     done = f"Standardized date formatting in '{column}' to YYYY-MM-DD."
     if is_typed_date(df, column):
         return df.withColumn(column, F.date_format(value, "yyyy-MM-dd")), done
     day = parse_date(F.trim(value.cast("string")), formats or formats_of(df, column), with_time=formats is None)
-    parsed = df.withColumn("_day", day)
-    found = parsed.agg(F.count("_day").alias("read"), F.count_if(F.col("_day").isNull() & value.isNotNull()).alias("lost")).first()
+    parsed = df.withColumns({"_day": day, "_unread": day.isNull() & value.isNotNull()})
+    found = parsed.agg(F.count("_day").alias("read"), F.count_if("_unread").alias("lost")).first()
     if found["lost"] > found["read"]:
         return df, f"Left '{column}' as it is: only {found['read']} of {found['read'] + found['lost']} values are dates."
     if found["lost"]:
-        parsed = forward_then_backward(parsed, "_day", position)
-    return parsed.withColumn(column, F.date_format("_day", "yyyy-MM-dd")).select(*df.columns), done
+        fate = {"fill": "took a neighbour's date", "keep": "stayed as they are", "null": "became null"}[unread]
+        done = f"{done} {found['lost']} values could not be read and {fate}."
+        if unread != "null":
+            parsed = forward_then_backward(parsed, "_day", position)
+    text = F.date_format("_day", "yyyy-MM-dd")
+    if unread == "keep":
+        text = F.when(F.col("_unread"), value.cast("string")).otherwise(text)
+    return parsed.withColumn(column, text).select(*[F.col(f"`{c}`") for c in df.columns]), done
 
 
 def fill_values(df: DataFrame, fills: Sequence[Rule]) -> dict[str, object]:
@@ -228,7 +239,7 @@ def apply_rules(
                 logs += lines
         else:
             for rule in steps:
-                df, line = standardize_dates(df, rule.column, position, formats)
+                df, line = standardize_dates(df, rule.column, position, formats, rule.parameters.get("unread", "fill"))
                 logs.append(line)
     return df, logs
 

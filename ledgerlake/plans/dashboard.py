@@ -49,6 +49,13 @@ def monthly_totals(w: Warehouse) -> DataFrame:
     return totals_by(w.fact_sales, "date_key", w.dim_time, ["year", "month"], sales="sales", profit="profit")
 
 
+def monthly_totals_by(w: Warehouse, dim: DataFrame, key: str, attribute: str) -> DataFrame:
+    """(attribute, year, month, sales); summed per pair of keys before any dimension is met."""
+    pairs = w.fact_sales.groupBy("date_key", key).agg(F.sum("sales").alias("sales"))
+    named = pairs.join(dim.select(key, attribute), key).join(w.dim_time.select("date_key", "year", "month"), "date_key")
+    return named.groupBy(attribute, "year", "month").agg(F.sum("sales").alias("sales"))
+
+
 def monthly_trend(w: Warehouse) -> DataFrame:
     label = period_label(F.col("year"), F.col("month"))
     return (

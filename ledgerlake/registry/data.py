@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlake.operators.classify import CustomerModel, fit_customer_model
 from ledgerlake.operators.cleaning import apply_rules, recommend_rules, rules_list
+from ledgerlake.operators.forecasts import KeyedForecast, fit_by
 from ledgerlake.operators.isolation import Anomalies, detect_anomalies
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.timeseries import SalesModel, fit_sales_model
@@ -73,6 +74,10 @@ class Folder:
     def sales_model(self) -> SalesModel:
         return fit_sales_model(self.monthly)
 
+    @cached_property
+    def category_forecast(self) -> KeyedForecast:
+        return fit_by(dashboard.monthly_totals_by(self.star, self.star.dim_products, "product_key", "category"), "category")
+
     @cached_property
     def customer_model(self) -> CustomerModel:
         return fit_customer_model(self.star.dim_customers, self.star.fact_sales)

@@ -383,6 +383,81 @@ def _second_load_customers() -> str:
     FROM all_keys JOIN known USING (customer_id) JOIN latest USING (customer_id)"""
 
 
+FEATURES = ["lag_1", "lag_2", "lag_3", "lag_12", "month_num"]
+
+
+def _eliminated() -> str:
+    """Five ridge coefficients per category from the normal equations, by elimination without pivots."""
+    n = len(FEATURES)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    a = {(i, j): f"covar_pop({FEATURES[i]}, {FEATURES[j]}) * count(*)" + (" + 1" if i == j else "") for i, j in pairs}
+    b = {i: f"covar_pop({FEATURES[i]}, sales) * count(*)" for i in range(n)}
+    means = ", ".join(f"avg({f}) AS x{i}" for i, f in enumerate(FEATURES))
+    columns = ", ".join([f"{e} AS a{i}{j}" for (i, j), e in a.items()] + [f"{e} AS b{i}" for i, e in b.items()])
+    steps = [f"e0 AS (SELECT category, avg(sales) AS y, {means}, {columns} FROM train GROUP BY category)"]
+    for k in range(n - 1):
+        new = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i, j in pairs if i > k]
+        new += [f"b{i} - a{k}{i} * b{k} / a{k}{k} AS b{i}" for i in range(k + 1, n)]
+        steps.append(f"e{k + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{k})")
+    source = f"e{n - 1}"
+    for i in reversed(range(n)):
+        known = "".join(f" - a{i}{j} * c{j}" for j in range(i + 1, n))
+        steps.append(f"s{i} AS (SELECT *, (b{i}{known}) / a{i}{i} AS c{i} FROM {source})")
+        source = f"s{i}"
+    fitted = ", ".join(f"c{i} AS b_{f}" for i, f in enumerate(FEATURES))
+    steps.append(f"fitted AS (SELECT category, y{''.join(f' - c{i} * x{i}' for i in range(n))} AS intercept, {fitted} FROM {source})")
+    return ", ".join(steps)
+
+
+def _by_category() -> str:
+    lags = ", ".join(f"lag(sales, {k}) OVER w AS lag_{k}" for k in (1, 2, 3, 12))
+    predicted = "intercept" + "".join(f" + b_{f} * {f}" for f in FEATURES)
+    return f"""{STAR}, monthly AS (
+        SELECT category, make_date(year, month, 1) AS month, {_double('sum(sales)')} AS sales
+        FROM fact_sales JOIN dim_time USING (date_key) JOIN dim_products USING (product_key) GROUP BY category, year, month
+    ), spans AS (SELECT category, min(month) AS low, max(month) AS high FROM monthly GROUP BY category HAVING count(*) >= 12
+    ), every_month AS (
+        SELECT x.category, CAST(x.m AS DATE) AS month, coalesce(monthly.sales, 0) AS sales
+        FROM (SELECT category, unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS m FROM spans) AS x
+        LEFT JOIN monthly ON monthly.category = x.category AND monthly.month = CAST(x.m AS DATE)
+    ), lags AS (
+        SELECT * FROM (SELECT category, month, sales, {lags}, CAST(month(month) AS INTEGER) AS month_num
+                       FROM every_month WINDOW w AS (PARTITION BY category ORDER BY month)) WHERE lag_12 IS NOT NULL
+    ), split AS (
+        SELECT *, row_number() OVER (PARTITION BY category ORDER BY month) > n - ceil(n * 0.2::DOUBLE) AS is_test
+        FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n FROM lags) WHERE n >= 6
+    ), train AS (SELECT * FROM split WHERE NOT is_test), {_eliminated()},
+    scored AS (SELECT split.*, {predicted} AS prediction FROM split JOIN fitted USING (category))"""
+
+
+def _forecast_by_category() -> str:
+    known = [f"m{i}" for i in range(12)]
+    steps, source = [], "tail"
+    for step in range(6):
+        values = {f"lag_{k}": known[-k] for k in (1, 2, 3, 12)} | {"month_num": f"month(last + INTERVAL {step + 1} MONTH)"}
+        steps.append(f"f{step}_ AS (SELECT *, greatest(0, intercept{''.join(f' + b_{f} * {values[f]}' for f in FEATURES)}) AS f{step} FROM {source})")
+        known.append(f"f{step}")
+        source = f"f{step}_"
+    rows = " UNION ALL ".join(
+        f"""SELECT category, CAST(CAST(last + INTERVAL {i + 1} MONTH AS DATE) AS VARCHAR) AS month, round(f{i}, 2) AS sales,
+        round(greatest(0, f{i} - 1.96 * spread), 2) AS lower_bound, round(f{i} + 1.96 * spread, 2) AS upper_bound FROM {source}"""
+        for i in range(6)
+    )
+    history = ", ".join(f"max(sales) FILTER (back = {12 - i}) AS m{i}" for i in range(12))
+    return f"""WITH {_by_category()}, tail AS (
+        SELECT * FROM (SELECT category, max(month) AS last, {history} FROM (
+            SELECT *, row_number() OVER (PARTITION BY category ORDER BY month DESC) AS back FROM every_month) WHERE back <= 12 GROUP BY category)
+        JOIN fitted USING (category)
+        JOIN (SELECT category, stddev_pop(sales - prediction) AS spread FROM scored WHERE NOT is_test GROUP BY category) USING (category)
+    ), {', '.join(steps)} {rows}"""
+
+
+_MIXED = f"""{DIRTY}, mixed AS (
+    SELECT ingest_pos, CASE WHEN ingest_pos % 31 IN (7, 8) THEN NULL ELSE CAST({_day()} AS VARCHAR) END AS day, ingest_pos % 31 = 8 AS unread
+    FROM dirty WHERE {_day()} IS NOT NULL
+)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "csv_import": f"""WITH {DIRTY} SELECT category, count(*) AS rows, count(DISTINCT order_id) AS orders,
@@ -538,6 +613,13 @@ def all_sql() -> dict[str, str]:
         "lag_features": f"WITH {_MONTHS} SELECT * REPLACE (CAST(month AS VARCHAR) AS month) FROM lags",
         "forecast_split": f"""WITH {_MONTHS} SELECT CAST(month AS VARCHAR) AS month, row_number() OVER (ORDER BY month)
             > (SELECT count(*) - ceil(count(*) * 0.2::DOUBLE) FROM lags) AS is_test FROM lags""",
+        "category_coefficients": f"""WITH {_by_category()} SELECT category, round(intercept, 2) AS intercept, {', '.join(f'round(b_{f}, 6) AS b_{f}' for f in FEATURES[:4])},
+            round(b_month_num, 2) AS b_month_num FROM fitted""",
+        "category_metrics": f"""WITH {_by_category()} SELECT category, round(sqrt(mse), 2) AS rmse, round(1 - CASE WHEN spread <> 0 THEN mse / spread END, 6) AS r2 FROM (
+            SELECT category, avg((sales - prediction) ** 2) AS mse, var_pop(sales) AS spread FROM scored WHERE is_test GROUP BY category)""",
+        "category_forecast": _forecast_by_category(),
+        "mixed_dates": f"""WITH {_MIXED} SELECT ingest_pos, CASE WHEN unread THEN 'unknown' ELSE {FILLED_DATES} END AS order_date FROM mixed""",
+        "mixed_consistency": f"WITH {_MIXED} SELECT round(count(day) / count(*) * 100, 2) AS score FROM mixed WHERE unread OR day IS NOT NULL",
         "customer_averages": f"WITH {STAR} {_AVERAGES}",
         "customer_features": _features(SEGMENTS),
         "customer_split": f"""WITH {STAR}, sizes AS (SELECT CAST(customer_tier IN ('Platinum', 'Gold') AS INTEGER) AS is_high_value,

@@ -407,6 +407,33 @@ def float_profile(f: Folder) -> DataFrame:
     return summary.select("null_count", "unique_count", "counted", F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"))
 
 
+def _mixed_dates(f: Folder) -> DataFrame:
+    """Order dates with the month first, some with the day first or two digits of the year, some missing or no dates."""
+    day = F.col("order_date").cast("date")
+    text = (
+        F.when(F.col(POSITION) % 31 == 7, F.lit(None))
+        .when(F.col(POSITION) % 31 == 8, "unknown")
+        .when((F.col(POSITION) % 5 == 2) & (F.dayofmonth(day) > 12), F.date_format(day, "dd/MM/yyyy"))
+        .when(F.col(POSITION) % 7 == 3, F.date_format(day, "M/d/yy"))
+        .otherwise(F.date_format(day, "M/d/yyyy"))
+    )
+    return f.dirty.filter(is_iso_date(F.col("order_date"))).withColumn("order_date", text)
+
+
+@query
+def mixed_dates(f: Folder) -> DataFrame:
+    """What cannot be read stays as it is; only rows without a date take a neighbour's."""
+    rule = Rule("standardize_dates", "order_date", parameters={"unread": "keep"})
+    rows, _ = cleaning.apply_rules(_mixed_dates(f), [rule], POSITION)
+    return rows.select(POSITION, "order_date")
+
+
+@query
+def mixed_consistency(f: Folder) -> DataFrame:
+    """The share of dates that cleaning would read."""
+    return quality.consistency(Profile(_mixed_dates(f).drop(POSITION)), None)
+
+
 # Cleaning
 
 
@@ -591,6 +618,29 @@ def sales_forecast(f: Folder) -> DataFrame:
     return v.presentable(f.sales_model.forecast())
 
 
+def _two_places(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 2) for c in columns})
+
+
+@query
+def category_coefficients(f: Folder) -> DataFrame:
+    """A ridge model for every category with enough months."""
+    fitted = f.category_forecast.coefficients
+    lags = {c: F.round(c, 6) for c in fitted.columns if c.startswith("b_lag")}
+    return _two_places(fitted, "intercept", "b_month_num").withColumns(lags)
+
+
+@query
+def category_metrics(f: Folder) -> DataFrame:
+    found = f.category_forecast.metrics().drop("mse")
+    return _two_places(found, "rmse").withColumn("r2", F.round("r2", 6))
+
+
+@query
+def category_forecast(f: Folder) -> DataFrame:
+    return v.presentable(_two_places(f.category_forecast.forecast(), "sales", "lower_bound", "upper_bound"))
+
+
 # Customer classes
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlake.errors import EmptyDataset, ImportFailed
 from ledgerlake.functions.names import normalise_headers, table_name
@@ -36,6 +37,24 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if ";" in header else "\t" if "\t" in header else ","
 
 
+def _open_ended(delimiter: str) -> Column:
+    """Whether a line, taken by itself, ends inside a quoted cell.
+
+    A quote opens a cell only where the cell begins, so one inside a plain
+    cell, as for inches, is no sign of a line break.
+    """
+    sep = re.escape(delimiter)
+    quoted = r'"[^"]*+(?:""[^"]*+)*+'
+    plain = rf'(?:[^"{sep}][^{sep}]*+)?'
+    return F.col("value").rlike(rf'^(?:(?:{quoted}"[^{sep}]*+|{plain}){sep})*+{quoted}$')
+
+
+def _broken_files(spark: SparkSession, path: str, delimiter: str) -> list[str]:
+    """The files in which some line ends inside quotes; a name per file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return [r["file"] for r in lines.filter(_open_ended(delimiter)).select("file").distinct().collect()]
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -43,44 +62,47 @@ def read_delimited(
     delimiter: str | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """A file with a header line. A given schema saves the pass that finds the types.
+    """Files with a header line. A given schema saves finding the types.
 
-    Line breaks inside quotes are found and read; that, or ``multiline``, costs
-    that each file is read in one task. Rows with more cells than the header,
-    and cells that do not fit a given schema, raise ``ImportFailed``.
+    Line breaks inside quotes are found; files that have any, or all with
+    ``multiline``, are read in one task each, the others in splits. Rows with
+    more cells than the header, and cells that do not fit a given schema, raise
+    ``ImportFailed``; they are counted in the pass that finds the types.
     """
-    if not multiline:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multiline = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter or sniff_delimiter(spark, path))
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
-    names = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns]) if schema is None else schema
-    _refuse_bad_rows(reader, path, names, any_misfit=schema is not None)
-    raw = reader.schema(names).csv(path)
-    if schema is not None:
-        return raw
-    texts = raw.select(*[present(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    types = infer_types(texts)
-    return texts.select(*[as_type(F.col(f"`{c}`"), t).alias(c) for c, t in types.items()])
-
-
-def _refuse_bad_rows(reader: DataFrameReader, path: str, schema: T.StructType, any_misfit: bool) -> None:
-    """Rows that do not fit; of plain texts only those with cells to spare (short rows end in nulls)."""
-    marked = T.StructType([*schema.fields, T.StructField(_BAD_ROW, T.StringType())])
-    rows = reader.option("columnNameOfCorruptRecord", _BAD_ROW).schema(marked).csv(path)
+    delimiter = delimiter or sniff_delimiter(spark, path)
+    broken = [] if multiline else _broken_files(spark, path, delimiter)
+
+    def read(fields: T.StructType | None = None, paths: str | list[str] = path, whole: bool = multiline) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+        reader = reader.option("multiLine", whole).option("columnNameOfCorruptRecord", _BAD_ROW)
+        return (reader.schema(fields) if fields is not None else reader).csv(paths)
+
+    def rows_of(fields: T.StructType) -> DataFrame:
+        if not broken:
+            return read(fields)
+        plain = read(fields).filter(~F.col("_metadata.file_path").isin(broken))
+        return plain.unionByName(read(fields, broken, True))
+
+    names = schema or T.StructType([T.StructField(c, T.StringType()) for c in read(None, broken or path, bool(broken) or multiline).columns])
+    marked = rows_of(T.StructType([*names.fields, T.StructField(_BAD_ROW, T.StringType())]))
     bad = F.col(_BAD_ROW).isNotNull()
-    if not any_misfit:
-        bad = bad & F.col(f"`{schema.names[-1]}`").isNotNull()
+    if schema is None:
+        # Of plain texts only rows with cells to spare; short rows end in nulls.
+        bad = bad & F.col(f"`{names.names[-1]}`").isNotNull()
+    cells = [F.col(f"`{c}`") for c in names.names]
     # Every column is asked for, or the reader would not look at all cells.
-    some = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in schema.names], F.col(_BAD_ROW))
-    found = rows.agg(F.count_if(bad).alias("n"), F.min(F.when(bad, F.col(_BAD_ROW))).alias("first"), F.count(some)).first()
-    if found["n"]:
-        raise ImportFailed(f"{found['n']} rows do not fit the columns, such as: {found['first']}")
+    asked = (F.count_if(bad), F.min(F.when(bad, F.col(_BAD_ROW))), F.count(F.coalesce(*[c.cast("string") for c in cells], F.col(_BAD_ROW))))
+    if schema is None:
+        texts = marked.select(*[present(c).alias(n) for c, n in zip(cells, names.names)], _BAD_ROW)
+        types, found = infer_types(texts, names.names, *asked)
+    else:
+        found = marked.agg(*asked).first()
+    if found[0]:
+        raise ImportFailed(f"{found[0]} rows do not fit the columns, such as: {found[1]}")
+    raw = rows_of(names)
+    if schema is not None:
+        return raw
+    return raw.select(*[as_type(present(F.col(f"`{c}`")), t).alias(c) for c, t in types.items()])
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -20,14 +20,14 @@ def present(text: Column) -> Column:
     return F.when(~text.isin(MISSING_TEXTS), text)
 
 
-def infer_types(texts: DataFrame) -> dict[str, str]:
-    """bigint, double or boolean for a column whose every value fits, else string.
+def infer_types(texts: DataFrame, columns: list[str], *also: Column) -> tuple[dict[str, str], tuple]:
+    """bigint, double or boolean for a column whose every value fits, else string; and what else is asked in that pass.
 
     Whole numbers with gaps become double. Dates stay text, so that odd ones
     reach the profile.
     """
     checks = []
-    for name in texts.columns:
+    for i, name in enumerate(columns):
         text = F.col(f"`{name}`")
         checks.append(
             F.struct(
@@ -36,9 +36,9 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
                 F.every(text.rlike(r"^\s*[+-]?\d+\s*$") & text.try_cast("bigint").isNotNull()).alias("whole"),
                 F.every((text.rlike(_NUMBER) & text.try_cast("double").isNotNull()) | text.isNull()).alias("number"),
                 F.every(text.isin(_TRUTH_TEXTS)).alias("truth"),
-            ).alias(name)
+            ).alias(f"c{i}")
         )
-    facts = texts.agg(*checks).first()
+    facts = texts.agg(*checks, *[a.alias(f"a{i}") for i, a in enumerate(also)]).first()
 
     def chosen(fact) -> str:
         if not fact["values"]:
@@ -47,7 +47,7 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
             return "bigint" if fact["whole"] and not fact["gaps"] else "double"
         return "boolean" if fact["truth"] and not fact["gaps"] else "string"
 
-    return {name: chosen(facts[name]) for name in texts.columns}
+    return {name: chosen(facts[i]) for i, name in enumerate(columns)}, tuple(facts)[len(columns) :]
 
 
 def as_type(text: Column, data_type: str) -> Column:

@@ -157,5 +157,5 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
         *[present(F.col("cells")[i]).alias(name) for i, name in enumerate(names)],
         (F.shiftleft(F.col("_book").cast("bigint"), _SHEET_BITS) + F.col("row")).alias(POSITION),
     )
-    types = infer_types(texts.drop(POSITION))
+    types, _ = infer_types(texts, [c for c in texts.columns if c != POSITION])
     return texts.select(*[as_type(F.col(f"`{c}`"), t).alias(c) for c, t in types.items()], POSITION)

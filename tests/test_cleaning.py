@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators.cleaning import Rule, apply_rules, keep_first, recommend_rules, rules_list
 from ledgerlake.operators.fills import BLOCK_BITS, forward_then_backward
 from ledgerlake.operators.profile import Profile
+from ledgerlake.operators.quality import consistency
 
 
 def test_fill_in_row_order(spark):
@@ -12,7 +13,24 @@ def test_fill_in_row_order(spark):
     assert [r["order_date"] for r in out.orderBy("ingest_pos").collect()] == [
         "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-02", "2024-01-05", "2024-01-05",
     ]
-    assert logs == ["Standardized date formatting in 'order_date' to YYYY-MM-DD."]
+    assert logs == ["Standardized date formatting in 'order_date' to YYYY-MM-DD. 1 values could not be read and took a neighbour's date."]
+
+
+def test_unread_dates_are_counted_and_kept_on_request(spark):
+    texts = ["13/01/2016", "14/02/2016", None, "15/03/2016", "16/04/2016", "01/25/2017", "02/26/2017", "1/2/16", "unknown", "31.12.69"]
+    df = spark.createDataFrame([*enumerate(texts)], "ingest_pos bigint, order_date string")
+    read = ["2016-01-13", "2016-02-14", None, "2016-03-15", "2016-04-16", "2017-01-25", "2017-02-26", "2016-01-02", None, "1969-12-31"]
+
+    def run(unread):
+        out, logs = apply_rules(df, [Rule("standardize_dates", "order_date", parameters={"unread": unread})], "ingest_pos")
+        assert "1 values could not be read" in logs[0]
+        return [r["order_date"] for r in out.orderBy("ingest_pos").collect()]
+
+    assert run("keep") == read[:2] + [read[1]] + read[3:8] + ["unknown"] + read[9:]
+    assert run("null") == read
+    assert run("fill") == read[:2] + [read[1]] + read[3:8] + [read[7]] + read[9:]
+    profile = Profile(df.drop("ingest_pos"))
+    assert consistency(profile, None).first()["score"] == 88.89 and consistency(profile).first()["score"] == 0
 
 
 def test_gaps_stay_when_every_date_parses(spark):

@@ -133,6 +133,31 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [(1, "two\nlines"), (2, "x")]
 
 
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path, monkeypatch):
+    """An odd quote inside a plain cell breaks no line; a break in one file leaves the others splittable."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder, "a.csv", 'a,b\n1,5" pipe\n2,"x ""y"", z"\n3,""\n4,"q"\n')
+    write(folder, "b.csv", "a,b\n5,u\n6,v\n")
+    assert files._broken_files(spark, str(folder), ",") == []
+    write(folder, "c.csv", 'a,b\n7,"two\nlines, ""quoted""\nand three"\n8,w\n')
+    assert [f.rsplit("/", 1)[1] for f in files._broken_files(spark, str(folder), ",")] == ["c.csv"]
+    rows = files.read_delimited(spark, str(folder))
+    assert {r["a"]: r["b"] for r in rows.collect()} == {
+        1: '5" pipe', 2: 'x "y", z', 3: None, 4: "q", 5: "u", 6: "v", 7: 'two\nlines, "quoted"\nand three', 8: "w",
+    }
+    write(folder, "d.csv", "a,b\n9,s,t\n")
+    with pytest.raises(ImportFailed, match="9,s,t"):
+        files.read_delimited(spark, str(folder))
+
+
+def test_open_ended_lines(spark):
+    lines = {'1,"two': True, '"': True, 'a,"b ""c': True, '"a","b"': False, 'a,"b""': True, 'a,b"': False, '"x";"y': False, "": False, 'a,"b" c,"d': True, '1,5" x,"y"': False, 'a,"b,c': True, 'a,"",b': False}
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert {r[0]: r[1] for r in df.select("value", files._open_ended(",")).collect()} == lines
+    assert df.select(files._open_ended(";").alias("o"), "value").filter("o").count() == 2
+
+
 def test_header_names():
     from ledgerlake.sources.workbook import header_names
 
