@@ -30,7 +30,7 @@ by nature, so its turns meet in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlake.llm.tables import named
 
@@ -41,6 +41,9 @@ _TEXT_ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e"))
 _ROLE_ESCAPES = (*_TEXT_ESCAPES, (":", "\\c"))
 ASSISTANT = "assistant"
 
+#: Four bytes for every code point.
+_WIDE = "UTF-32"
+
 
 def _swap(value: Column, found: str, put: str) -> Column:
     return F.replace(value, F.lit(found), F.lit(put))
@@ -116,44 +119,51 @@ def format_conversations(
     alone = F.array(F.struct(F.col("role"), F.col("text")))
     survives = F.coalesce(_said(F.col("read")) == alone, F.lit(False))
     rows = rows.withColumn("shown", F.when(survives, F.col("plain")).otherwise(_escaped(F.col("role"), F.col("text"))))
-    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown"))).alias("source"))
+    # Where each turn begins, by running sums over the conversation; in either rendering.
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "shown").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = {"at": F.length("shown"), "full_at": F.length(_escaped(F.col("role"), F.col("text")))}
+    rows = rows.withColumns({name: F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int") for name, size in sizes.items()})
+    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown", "at", "full_at"))).alias("source"))
 
     talks = talks.withColumn("formatted", F.array_join(F.transform("source", lambda t: t["shown"]), ""))
     talks = _with_parse(talks, "formatted", "turns")
     same = F.coalesce(_said(F.col("turns")) == _said(F.col("source")), F.lit(False))
     fully = F.array_join(F.transform("source", lambda t: _escaped(t["role"], t["text"])), "")
-    talks = talks.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(fully))
+    talks = talks.withColumn("plainly", same)
+    talks = talks.withColumn("formatted", F.when(F.col("plainly"), F.col("formatted")).otherwise(fully))
     talks = _with_parse(talks, "formatted", "turns")
     same = F.coalesce(_said(F.col("turns")) == _said(F.col("source")), F.lit(False))
     talks = talks.withColumn("turns", F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not survive formatting"))))
 
-    turns = F.col("turns")
-    ends = F.aggregate(
-        turns,
-        F.array(F.lit(0)),
-        lambda done, t: F.concat(done, F.array(F.element_at(done, -1) + t["size"] + F.lit(len(TAIL)))),
-    )
-    talks = talks.withColumn("_starts", ends)
-    spans = F.transform(
-        turns,
-        lambda t, i: F.struct((F.get(F.col("_starts"), i) + t["before"]).alias("start"), t["length"].alias("length"), t["role"].alias("role")),
+    starts = F.when(F.col("plainly"), F.transform("source", lambda t: t["at"])).otherwise(F.transform("source", lambda t: t["full_at"]))
+    spans = F.zip_with(
+        "turns", starts, lambda t, at: F.struct((at + t["before"]).alias("start"), t["length"].alias("length"), t["role"].alias("role"))
     )
     spoken = F.filter(spans, lambda s: s["role"] == ASSISTANT)
     mask = F.transform(spoken, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    return talks.select("conv_id", "formatted", _said(turns).alias("turns"), mask.alias("mask"))
+    return talks.select("conv_id", "formatted", _said(F.col("turns")).alias("turns"), mask.alias("mask"))
+
+
+def under_mask(formatted: DataFrame) -> DataFrame:
+    """Adds ``masked``: the pieces of the rendered text that the spans of the mask hold, escapes undone.
+
+    A place in code points is found at once in text of four bytes each. The
+    generator keeps that form from being made anew for every span.
+    """
+    wide = formatted.select("*", F.explode(F.array(F.encode("formatted", _WIDE))).alias("_wide"))
+    cut = lambda s: F.substring(F.col("_wide"), s["start"] * 4 + 1, s["length"] * 4)
+    return wide.withColumn("masked", F.transform("mask", lambda s: unescape(F.decode(cut(s), _WIDE)))).drop("_wide")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Counts and hashes of what is read back from the rendered text and its loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    whole = F.col("formatted")
-    masked = F.transform("mask", lambda s: unescape(whole.substr(s["start"] + 1, s["length"])))
-    rows = formatted.withColumns({"_said": said, "_loss": F.array_join(masked, "")})
+    rows = under_mask(formatted).withColumns({"_said": said, "_loss": F.array_join("masked", "")})
     return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2("_said", 256).alias("turns_sha256"),
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
-        F.length(whole).cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
     )
