@@ -63,10 +63,39 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndar
     return places, cost[places]
 
 
+def _alike(lengths: list[int]) -> list[int]:
+    """Where to part lengths that fall, so that no part takes over four times its places when all are as long as its first."""
+    ends, begin = [], 0
+    while begin < len(lengths):
+        end = begin + 1
+        total = lengths[begin]
+        while end < len(lengths) and lengths[begin] * (end - begin + 1) <= 4 * (total + lengths[end]):
+            total += lengths[end]
+            end += 1
+        ends.append(end)
+        begin = end
+    return ends
+
+
 def best_cuts(lanes: list[tuple[np.ndarray, np.ndarray]], room: int = ROOM) -> list[np.ndarray]:
-    """Least-cost cut places of every lane, from its candidate places and their costs."""
-    # Lanes by length, so that those still running are always the first ones.
+    """Least-cost cut places of every lane, from its candidate places and their costs.
+
+    Lanes of like length are solved together, so that one of a very long text
+    does not stretch the tables of all.
+    """
     order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i][0]))
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lanes)
+    begin = 0
+    for end in _alike([len(lanes[i][0]) for i in order]):
+        for lane, cuts in zip(order[begin:end], _cuts_together([lanes[i] for i in order[begin:end]], room)):
+            found[lane] = cuts
+        begin = end
+    return found
+
+
+def _cuts_together(lanes: list[tuple[np.ndarray, np.ndarray]], room: int) -> list[np.ndarray]:
+    """The longest lane comes first, so that those still running are always the first ones."""
+    order = range(len(lanes))
     running = np.array([len(lanes[i][0]) for i in order])
     n, steps = len(lanes), int(running[0])
     far = np.iinfo(np.int64).max // 4

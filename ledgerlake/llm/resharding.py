@@ -197,10 +197,24 @@ def place(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     )
 
 
+def folder_column(docs: DataFrame) -> str:
+    """The column that names a shard's folder: ``shard``, or with a number where documents have that column."""
+    taken, number = {c.lower() for c in docs.columns}, 2
+    name = "shard"
+    while name in taken:
+        name, number = f"shard_{number}", number + 1
+    return name
+
+
+def _whole_with_text(docs: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    return docs.select(whole_row(docs).alias("row")), F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+
+
 def write_old(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "text") -> None:
-    """The layout before: files by ``shard=`` folder, dealt by a hash of the text."""
-    rows = _keyed(docs.select(whole_row(docs).alias("row")), F.coalesce(F.col("row").getField(text), F.lit("")), shards)
-    rows.select("row.*", F.col("old_shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    """The layout before: a folder per shard (see ``folder_column``), dealt by a hash of the text."""
+    rows, words = _whole_with_text(docs, text)
+    name = folder_column(docs)
+    _keyed(rows, words, shards).select("row.*", F.col("old_shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def rewrite(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "text") -> Layout:
@@ -209,10 +223,10 @@ def rewrite(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "text"
     ``docs`` is read while files under ``path`` are replaced, so it must come
     from elsewhere, as from the snapshot that ``path`` was copied from.
     """
-    words = F.coalesce(F.col("row").getField(text), F.lit(""))
-    rows = _keyed(docs.select(whole_row(docs).alias("row")), words, shards)
+    rows, words = _whole_with_text(docs, text)
+    rows, name = _keyed(rows, words, shards), folder_column(docs)
     layout = plan_layout(rows.withColumn("size", row_size(words)).drop("row"), shards)
     placed = assign(rows, layout).filter(F.col("shard").isin(layout.affected))
-    out = placed.select("row.*", "shard").write.partitionBy("shard").option("partitionOverwriteMode", "dynamic")
+    out = placed.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).option("partitionOverwriteMode", "dynamic")
     out.mode("overwrite").parquet(path)
     return layout

@@ -98,6 +98,35 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     assert max(loads) - min(loads) < 4011  # the largest text
 
 
+def test_shard_files_of_documents_with_a_shard_column(spark, tmp_path):
+    docs = odd_documents(spark).withColumn("SHARD_2", F.lit("mine")).withColumnRenamed("n_chars", "old_shard")
+    path = str(tmp_path / "files")
+    resharding.write_old(docs, path, shards=4)
+    resharding.rewrite(docs, path, shards=4)
+    read = spark.read.parquet(path)
+    assert resharding.folder_column(docs) == "shard_3" and set(read.columns) == {*docs.columns, "shard_3"}
+    key = lambda r: (r.doc_id, r.text, r.shard, r.SHARD_2, r.old_shard)
+    assert Counter(map(key, read.collect())) == Counter(map(key, docs.collect()))
+
+
+def test_long_conversations(spark):
+    """Thousands of turns, some of them hard, come back under the mask."""
+    n = 3000
+    rows = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"),
+        F.concat(F.lit("\U0001f600 é </turn>\n### assistant: "), F.col("id").cast("string")).alias("text"),
+    )
+    formatted = chat.format_conversations(rows)
+    (row,) = chat.under_mask(formatted).collect()
+    said = [f"\U0001f600 é </turn>\n### assistant: {i}" for i in range(0, n, 3)]
+    assert row.masked == said and len(row.turns) == n
+    assert [chat_unescaped(row.formatted[m.start : m.start + m.length]) for m in row.mask] == said
+
+
+def chat_unescaped(text):
+    return text.replace("\\e", "</turn>").replace("\\h", "###").replace("\\b", "\\")
+
+
 # Licences.
 
 

@@ -99,3 +99,23 @@ def test_cuts_cost_no_more_than_plain_dynamic_programming():
         assert cuts[-1] == places[-1] and (sizes <= room).all()
         paid = sum(price[c] for c in cuts.tolist()) + sum(0 if d & (d - 1) == 0 else room - d for d in sizes.tolist())
         assert paid == plain_cost(places.tolist(), cost.tolist(), room)
+
+
+def test_a_long_lane_does_not_stretch_the_others():
+    """Tables hold a few times the places there are; and every lane has the cuts that it has alone."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+
+    def lane(n):
+        places = np.r_[0, np.cumsum(rng.integers(1, 40, n))]
+        return places, np.r_[0, rng.choice([0, packing.SENTENCE_CUT], n - 1), 0].astype(np.int64)
+
+    lanes = [lane(300) for _ in range(60)] + [lane(20_000)] + [lane(7) for _ in range(30)]
+    tracemalloc.start()
+    together = packing.best_cuts(lanes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    for one, cuts in zip(lanes, together):
+        assert packing.best_cuts([one])[0].tolist() == cuts.tolist()
