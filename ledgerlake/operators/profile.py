@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.errors import EmptyDataset
+from ledgerlake.operators.correlation import correlation_matrix
 from ledgerlake.operators.duplicates import duplicate_rows
 from ledgerlake.operators.frequencies import by_column, distinct_counts, nan_as_null, numeric_columns
 from ledgerlake.operators.selection import as_number, exact_quantiles
@@ -27,40 +27,6 @@ def _frame(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def correlation_matrix(df: DataFrame) -> DataFrame:
-    """(column_a, column_b, correlation): Pearson over rows where both are present.
-
-    NULL where either column does not vary over those rows. One aggregate row
-    for all pairs, so nothing but partial sums is shuffled.
-    """
-    columns = numeric_columns(df)
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
-
-    def pearson(a: str, b: str) -> Column:
-        spread = F.stddev_pop(F.when(value[b].isNotNull(), value[a])) * F.stddev_pop(
-            F.when(value[a].isNotNull(), value[b])
-        )
-        return F.covar_pop(value[a], value[b]) / F.when(spread > 0, spread)
-
-    pairs = list(combinations(range(len(columns)), 2))
-    cells = [pearson(columns[i], columns[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    cells += [F.when(F.stddev_pop(value[c]) > 0, F.lit(1.0)).alias(f"p{i}_{i}") for i, c in enumerate(columns)]
-    one_row = df.agg(*cells)
-    entries = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            entries.append(
-                F.struct(
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.col(f"p{min(i, j)}_{max(i, j)}").alias("correlation"),
-                )
-            )
-    return one_row.select(F.inline(F.array(*entries)))
-
-
 @dataclass
 class Profile:
     """Profile of a table; each part is computed when first asked for.

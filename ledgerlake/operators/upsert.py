@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.operators.ranking import global_row_number
+from ledgerlake.staging import stage
 
 
 def one_per_key(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
@@ -49,9 +50,14 @@ def insert_absent(
 def upsert(
     existing: DataFrame | None, incoming: DataFrame, key: str, attributes: Sequence[str], surrogate: str
 ) -> DataFrame:
-    """As ``insert_absent``, but stored rows take the attributes of an incoming row with their key."""
+    """As ``insert_absent``, but stored rows take the attributes of an incoming row with their key.
+
+    The incoming rows are written first: they are met twice, and are often an
+    aggregate of all raw rows.
+    """
     if existing is None:
         return _with_new_keys(incoming, [key], surrogate, 0)
+    incoming = stage(incoming, "incoming")
     news = incoming.select(
         F.col(key).alias("_key"), F.struct(*attributes).alias("_news")
     )

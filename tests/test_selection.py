@@ -4,10 +4,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import selection
+from ledgerlake.operators.correlation import correlation_matrix
 from ledgerlake.operators.duplicates import duplicate_rows, first_copies
 from ledgerlake.operators.frequencies import distinct_counts
 from ledgerlake.operators.profile import Profile
@@ -92,3 +94,26 @@ def test_sketched_distinct_counts_of_a_wide_table(spark):
     assert np.sqrt((off**2).mean()) < 0.05 and np.abs(off).max() < 0.25
     profile = Profile(df.select("c10", "c999"), distinct_error=0.05)
     assert {r["column"]: r["unique_count"] for r in profile.null_counts().collect()} == {c: got[c] for c in ("c10", "c999")}
+
+
+def test_correlations_of_a_wide_table(spark):
+    """1,000 columns with gaps, large means, constants; a few pairs against numpy."""
+    rng = np.random.default_rng(5)
+    rows, width = 400, 1000
+    base = rng.normal(size=(rows, 8))
+    x = base @ rng.normal(size=(8, width)) + rng.normal(size=(rows, width)) + 1e6 * rng.integers(0, 2, width)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 17], x[:, 18] = 1e9 + 0.1, np.nan
+    df = spark.createDataFrame(pa.table({f"c{i}": pa.array(x[:, i], from_pandas=True) for i in range(width)})).repartition(3)
+    found = correlation_matrix(df)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    cells = {(r[0], r[1]): r[2] for r in found.filter("column_a IN ('c0', 'c17', 'c130', 'c999')").collect()}
+    assert len(cells) == 4 * width and found.count() == width**2
+    for a in (0, 130, 999):
+        for b in [*range(0, width, 37), a, 17, 18]:
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            if b in (17, 18):
+                assert cells[f"c{a}", f"c{b}"] is None
+            else:
+                assert cells[f"c{a}", f"c{b}"] == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-9)
+    assert cells["c17", "c17"] is None and cells["c0", "c0"] == 1.0
