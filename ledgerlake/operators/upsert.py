@@ -22,7 +22,7 @@ def one_per_key(rows: DataFrame, keys: Sequence[str], attributes: Sequence[str])
     return chosen.select(*keys, "_latest.*")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Keys equal, with NULL equal to NULL."""
     condition = F.lit(True)
     for key in keys:
@@ -35,20 +35,24 @@ def _with_new_keys(fresh: DataFrame, keys: Sequence[str], surrogate: str, after:
 
 
 def insert_absent(
-    existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str], surrogate: str | None
+    existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str], surrogate: str | None, after: int | None = None
 ) -> DataFrame:
-    """Stored rows unchanged, plus incoming rows whose key is not stored yet."""
+    """Stored rows unchanged, plus incoming rows whose key is not stored yet.
+
+    New surrogate keys follow ``after``, or else the highest one of ``existing``.
+    """
     if existing is None:
         return _with_new_keys(incoming, keys, surrogate, 0) if surrogate else incoming
-    fresh = incoming.join(existing, _same(incoming, existing, keys), "left_anti")
+    fresh = incoming.join(existing, same_keys(incoming, existing, keys), "left_anti")
     if surrogate:
-        highest = existing.agg(F.max(surrogate).alias("key")).first()["key"] or 0
-        fresh = _with_new_keys(fresh, keys, surrogate, highest)
+        if after is None:
+            after = existing.agg(F.max(surrogate).alias("key")).first()["key"] or 0
+        fresh = _with_new_keys(fresh, keys, surrogate, after)
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert(
-    existing: DataFrame | None, incoming: DataFrame, key: str, attributes: Sequence[str], surrogate: str
+    existing: DataFrame | None, incoming: DataFrame, key: str, attributes: Sequence[str], surrogate: str, after: int | None = None
 ) -> DataFrame:
     """As ``insert_absent``, but stored rows take the attributes of an incoming row with their key.
 
@@ -68,4 +72,4 @@ def upsert(
             for c in existing.columns
         ]
     )
-    return insert_absent(updated, incoming, [key], surrogate)
+    return insert_absent(updated, incoming, [key], surrogate, after)

@@ -15,7 +15,7 @@ from ledgerlake.functions.names import lower_case_columns
 from ledgerlake.operators.cleaning import Rule, apply_rules, preview, recommend_rules, rules_list
 from ledgerlake.operators.profile import Profile
 from ledgerlake.plans.schema import TABLE_ROLES, Warehouse, require_sales_columns
-from ledgerlake.plans.warehouse import build_dimensions, facts
+from ledgerlake.plans.warehouse import GEOGRAPHY, PRODUCT, calendar, customers, facts, place_rows, product_rows
 from ledgerlake.sources.audit import AuditLog
 from ledgerlake.sources.tables import TableStore
 from ledgerlake.sources.workbook import POSITION
@@ -77,6 +77,14 @@ class Lake:
             return None
         return Warehouse(**tables, paths={n: self.star.path(n) for n in TABLE_ROLES})
 
+    def _load_dimensions(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """Products and places are merged by key range; days are few, and customers' scores change with every load."""
+        products = self.star.merge("dim_products", product_rows(rows), ["product_id"], PRODUCT, "product_key")
+        places = self.star.merge("dim_geography", place_rows(rows), GEOGRAPHY, [], "geo_key")
+        days = self.star.replace("dim_time", calendar(rows, self.star.find("dim_time")))
+        people = self.star.replace("dim_customers", customers(rows, self.star.find("dim_customers")))
+        return {"dim_products": products, "dim_geography": places, "dim_time": days, "dim_customers": people}
+
     def run(self, table: str, formats: Sequence[str] | None = None) -> list[dict]:
         """Clean the raw table and load the warehouse from it; returns the step log.
 
@@ -111,8 +119,7 @@ class Lake:
             finish(cleaned.logs)
 
             begin("Generate Star Schema Dimensions")
-            stored = {n: t for n in TABLE_ROLES if (t := self.star.find(n)) is not None}
-            dims = {n: self.star.replace(n, dim) for n, dim in build_dimensions(cleaned.rows, stored).items()}
+            dims = self._load_dimensions(cleaned.rows)
             finish()
 
             begin("Populate Fact Sales")

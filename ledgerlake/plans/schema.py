@@ -36,8 +36,8 @@ class Warehouse:
     dim_geography: DataFrame
     dim_time: DataFrame
     fact_sales: DataFrame
-    # Where each table is written.
-    paths: dict[str, str]
+    # Where each table is written: a folder, or files.
+    paths: dict[str, str | list[str]]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_ROLES}

@@ -57,11 +57,16 @@ SAVED_QUERIES = {
 
 
 def register(spark: SparkSession, w: Warehouse) -> None:
-    """Make the written tables known to SQL as ``warehouse.<table>``."""
+    """Make the written tables known to SQL as ``warehouse.<table>``; one that consists of files, as a view of them."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_dir(spark)}/{DATABASE}.db'")
+    kinds = {r["name"]: r["tableType"] for r in (t._asdict() for t in spark.catalog.listTables(DATABASE)) if not r["isTemporary"]}
     for name, path in w.paths.items():
-        spark.sql(f"DROP TABLE IF EXISTS {DATABASE}.{name}")
-        spark.catalog.createTable(f"{DATABASE}.{name}", path=path, source="parquet")
+        if name in kinds:
+            spark.sql(f"DROP {'VIEW' if kinds[name] == 'VIEW' else 'TABLE'} {DATABASE}.{name}")
+        if isinstance(path, str):
+            spark.catalog.createTable(f"{DATABASE}.{name}", path=path, source="parquet")
+        else:
+            spark.sql(f"CREATE VIEW {DATABASE}.{name} AS " + " UNION ALL ".join(f"SELECT * FROM parquet.`{p}`" for p in path))
 
 
 def _items(seq) -> Iterator:
@@ -85,6 +90,8 @@ class _Walk:
             node = waiting.pop()
             kind = node.getClass().getSimpleName()
             yield kind, node
+            if kind == "View" and _is_own(node.desc()):
+                continue
             waiting += _items(node.children())
             if self.is_operator(node):
                 waiting += _items(node.expressions())
@@ -111,11 +118,9 @@ def _check_parsed(spark: SparkSession, statement: str) -> None:
                 raise QueryRefused(f"'{'.'.join(parts)}' is not a warehouse table")
 
 
-def _is_warehouse_table(relation) -> bool:
-    entry = relation.catalogTable()
-    if entry.isEmpty():
-        return False
-    name = entry.get().identifier()
+def _is_own(entry) -> bool:
+    """Whether a catalog entry is a table of the warehouse, or its view of a table's files."""
+    name = entry.identifier()
     catalog = name.catalog().get() if name.catalog().isDefined() else _CATALOG
     database = name.database().get() if name.database().isDefined() else None
     return catalog == _CATALOG and database == DATABASE and name.table() in TABLE_ROLES
@@ -126,15 +131,17 @@ def _check_analysed(spark: SparkSession, plan) -> None:
 
     Names are resolved here: named subqueries are inlined or referred to by
     number, and every relation carries the catalog entry that it stands for,
-    whatever the text calls it. Views, files, cached and streamed data are
-    other nodes and stay outside.
+    whatever the text calls it. Views of others, files, cached and streamed
+    data are other nodes and stay outside.
     """
     walk = _Walk(spark)
     for kind, node in walk.nodes(plan):
         if walk.is_operator(node):
+            if kind == "View" and _is_own(node.desc()):
+                continue
             if kind not in _OPERATORS:
                 raise QueryRefused(f"the query may only read the warehouse tables by name ({kind})")
-            if kind == "LogicalRelation" and not _is_warehouse_table(node):
+            if kind == "LogicalRelation" and not (node.catalogTable().isDefined() and _is_own(node.catalogTable().get())):
                 raise QueryRefused("the query reads a table outside the warehouse")
         elif any(part in kind for part in _FOREIGN_CODE):
             raise QueryRefused(f"functions that run other code are not allowed ({kind})")

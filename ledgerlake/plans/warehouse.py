@@ -12,6 +12,7 @@ from ledgerlake.plans.schema import TABLE_ROLES, Warehouse, require_sales_column
 from ledgerlake.staging import new_path, stage, stage_at
 
 GEOGRAPHY = ["city", "state", "region", "country"]
+PRODUCT = ["product_name", "category", "sub_category"]
 # Facts that agree in all of these are equal, so any order among them will do.
 FACT_ORDER = [
     "date_key", "order_id", "customer_key", "product_key", "geo_key", "sales", "quantity", "discount", "profit",
@@ -21,17 +22,23 @@ _EXACT = "decimal(18,4)"
 _TOTAL = "decimal(28,2)"
 
 
+def product_rows(raw: DataFrame) -> DataFrame:
+    """One row per product of the raw rows."""
+    return one_per_key(raw.filter(F.col("product_id").isNotNull()), ["product_id"], PRODUCT)
+
+
 def products(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    attributes = ["product_name", "category", "sub_category"]
-    incoming = one_per_key(raw.filter(F.col("product_id").isNotNull()), ["product_id"], attributes)
-    dim = upsert(existing, incoming, "product_id", attributes, "product_key")
-    return dim.select("product_key", "product_id", *attributes)
+    dim = upsert(existing, product_rows(raw), "product_id", PRODUCT, "product_key")
+    return dim.select("product_key", "product_id", *PRODUCT)
+
+
+def place_rows(raw: DataFrame) -> DataFrame:
+    """The places of the raw rows."""
+    return raw.filter(F.col("city").isNotNull() & F.col("state").isNotNull()).select(*GEOGRAPHY).distinct()
 
 
 def geography(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    known = raw.filter(F.col("city").isNotNull() & F.col("state").isNotNull())
-    dim = insert_absent(existing, known.select(*GEOGRAPHY).distinct(), GEOGRAPHY, "geo_key")
-    return dim.select("geo_key", *GEOGRAPHY)
+    return insert_absent(existing, place_rows(raw), GEOGRAPHY, "geo_key").select("geo_key", *GEOGRAPHY)
 
 
 def calendar(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:

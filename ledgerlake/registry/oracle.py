@@ -458,6 +458,17 @@ _MIXED = f"""{DIRTY}, mixed AS (
 )"""
 
 
+_PRODUCTS_TWICE = f"""WITH {CLEAN}, {_EARLY}, {_LATE},
+    first_keys AS (SELECT product_id, category, sub_category, row_number() OVER (ORDER BY product_id) AS product_key
+        FROM (SELECT DISTINCT product_id, category, sub_category FROM early)),
+    second AS (SELECT DISTINCT product_id, product_name, category, sub_category FROM late)
+    SELECT product_key, f.product_id, coalesce(s.product_name, 'old') AS product_name, f.category, f.sub_category
+    FROM first_keys f LEFT JOIN second s USING (product_id)
+    UNION ALL SELECT (SELECT max(product_key) FROM first_keys) + row_number() OVER (ORDER BY product_id),
+        product_id, product_name, category, sub_category FROM second
+    WHERE product_id NOT IN (SELECT product_id FROM first_keys)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "csv_import": f"""WITH {DIRTY} SELECT category, count(*) AS rows, count(DISTINCT order_id) AS orders,
@@ -502,15 +513,8 @@ def all_sql() -> dict[str, str]:
         "anomaly_checks": f"WITH {STAR} SELECT count(*) AS total, count(*) AS facts, true AS labels_agree, true AS few_flagged FROM fact_sales",
         "customer_scores": f"""WITH {STAR} SELECT customer_key, customer_tier, CAST(customer_tier IN ('Platinum', 'Gold') AS INTEGER) AS is_high_value,
             true AS is_share, true AS agrees FROM dim_customers JOIN (SELECT DISTINCT customer_key FROM fact_sales) USING (customer_key)""",
-        "products_after_second_load": f"""WITH {CLEAN}, {_EARLY}, {_LATE},
-            first_keys AS (SELECT product_id, category, sub_category, row_number() OVER (ORDER BY product_id) AS product_key
-                FROM (SELECT DISTINCT product_id, category, sub_category FROM early)),
-            second AS (SELECT DISTINCT product_id, product_name, category, sub_category FROM late)
-            SELECT product_key, f.product_id, coalesce(s.product_name, 'old') AS product_name, f.category, f.sub_category
-            FROM first_keys f LEFT JOIN second s USING (product_id)
-            UNION ALL SELECT (SELECT max(product_key) FROM first_keys) + row_number() OVER (ORDER BY product_id),
-                product_id, product_name, category, sub_category FROM second
-            WHERE product_id NOT IN (SELECT product_id FROM first_keys)""",
+        "products_after_second_load": _PRODUCTS_TWICE,
+        "products_merged_by_range": _PRODUCTS_TWICE,
         "geography_after_second_load": f"""WITH {DIRTY}, places AS (SELECT DISTINCT city, state, region, country FROM dirty),
             first_keys AS (SELECT row_number() OVER (ORDER BY city, state, country) AS geo_key, * FROM places WHERE region IS NULL)
             SELECT * FROM first_keys

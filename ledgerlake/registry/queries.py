@@ -17,6 +17,7 @@ from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans import dashboard, insights, report, sqlstudio, warehouse
 from ledgerlake.registry.data import Folder, folder
 from ledgerlake.sources import files
+from ledgerlake.sources.tables import TableStore
 from ledgerlake.sources.workbook import POSITION
 from ledgerlake.staging import new_path, stage
 
@@ -158,6 +159,16 @@ def products_after_second_load(f: Folder) -> DataFrame:
     return warehouse.products(late, first)
 
 
+@query
+def products_merged_by_range(f: Folder) -> DataFrame:
+    """The same, kept in files by key range of which the second load rewrites what it touches."""
+    early, late = _loads(f)
+    store = TableStore(f.spark, new_path(f.spark, "ranged"), "warehouse")
+    for rows in (early.withColumn("product_name", F.lit("old")), late):
+        store.merge("dim_products", warehouse.product_rows(rows), ["product_id"], warehouse.PRODUCT, "product_key", 50)
+    return store.scan("dim_products").select("product_key", "product_id", *warehouse.PRODUCT)
+
+
 @query
 def geography_after_second_load(f: Folder) -> DataFrame:
     """Rows with an unknown region are one place, however often they are loaded."""

@@ -6,7 +6,7 @@ from ledgerlake.operators.cleaning import Rule
 from ledgerlake.plans import dashboard, insights, sqlstudio, warehouse
 from ledgerlake.plans.etl import Lake
 from ledgerlake.plans.schema import SALES_COLUMNS
-from ledgerlake.sources.tables import clean_identifier
+from ledgerlake.sources.tables import TableStore, clean_identifier
 from ledgerlake.staging import new_path
 
 SCHEMA = (
@@ -129,6 +129,49 @@ def test_full_run_twice(spark, lake):
     assert lake.raw.versions().count() == 3
 
 
+def test_second_load_rewrites_only_the_files_it_touches(spark):
+    store = TableStore(spark, new_path(spark, "ranged"), "warehouse")
+
+    def merge(rows):
+        frame = spark.createDataFrame(rows, "id string, place string, label string")
+        store.merge("dim", frame, ["id", "place"][:1], ["place", "label"], "key", 10)
+        return {f["path"] for f in store._files("dim")}
+
+    first = merge([(f"k{i:03d}", "p", "old") for i in range(0, 200, 2)])
+    keys = {r["id"]: r["key"] for r in store.find("dim").collect()}
+    assert len(first) >= 8 and sorted(keys.values()) == list(range(1, 101))
+    assert merge([("k010", "p", "old"), ("k150", "p", "old")]) == first  # nothing changes
+    second = merge([("k020", "p", "new"), ("k021", None, "new"), ("k022", "p", "old"), ("a", "p", "first"), ("z", "p", "last")])
+    assert 1 <= len(first - second) <= 4 and len(first & second) >= len(first) - 4
+    rows = {r["id"]: (r["key"], r["place"], r["label"]) for r in store.find("dim").collect()}
+    assert len(rows) == 103 and rows["k020"] == (keys["k020"], "p", "new") and rows["k198"] == (keys["k198"], "p", "old")
+    assert {i: rows[i] for i in ("a", "k021", "z")} == {"a": (101, "p", "first"), "k021": (102, None, "new"), "z": (103, "p", "last")}
+    third = merge([(f"k{i:03d}", "p", "odd") for i in range(1, 200, 2)])
+    files = sorted((f["low"], f["high"]) for f in store._files("dim"))
+    assert all(a[1] < b[0] for a, b in zip(files, files[1:])) and len(third) == len(files) >= 15
+    rows = store.find("dim").collect()
+    assert len({r["id"] for r in rows}) == len(rows) == 202 and len({r["key"] for r in rows}) == 202
+
+
+def test_ranged_tables_in_a_lake(spark, lake, monkeypatch):
+    """Tables written whole before are taken over; several files are one SQL table."""
+    monkeypatch.setattr(TableStore.merge, "__defaults__", (2,))
+    days = [{"order_id": f"o{i}", "product_id": f"p{i}", "city": f"c{i}", "region": None if i == 3 else "r"} for i in range(7)]
+    lake.raw.replace("sales", loaded(spark, *days))
+    lake.star.replace("dim_products", spark.createDataFrame([(1, "p3", "n", "c", "s")], "product_key bigint, product_id string, product_name string, category string, sub_category string"))
+    lake.run("sales")
+    w = lake.warehouse()
+    assert isinstance(w.paths["dim_products"], list) and w.dim_products.count() == 7
+    assert w.dim_products.filter("product_id = 'p3'").first()["product_key"] == 1
+    before = {tuple(r) for r in w.dim_geography.collect()}
+    lake.run("sales")
+    assert {tuple(r) for r in lake.warehouse().dim_geography.collect()} == before and len(before) == 7
+    sqlstudio.register(spark, lake.warehouse())
+    text = "SELECT COUNT(*) AS n FROM warehouse.dim_products p JOIN warehouse.fact_sales f ON p.product_key = f.product_key"
+    assert sqlstudio.answer(spark, text).rows == [{"n": 7}]
+    sqlstudio.register(spark, lake.warehouse())
+
+
 def test_failed_run_is_recorded(spark, lake):
     lake.raw.replace("sales", loaded(spark, {}).drop("profit"))
     with pytest.raises(EtlFailed):
