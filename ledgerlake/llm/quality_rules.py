@@ -1,11 +1,16 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``plan_cascade`` estimates on a sample how long each rule takes, with the counts
-it reads, and how many rows it rejects, and orders the rules by rejection per
-cost. ``keep_good`` works them off in that order: a row that an early rule
+``plan_cascade`` estimates each rule's cost and selectivity on a sample, in one
+pass: which rules reject a row, and how many characters it has. Rules are then
+chosen one after the other, each time the one with most rejections per cost
+among the rows that are left; what it costs are the counts that no earlier rule
+has made. The sample is taken by a hash of the text and costs are weights per
+character, so the same table gives the same order, however it is partitioned.
+``keep_good`` works the rules off in that order: a row that an early rule
 rejects is spared the counts of the later ones. The order changes the time
 taken, never the verdict: a row is kept when no rule rejects it. ``judge``
-reports all counts, so there only the verdict is cut short.
+reports most counts for every row and makes the others only where no rule has
+rejected so far.
 
 Words in repeated windows: all 3-word windows are hashed; only where some hash
 repeats are (hash, place) pairs sorted, neighbours compared, and the places of
@@ -19,13 +24,12 @@ the rules in their written order; other columns pass through ``keep_good``.
 from __future__ import annotations
 
 import re
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlake.llm.tables import named, text_of, whole_row, written
+from ledgerlake.llm.tables import named, text_of, whole_row
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
@@ -33,7 +37,8 @@ _SYMBOLS = "#*$%&|<>"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 SAMPLE_ROWS = 2000
-SAMPLE_SEED = 20
+#: Parts of the hash range in which the sample is taken.
+_LOTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,6 +120,25 @@ _STEPS = {
     "n_repeat_words": (("_places",), lambda: _covered(F.col("_places"))),
 }
 _COUNTS = tuple(name for name in _STEPS if not name.startswith("_"))
+#: What ``judge`` says of every row.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+#: Work per character of text for each column, about, in units of one replacement over the text.
+_WORK = {
+    "_words": 4, "_windows": 4, "_sorted": 3, "_places": 2, "_lines": 2, "n_words": 0.1, "word_chars": 1, "n_symbols": 1,
+    "n_lines": 0.1, "n_dup_lines": 2, "n_upper": 1, "n_repeat_words": 1,
+}
+#: What passing a rule costs besides, so that no rule is free.
+_PASSING = 0.01
+
+
+def _steps_of(names: Sequence[str]) -> set[str]:
+    """The counts and all that they are made from."""
+    found: set[str] = set()
+    for name in names:
+        found |= {name} | _steps_of(_STEPS[name][0])
+    return found
 
 
 def _with_step(rows: DataFrame, name: str, wanted: Column | None = None) -> DataFrame:
@@ -134,60 +158,57 @@ def _measured(rows: DataFrame, names: Sequence[str] = _COUNTS) -> DataFrame:
     return rows
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row`` (the whole row as a struct) and the counts."""
-    rows = docs.select(whole_row(docs).alias("row"), text_of(text).alias("_text"))
-    return _measured(rows).select("row", *_COUNTS)
-
-
 def plan_cascade(
     docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS
 ) -> list[Rule]:
-    """Rules by rejections per second, most first, as seen on about ``sample_rows`` rows."""
-    total = docs.count()
+    """Rules by rejections per cost among the rows that earlier rules leave, as seen on about ``sample_rows`` rows."""
     texts = docs.select(text_of(text).alias("_text"))
-    share = min(1.0, sample_rows / max(total, 1))
-    sample = written(texts.sample(fraction=share, seed=SAMPLE_SEED), "rules-sample")
-    gains = []
-    for place, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = _measured(sample, rule.reads).agg(F.count_if(F.expr(rule.rejects)).alias("n")).first()["n"]
-        gains.append((-rejected / max(time.perf_counter() - began, 1e-6), place))
-    return [rules[place] for _, place in sorted(gains)]
-
-
-def verdict(cascade: Sequence[Rule]) -> Column:
-    """Name of the first rule of the cascade that rejects, else null."""
-    found = F.lit(None).cast("string")
-    for rule in reversed(cascade):
-        found = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(found)
-    return found
+    lots = int(min(1.0, sample_rows / max(docs.count(), 1)) * _LOTS)
+    sample = texts.filter(F.pmod(F.xxhash64("_text"), F.lit(_LOTS)) <= lots)
+    rejects = [F.coalesce(F.expr(rule.rejects), F.lit(False)) for rule in rules]
+    read = sorted({name for rule in rules for name in rule.reads}, key=list(_STEPS).index)
+    judged = _measured(sample, read).select(F.array(*rejects).alias("rejected"), F.length("_text").alias("characters"))
+    # A row per set of rules that reject together.
+    sets = judged.groupBy("rejected").agg(F.count(F.lit(1)).alias("rows"), F.sum("characters").alias("characters")).collect()
+
+    order: list[int] = []
+    made: set[str] = set()
+    while len(order) < len(rules):
+        alive = [s for s in sets if not any(s["rejected"][i] for i in order)]
+        characters = sum(s["characters"] for s in alive)
+
+        def worth(i: int) -> tuple[float, int]:
+            work = _PASSING + sum(_WORK[step] for step in _steps_of(rules[i].reads) - made)
+            return sum(s["rows"] for s in alive if s["rejected"][i]) / (work * max(characters, 1)), -i
+
+        best = max((i for i in range(len(rules)) if i not in order), key=worth)
+        order.append(best)
+        made |= _steps_of(rules[best].reads)
+    return [rules[i] for i in order]
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed and kept."""
-    cascade = plan_cascade(docs, rules, text)
-    narrow = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
+    narrow = docs.select(named(doc_id).alias("doc_id"), text_of(text).alias("_text"))
+    rows = _cascaded(_measured(narrow, REPORTED), plan_cascade(docs, rules, text))
     base = F.expr(" OR ".join(f"({rule.rejects})" for rule in BASE_RULES))
-    return measure(narrow).select(
-        F.col("row.doc_id").alias("doc_id"),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        base.alias("base_failed"),
-        (~base & verdict(cascade).isNull()).alias("kept"),
-    )
+    return rows.select("doc_id", *REPORTED, base.alias("base_failed"), (~base & F.col("_alive")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """Rows that no rule rejects, with all their columns; counts are made rule by rule, in rows not rejected so far."""
-    rows = docs.select(whole_row(docs).alias("row"), text_of(text).alias("_text")).withColumn("_alive", F.lit(True))
-    for rule in plan_cascade(docs, rules, text):
+def _cascaded(rows: DataFrame, cascade: Sequence[Rule]) -> DataFrame:
+    """Adds ``_alive``: whether no rule rejects; counts that are not there are made rule by rule, where none has rejected so far."""
+    rows = rows.withColumn("_alive", F.lit(True))
+    for rule in cascade:
         for name in rule.reads:
             rows = _with_step(rows, name, F.col("_alive"))
         rows = rows.withColumn("_alive", F.col("_alive") & ~F.coalesce(F.expr(rule.rejects), F.lit(False)))
+    return rows
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """Rows that no rule rejects, with all their columns; counts are made rule by rule, in rows not rejected so far."""
+    rows = docs.select(whole_row(docs).alias("row"), text_of(text).alias("_text"))
+    rows = _cascaded(rows, plan_cascade(docs, rules, text))
     # The row number keeps the filter above the counts; moved below, each mention would count again.
     rows = rows.withColumn("_pin", F.monotonically_increasing_id())
     return rows.filter("_alive AND _pin >= 0").select("row.*")

@@ -287,6 +287,21 @@ def test_rules_on_odd_rows(spark):
     assert quality_rules.judge(docs.limit(0)).count() == quality_rules.keep_good(docs.limit(0)).count() == 0
 
 
+def test_cascade_is_the_same_however_the_table_is_partitioned(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    orders = {tuple(r.name for r in quality_rules.plan_cascade(docs.repartition(n), sample_rows=100)) for n in (1, 3, 8)}
+    assert len(orders) == 1
+
+
+def test_cascade_looks_at_the_rows_that_are_left(spark):
+    """Of two rules that reject the same rows the second has nothing left to reject; shared counts are paid once."""
+    docs = spark.createDataFrame([("a " * n + "# " * (n % 3),) for n in range(60)], "text string")
+    rules = [quality_rules.Rule(name, rejects) for name, rejects in (
+        ("windows", "n_repeat_words >= 0 AND n_words < 40"), ("few", "n_words < 40"), ("symbols", "n_symbols > 1"), ("many", "n_words > 58"),
+    )]
+    assert [r.name for r in quality_rules.plan_cascade(docs, rules)] == ["symbols", "few", "many", "windows"]
+
+
 def test_cascade_puts_the_rule_that_pays_first(spark):
     docs = spark.createDataFrame([(i, "word " * 60) for i in range(50)], "doc_id long, text string")
     never = quality_rules.Rule("never", "n_words < 0")
