@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, Row, functions as F, typ
 from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.duplicates import first_copies
 from ledgerlake.operators.fills import forward_then_backward
-from ledgerlake.operators.frequencies import modes, nan_as_null, numeric_columns, value_frequencies
+from ledgerlake.operators.frequencies import nan_as_null, numeric_columns
+from ledgerlake.operators.heavy import modes_of
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.quality import consistency
 from ledgerlake.operators.selection import exact_quantiles
@@ -165,7 +166,7 @@ def fill_values(df: DataFrame, fills: Sequence[Rule]) -> dict[str, object]:
     if by_median or by_mode:
         middles = exact_quantiles(df, by_median, [0.5]) if by_median else {}
         values.update({c: middles[c][0] if c in middles else None for c in by_median})
-        top = modes(stage(value_frequencies(df, sorted(by_mode)), "fill-frequencies"), by_mode, sorted(numeric)) if by_mode else {}
+        top = modes_of(df, sorted(by_mode), sorted(numeric))
         for c in by_mode:
             # A number column without values cannot hold the text placeholder.
             values[c] = top.get(c, None if c in numeric else "N/A")

@@ -17,18 +17,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, text, n); nulls are counted in the row with a NULL text."""
-    columns = list(columns or df.columns)
+def as_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as the texts by which values are told apart."""
     fractional = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType)]
     # Floats go the way their other statistics do, through double; 0.1 has one text then.
     wide = {c: F.col(f"`{c}`").cast("double") if c in fractional else F.col(f"`{c}`") for c in columns}
-    texts = df.select(*[wide[c].cast("string").alias(c) for c in columns])
-    return (
-        texts.unpivot([], columns, "column", "text")
-        .groupBy("column", "text")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(*[wide[c].cast("string").alias(c) for c in columns])
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, text, n); nulls are counted in the row with a NULL text."""
+    columns = list(columns or df.columns)
+    return as_texts(df, columns).unpivot([], columns, "column", "text").groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nan_as_null(df: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import cached_property
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -95,3 +98,33 @@ def folder(spark: SparkSession, path: str) -> Folder:
     if key not in _folders:
         _folders[key] = Folder(spark, key[1])
     return _folders[key]
+
+
+_SHEETS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def write_workbook(spark: SparkSession, root: str, name: str, rows: DataFrame) -> str:
+    """A small table as a workbook of one sheet, so that the reader has one to read."""
+
+    def cell(place: int, number: int, value: object) -> str:
+        at = f'r="{chr(65 + place)}{number}"'
+        return f"<c {at}><v>{value}</v></c>" if isinstance(value, int) else f'<c {at} t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
+
+    lines = [rows.columns, *rows.collect()]
+    body = "".join(f'<row r="{i}">' + "".join(cell(p, i, v) for p, v in enumerate(line)) + "</row>" for i, line in enumerate(lines, 1))
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{_SHEETS}" xmlns:r="{_LINKS}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_SHEETS}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as book:
+        for part, text in parts.items():
+            book.writestr(part, text)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    out.write(bytearray(content.getvalue()))
+    out.close()
+    return f"{root}/{name}"

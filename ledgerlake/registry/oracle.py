@@ -495,6 +495,13 @@ def all_sql() -> dict[str, str]:
                 f.sales NULLS FIRST, f.quantity NULLS FIRST, f.discount NULLS FIRST, f.profit NULLS FIRST) AS fact_key,
             * REPLACE ({_double('sales')} AS sales, {_double('discount')} AS discount, {_double('profit')} AS profit) FROM fact_sales f""",
         "dataset_listing": f"WITH {DIRTY} SELECT count(*) AS rows, 0::BIGINT AS unlisted FROM dirty",
+        "lowered_columns": f"""WITH {DIRTY} SELECT segment, count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS quantity,
+            '{','.join(SALES_COLUMNS)}' AS columns FROM dirty GROUP BY segment""",
+        "imported_files": f"""WITH {CLEAN} SELECT 'sales_' || lower(replace(region, ' ', '_')) || '_2024' AS "table", CAST(2 AS INTEGER) AS columns,
+            count(*) AS rows, round(sum(sales), 2) AS sales FROM raw GROUP BY region""",
+        "imported_workbook": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+        "data_guards": """SELECT * FROM (VALUES ('import', 'EmptyDataset'), ('profile', 'EmptyDataset'), ('forecast', 'NotEnoughData'),
+            ('lags', 'NotEnoughData'), ('classifier', 'NotEnoughData'), ('one class', 'NotEnoughData'), ('anomalies', 'NotEnoughData')) AS v(guard, outcome)""",
         "csv_schema_report": f"""SELECT * FROM (VALUES {_KINDS}) k(ord, "column", type)""",
         "etl_run_steps": f"""WITH {_STATS} SELECT 'COMPLETED' AS run_status, step, 'COMPLETED' AS status,
             CASE WHEN step LIKE 'Run %' THEN 'Dropped ' || (SELECT CAST(sum(extra) AS BIGINT) FROM copies) || ' duplicate rows.' END AS first_line

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlake.errors import LedgerLakeError
 from ledgerlake.functions import values as v
 from ledgerlake.functions.dates import RECOVERING_FORMATS, is_iso_date
 from ledgerlake.functions.names import normalise_headers
 from ledgerlake.operators import cleaning, classify, quality, timeseries
 from ledgerlake.operators.cleaning import Rule
 from ledgerlake.operators.duplicates import duplicate_rows
+from ledgerlake.operators.isolation import detect_anomalies
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.ranking import global_row_number
 from ledgerlake.plans import dashboard, insights, report, sqlstudio, warehouse
-from ledgerlake.registry.data import Folder, folder
+from ledgerlake.plans.etl import Lake
+from ledgerlake.registry.data import Folder, folder, write_workbook
 from ledgerlake.sources import files
 from ledgerlake.sources.tables import TableStore
 from ledgerlake.sources.workbook import POSITION
@@ -71,6 +74,65 @@ def csv_import(f: Folder) -> DataFrame:
     )
 
 
+@query
+def lowered_columns(f: Folder) -> DataFrame:
+    """Upper-case columns of a stored table, lower-cased where it lies."""
+    lake = Lake(f.spark, new_path(f.spark, "casing"))
+    lake.raw.replace("sales", f.dirty.toDF(*[c.upper() if c != POSITION else c for c in f.dirty.columns]))
+    lake.normalise_casing("sales")
+    rows = lake.raw.scan("sales")
+    names = F.lit(",".join(rows.columns)).alias("columns")
+    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").cast("bigint").alias("quantity")).select("*", names)
+
+
+@query
+def imported_files(f: Folder) -> DataFrame:
+    """One file per region, imported under the table name that its file name gives."""
+    root, found = new_path(f.spark, "regions"), None
+    regions = [r["region"] for r in f.star.dim_geography.select("region").distinct().orderBy("region").collect()]
+    for region in regions:
+        path = f"{root}/Sales {region.title()}-2024.v1.csv"
+        f.clean.filter(F.col("region") == region).select("order_id", F.col("sales").alias("Sales.Total")).write.option("header", True).csv(path)
+        got = files.import_file(f.spark, path)
+        row = got.rows.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales_total"), 2).alias("sales"))
+        row = row.select(F.lit(got.table).alias("table"), F.lit(got.col_count).alias("columns"), "*")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query
+def imported_workbook(f: Folder) -> DataFrame:
+    """The nations as an .xlsx workbook, read back."""
+    nations = f.spark.read.parquet(f"{f.folder}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey")
+    path = write_workbook(f.spark, new_path(f.spark, "books"), "Nations.xlsx", nations)
+    return files.import_file(f.spark, path).rows.drop(POSITION)
+
+
+@query
+def data_guards(f: Folder) -> DataFrame:
+    """What refuses to work on too little of the data, and how."""
+    few = f.star.dim_customers.orderBy("customer_key").limit(19)
+    path = new_path(f.spark, "empty") + ".csv"
+    f.clean.limit(0).coalesce(1).write.option("header", True).csv(path)
+    tries = {
+        "import": lambda: files.import_file(f.spark, path),
+        "profile": lambda: Profile(f.dirty.limit(0)).require_rows(),
+        "forecast": lambda: timeseries.fit_sales_model(f.monthly.orderBy("year", "month").limit(11)),
+        "lags": lambda: timeseries.fit_sales_model(f.monthly.orderBy("year", "month").limit(17)),
+        "classifier": lambda: classify.fit_customer_model(few, f.star.fact_sales),
+        "one class": lambda: classify.fit_customer_model(f.star.dim_customers.withColumn("customer_tier", F.lit("Gold")), f.star.fact_sales),
+        "anomalies": lambda: detect_anomalies(f.star.fact_sales.orderBy("fact_key").limit(49), f.star.dim_products),
+    }
+    rows = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+            rows.append((name, "done"))
+        except LedgerLakeError as problem:
+            rows.append((name, type(problem).__name__))
+    return f.spark.createDataFrame(rows, "guard string, outcome string")
+
+
 @query
 def csv_schema_report(f: Folder) -> DataFrame:
     return files.schema_report(normalise_headers(files.read_delimited(f.spark, f.csv)))

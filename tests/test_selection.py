@@ -12,6 +12,7 @@ from ledgerlake.operators import selection
 from ledgerlake.operators.correlation import correlation_matrix
 from ledgerlake.operators.duplicates import duplicate_rows, first_copies
 from ledgerlake.operators.frequencies import distinct_counts
+from ledgerlake.operators.heavy import modes_of
 from ledgerlake.operators.profile import Profile
 
 RNG = np.random.default_rng(7)
@@ -117,3 +118,28 @@ def test_correlations_of_a_wide_table(spark):
             else:
                 assert cells[f"c{a}", f"c{b}"] == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-9)
     assert cells["c17", "c17"] is None and cells["c0", "c0"] == 1.0
+
+
+@pytest.mark.parametrize("counters", [4, 64, 4096])
+def test_modes_by_heavy_hitters(spark, counters):
+    """Equal to the exact mode whether counters are exact, candidates are counted anew, or all values are."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    columns = {
+        "skewed": [f"v{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 900)],
+        "uniform": [f"u{int(x)}" for x in rng.integers(0, 800, n)],
+        "distinct": [f"d{i:05d}" for i in rng.permutation(n)],
+        "few": [["x", "y", None][i % 3] for i in range(n)],
+        "numbers": [int(x) for x in rng.integers(8, 12, n)],
+        "empty": [None] * n,
+        "tied": [f"t{i % 2}" if i % 4 else f"z{i}" for i in range(n)],
+    }
+    types = {c: "bigint" if c == "numbers" else "string" for c in columns}
+    df = spark.createDataFrame([*zip(*columns.values())], ", ".join(f"{c} {t}" for c, t in types.items())).repartition(4)
+    expected = {}
+    for c, values in columns.items():
+        counts = Counter(v for v in values if v is not None)
+        if counts:
+            expected[c] = str(min((v for v, k in counts.items() if k == max(counts.values())), key=lambda v: v))
+    assert modes_of(df, list(columns), ["numbers"], counters) == expected
+    assert modes_of(df.limit(0), ["few"]) == {} and modes_of(df, []) == {}
