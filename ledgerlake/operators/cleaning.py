@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Observation, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.duplicates import first_copies
@@ -112,11 +112,16 @@ def keep_first(df: DataFrame, position: str) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame, position: str) -> tuple[DataFrame, int]:
-    """The first copies, written, and how many rows went; counted by the write itself."""
-    gone = Observation()
-    kept = first_copies(df, position, "_dropped").observe(gone, F.sum("_dropped").alias("rows"))
-    written = stage(kept.select(*[F.col(f"`{c}`") for c in df.columns]), "deduplicated")
-    return written, gone.get["rows"] or 0
+    """The first copies, written, and how many rows went.
+
+    The number is the sum of a column that is written along, which costs a look
+    at that column only. (``observe`` would count in the write itself, but in a
+    session that has observed anything, Spark 4.1 can no longer send out a
+    classifier's ``transform``.)
+    """
+    written = stage(first_copies(df, position, "_dropped"), "deduplicated")
+    gone = written.agg(F.sum("_dropped").alias("rows")).first()["rows"] or 0
+    return written.drop("_dropped"), gone
 
 
 def standardize_dates(
