@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -46,8 +47,17 @@ def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS, with_t
     return F.coalesce(*attempts)
 
 
-def formats_of(df: DataFrame, column: str) -> tuple[str, ...]:
-    """Formats for a text column, decided from all its values.
+@dataclass(frozen=True)
+class DateReading:
+    """The forms in which a column's texts are read as dates, and how many values are read and lost."""
+
+    formats: tuple[str, ...]
+    read: int
+    lost: int
+
+
+def date_reading(df: DataFrame, column: str) -> DateReading:
+    """Formats for a text column, decided from all its values in one pass.
 
     Where day and month may be swapped, the order that reads more of the
     column's values comes first, on a tie the usual one for that form; the other
@@ -55,10 +65,17 @@ def formats_of(df: DataFrame, column: str) -> tuple[str, ...]:
     """
     text = F.trim(F.col(f"`{column}`").cast("string"))
     orders = [f for pair in _EITHER_ORDER for f in pair]
-    read = df.agg(*[F.count(parse_date(text, [f], True)).alias(f"n{i}") for i, f in enumerate(orders)]).first()
-    counts = dict(zip(orders, read))
-    chosen = [(usual, other) if counts[usual] >= counts[other] else (other, usual) for usual, other in _EITHER_ORDER]
-    return (*RECOVERING_FORMATS[:2], *[f for pair in chosen for f in pair], *_OTHER_FORMS)
+    attempts = {f: parse_date(text, [f], True) for f in (*RECOVERING_FORMATS[:2], *orders, *_OTHER_FORMS)}
+    counts = [F.count(attempts[f]) for f in orders]
+    found = df.agg(*[c.alias(f"n{i}") for i, c in enumerate([*counts, F.count(F.coalesce(*attempts.values())), F.count(text)])]).first()
+    *by_order, read, values = found
+    counted = dict(zip(orders, by_order))
+    chosen = [(usual, other) if counted[usual] >= counted[other] else (other, usual) for usual, other in _EITHER_ORDER]
+    return DateReading((*RECOVERING_FORMATS[:2], *[f for pair in chosen for f in pair], *_OTHER_FORMS), read, values - read)
+
+
+def formats_of(df: DataFrame, column: str) -> tuple[str, ...]:
+    return date_reading(df, column).formats
 
 
 def is_typed_date(df: DataFrame, column: str) -> bool:

@@ -8,7 +8,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
-from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
+from ledgerlake.functions.dates import STRICT_FORMATS, DateReading, date_reading, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.duplicates import first_copies
 from ledgerlake.operators.fills import forward_then_backward
 from ledgerlake.operators.frequencies import nan_as_null, numeric_columns
@@ -16,7 +16,7 @@ from ledgerlake.operators.heavy import modes_of
 from ledgerlake.operators.profile import Profile
 from ledgerlake.operators.quality import consistency
 from ledgerlake.operators.selection import exact_quantiles
-from ledgerlake.staging import stage
+from ledgerlake.staging import stage, together
 
 RULE_SCHEMA = T.StructType(
     [
@@ -71,7 +71,8 @@ def recommend_rules(profile: Profile, formats: Sequence[str] = STRICT_FORMATS) -
     ).withColumn("ord", F.lit(0))
 
     method = F.when(F.col("column").isin(profile.numeric), "median").otherwise("mode")
-    gaps = profile.null_counts().filter("null_count > 0")
+    missing = [(c, profile.row_count - n) for c, n in profile.value_counts.items() if n < profile.row_count]
+    gaps = spark.createDataFrame(missing, "column string, null_count long")
     fills = _rules_frame(
         gaps,
         F.lit("fill_nulls"),
@@ -143,14 +144,19 @@ def standardize_dates(
     done = f"Standardized date formatting in '{column}' to YYYY-MM-DD."
     if is_typed_date(df, column):
         return df.withColumn(column, F.date_format(value, "yyyy-MM-dd")), done
-    day = parse_date(F.trim(value.cast("string")), formats or formats_of(df, column), with_time=formats is None)
+    text = F.trim(value.cast("string"))
+    if formats:
+        day = parse_date(text, formats)
+        found = DateReading(tuple(formats), *df.agg(F.count(day), F.count_if(day.isNull() & value.isNotNull())).first())
+    else:
+        found = date_reading(df, column)
+        day = parse_date(text, found.formats, with_time=True)
+    if found.lost > found.read:
+        return df, f"Left '{column}' as it is: only {found.read} of {found.read + found.lost} values are dates."
     parsed = df.withColumns({"_day": day, "_unread": day.isNull() & value.isNotNull()})
-    found = parsed.agg(F.count("_day").alias("read"), F.count_if("_unread").alias("lost")).first()
-    if found["lost"] > found["read"]:
-        return df, f"Left '{column}' as it is: only {found['read']} of {found['read'] + found['lost']} values are dates."
-    if found["lost"]:
+    if found.lost:
         fate = {"fill": "took a neighbour's date", "keep": "stayed as they are", "null": "became null"}[unread]
-        done = f"{done} {found['lost']} values could not be read and {fate}."
+        done = f"{done} {found.lost} values could not be read and {fate}."
         if unread != "null":
             parsed = forward_then_backward(parsed, "_day", position)
     text = F.date_format("_day", "yyyy-MM-dd")
@@ -169,9 +175,9 @@ def fill_values(df: DataFrame, fills: Sequence[Rule]) -> dict[str, object]:
     if by_mean:
         values.update(df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in by_mean]).first().asDict())
     if by_median or by_mode:
-        middles = exact_quantiles(df, by_median, [0.5]) if by_median else {}
+        quantiles = lambda: exact_quantiles(df, by_median, [0.5]) if by_median else {}
+        middles, top = together(df.sparkSession, quantiles, lambda: modes_of(df, sorted(by_mode), sorted(numeric)))
         values.update({c: middles[c][0] if c in middles else None for c in by_median})
-        top = modes_of(df, sorted(by_mode), sorted(numeric))
         for c in by_mode:
             # A number column without values cannot hold the text placeholder.
             values[c] = top.get(c, None if c in numeric else "N/A")

@@ -18,6 +18,7 @@ from ledgerlake.operators.correlation import correlation_matrix
 from ledgerlake.operators.duplicates import duplicate_rows
 from ledgerlake.operators.frequencies import by_column, distinct_counts, nan_as_null, numeric_columns
 from ledgerlake.operators.selection import as_number, exact_quantiles
+from ledgerlake.staging import together
 
 HISTOGRAM_BINS = 10
 
@@ -148,6 +149,8 @@ class Profile:
     def columns(self) -> DataFrame:
         """One row per column with its type and every statistic that applies."""
         types = {f.name: f.dataType.simpleString() for f in self.source.schema.fields}
+        self.require_rows()
+        together(self.source.sparkSession, lambda: self.distinct, lambda: self._outlier_counts)
         # Both right sides hold one row per numeric column.
         return (
             self.null_counts()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.functions.dates import STRICT_FORMATS, formats_of, is_date_column, is_typed_date, parse_date
 from ledgerlake.operators.profile import Profile
+from ledgerlake.staging import together
 
 # Weight of each dimension in the total, and the score from which
 # a report calls it good.
@@ -79,6 +80,7 @@ def accuracy(profile: Profile) -> DataFrame:
 def quality_scores(profile: Profile, formats: Sequence[str] = STRICT_FORMATS) -> DataFrame:
     """(dimension, score, status) for the five dimensions and ``overall``."""
     profile.require_rows()
+    together(profile.source.sparkSession, lambda: profile.duplicates, lambda: profile._outlier_counts)
     parts = {
         "completeness": completeness(profile),
         "consistency": consistency(profile, formats),

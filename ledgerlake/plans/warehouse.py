@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.functions import values as v
@@ -9,7 +11,7 @@ from ledgerlake.functions.dates import date_key, day_of
 from ledgerlake.operators.ranking import ntile_scores, number_by_lead
 from ledgerlake.operators.upsert import insert_absent, one_per_key, upsert
 from ledgerlake.plans.schema import TABLE_ROLES, Warehouse, require_sales_columns
-from ledgerlake.staging import new_path, stage, stage_at
+from ledgerlake.staging import new_path, stage, stage_at, together
 
 GEOGRAPHY = ["city", "state", "region", "country"]
 PRODUCT = ["product_name", "category", "sub_category"]
@@ -174,21 +176,24 @@ def unplaced_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+DIMENSIONS = {"dim_products": products, "dim_geography": geography, "dim_time": calendar, "dim_customers": customers}
+
+
 def build_dimensions(raw: DataFrame, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     require_sales_columns(raw)
     stored = existing or {}
-    return {
-        "dim_products": products(raw, stored.get("dim_products")),
-        "dim_geography": geography(raw, stored.get("dim_geography")),
-        "dim_time": calendar(raw, stored.get("dim_time")),
-        "dim_customers": customers(raw, stored.get("dim_customers")),
-    }
+    return {name: make(raw, stored.get(name)) for name, make in DIMENSIONS.items()}
 
 
 def build_warehouse(raw: DataFrame, existing: dict[str, DataFrame] | None = None) -> Warehouse:
     """All five tables, written as they are built. Dimensions accumulate, facts are rebuilt."""
-    folder = new_path(raw.sparkSession, "warehouse")
+    require_sales_columns(raw)
+    folder, stored = new_path(raw.sparkSession, "warehouse"), existing or {}
     paths = {name: f"{folder}/{name}" for name in TABLE_ROLES}
-    dims = {n: stage_at(dim, paths[n]) for n, dim in build_dimensions(raw, existing).items()}
+
+    def built(name: str) -> DataFrame:
+        return stage_at(DIMENSIONS[name](raw, stored.get(name)), paths[name])
+
+    dims = dict(zip(DIMENSIONS, together(raw.sparkSession, *[partial(built, name) for name in DIMENSIONS])))
     fact = facts(raw, dims["dim_customers"], dims["dim_products"], dims["dim_geography"])
     return Warehouse(**dims, fact_sales=stage_at(fact, paths["fact_sales"]), paths=paths)

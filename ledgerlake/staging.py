@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -43,3 +46,9 @@ def stage_at(df: DataFrame, path: str) -> DataFrame:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh path and return the table read back."""
     return stage_at(df, new_path(df.sparkSession, label))
+
+
+def together(spark: SparkSession, *jobs: Callable) -> list:
+    """What independent jobs return, submitted at the same time, so that one's last tasks do not hold up the next."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
