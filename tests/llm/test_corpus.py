@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from compare import differences
+from hypothesis import given, settings, strategies as st
 from odd import LONG, TEXTS, odd_documents
 from pyspark.sql import functions as F
 from test_duplicates import near_components
@@ -204,8 +205,6 @@ def test_notices_have_no_strangers_label(spark):
     docs = spark.createDataFrame([*enumerate(expected)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
     assert got == dict(enumerate(expected.values()))
-    import duckdb
-
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(expected)])
@@ -318,6 +317,27 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.99
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet="aAbZ \n\t.!?|#$&<é9-", max_size=40), min_size=1, max_size=6))
+def test_facts_against_plain_python(texts):
+    data = [t.encode() for t in texts]
+    found = quality_model.Shapes(64).facts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+    for i, text in enumerate(data):
+        words = text.lower().split()
+        plain = {
+            "words": len(words),
+            "letters": sum(chr(c).isascii() and chr(c).isalpha() for c in text),
+            "capitals": sum(65 <= c <= 90 for c in text),
+            "symbols": sum(c in b"#*$%&|<>" for c in text),
+            "same": sum(a == b for a, b in zip(words, words[1:])),
+            "distinct": len(set(words)),
+            "enders": sum(c in b".!?" for c in text),
+            "bars": text.count(b"|"),
+            "marks": text.count(b"!"),
+        }
+        assert {name: int(values[i]) for name, values in found.items()} == plain
+
+
 def test_classifier_on_odd_rows(spark):
     docs = odd_documents(spark)
     rows = quality_model.classify(docs).collect()

@@ -89,6 +89,38 @@ def test_near_copies_of_the_test_table(spark, data):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_copies_of_a_larger_table(spark):
+    """Every component of ten times the rows, with hubs and, in a family of near copies, without."""
+    folder = "/root/testdata/sf0.01"
+    expected = near_components(texts_of(spark, folder))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_near_dedup(spark, folder).collect()}
+    assert got == expected
+
+
+def test_dense_family_by_hubs_of_first_shingles(spark):
+    """Members differ from each other in places of their own; many are under the limit to all others."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    base, texts = list(rng.choice(words, 200)), {}
+    for i in range(260):
+        own = list(base)
+        for at in rng.choice(200, int(rng.integers(0, 14)), replace=False):
+            own[at] = f"own{i}x{at}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(6)
+    expected = near_components(texts)
+    for rounds in (0, 1, 2):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.find_near_copies(docs, rounds=rounds).collect()} == expected
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_parity_sketches_never_differ_more_than_sets(one, two, both):
+    a, b = (np.array(sorted(x | both), np.uint64) for x in (one, two))
+    apart = int(np.bitwise_count((minhash.parity_sketch(a) ^ minhash.parity_sketch(b)).view(np.uint64)).sum())
+    assert apart <= len((one | both) ^ (two | both))
+
+
 def test_near_copies_in_chains_and_large_groups(spark):
     """Chains link what is not similar itself; two families share a long passage without being similar."""
     rng = np.random.default_rng(4)
