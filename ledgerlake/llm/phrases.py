@@ -63,6 +63,8 @@ _CLEAN = bytes(_END[0] if c in _ENDS else c for c in ASCII_LOWER)
 
 _U = np.uint64
 _TEXTS_BYTES = 2 << 20
+#: Windows are made for so many words at a time, however long a text is.
+STRETCH_WORDS = 1 << 19
 
 
 def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -297,11 +299,11 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows_in(language: _Language, numbers: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
-    """From each word on, the words as far as pairs and threes pass; two at least."""
+    """From each of the first ``STRETCH_WORDS`` words on, the words as far as pairs and threes pass; two at least."""
     joined, at, hashes = _triples(language, numbers, pairs)
     goes_on = np.zeros(len(joined) + MAX_WORDS, bool)
     goes_on[at] = _in_sketch(triples, hashes)
-    at = np.flatnonzero(joined)
+    at = np.flatnonzero(joined[:STRETCH_WORDS])
     rows = np.full((len(at), MAX_WORDS), -1, np.int32)
     rows[:, 0], rows[:, 1] = numbers[at], numbers[at + 1]
     on = np.ones(len(at), bool)
@@ -345,9 +347,12 @@ def _phrase_counter(pairs, triples):
         seen: dict[str, tuple[_Language, HatTrie]] = {}
         for lang, texts in _texts_by_language(batches):
             language, trie = seen.get(lang) or seen.setdefault(lang, (_Language(lang), HatTrie(MAX_WORDS)))
-            trie.add(*_distinct(_windows_in(language, language.numbers(texts), pairs.value, triples.value)))
-            while trie.full():
-                yield _sorted_run(language, trie, False)
+            numbers = language.numbers(texts)
+            for start in range(0, len(numbers), STRETCH_WORDS):
+                some = numbers[start : start + STRETCH_WORDS + MAX_WORDS - 1]
+                trie.add(*_distinct(_windows_in(language, some, pairs.value, triples.value)))
+                while trie.full():
+                    yield _sorted_run(language, trie, False)
         for language, trie in seen.values():
             yield _sorted_run(language, trie, True)
 

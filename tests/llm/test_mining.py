@@ -92,8 +92,21 @@ def test_collocations_of_the_test_table(spark, data, least, top):
     assert sorted(got) == brute_collocations([tuple(r) for r in docs.select("lang", "text").collect()], least, top)
 
 
+def test_windows_of_a_long_text_do_not_depend_on_stretches(monkeypatch):
+    language = phrases._Language("x")
+    rng = np.random.default_rng(2)
+    text = " ".join("." if x == 9 else f"w{x}" for x in rng.integers(0, 10, 500)).encode()
+    numbers = language.numbers([text])
+    full = np.full(1 << (phrases.SKETCH_BITS - 6), 2**64 - 1, np.uint64)
+    whole = phrases._windows_in(language, numbers, full, full).tolist()
+    monkeypatch.setattr(phrases, "STRETCH_WORDS", 7)
+    parts = [phrases._windows_in(language, numbers[a : a + 7 + 4], full, full).tolist() for a in range(0, len(numbers), 7)]
+    assert sum(parts, []) == whole and len(whole) > 300
+
+
 def test_collocations_of_odd_rows(spark, monkeypatch):
     """Null and missing languages, ties, pieces and repeats; with tries that burst and spill all the time."""
+    monkeypatch.setattr(phrases, "STRETCH_WORDS", 5)
     monkeypatch.setattr(hat_trie, "BURST", 3)
     rows = [(None, "a b a b a b! a b"), ("und", "A  B\tc d c d"), ("xx", None), ("xx", ""), ("xx", " .,;\r\n"), ("xx", "é ü é ü é ü"), ("xx", "z y\x0bz y")]
     rows += [("xx", text) for _, text in TEXTS]
