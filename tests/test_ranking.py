@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.frequencies import modes, value_frequencies
-from ledgerlake.operators.ranking import global_row_number, ntile_ends, ntile_scores, number_by_lead, rows_at
+from ledgerlake.operators.ranking import global_row_number, ntile_ends, ntile_scores, number_by_key, number_by_lead, rows_at
 from ledgerlake.operators.selection import exact_quantiles
+from ledgerlake.sources.dirt import inject_dirt
+from ledgerlake.sources.testdata import sales_rows
 
 
 @pytest.mark.parametrize("partitions", [1, 8])
@@ -81,3 +83,27 @@ def test_numbers_by_lead(spark, most):
         numbered = sorted((r["n"], r["day"], r["id"], r["x"]) for r in got.collect())
         assert numbered == [(i + 1, *r) for i, r in enumerate(expected)]
     assert number_by_lead(df.limit(0), ["day", "id", "x"], "n").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_numbers_by_key_sort_counts_only(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).withColumn("w", F.lit("wide"))
+        df = df.select((F.col("k") / 3).cast("long").alias("lead"), "k", "w")
+        numbered = number_by_key(df, ["lead", "k"], "n")
+        rows = numbered.collect()
+        assert "Sort [" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert all(r["n"] == r["k"] + 1 for r in rows) and len(rows) == 1000
+
+
+def test_planted_copies_need_one_pass(spark, data):
+    """Joins and scans are not gone through anew for the repeated rows."""
+    plan = inject_dirt(sales_rows(spark, data), "l_orderkey")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("l_extendedprice") > 0
+    rows = inject_dirt(sales_rows(spark, data), "l_orderkey")
+    counted = rows.groupBy("copy").count().collect()
+    wanted = {0: sales_rows(spark, data).count(), 1: sales_rows(spark, data).filter("l_orderkey % 100 = 3").count()}
+    assert {r["copy"]: r["count"] for r in counted} == wanted
