@@ -26,6 +26,8 @@ _ENTRY = "name string, version bigint, path string, low string, high string, row
 _MANIFEST = f"{_ENTRY}, committed_at timestamp"
 #: Rows of a file of a keyed table, about.
 FILE_ROWS = 1 << 20
+#: Files of a keyed table, about: where more were needed, they hold more rows, so that listing them does not grow with the table.
+MOST_FILES = 1 << 10
 _FILE = "_file"
 
 
@@ -54,7 +56,7 @@ class TableStore:
         name = clean_identifier(name)
         version = time.time_ns()
         path = f"{self._tables}/{name}/{version}"
-        written = stage_at(rows, path)
+        written = stage_at(rows, path, "zstd")
         self._commit([(name, version, path, None, None, None, None)])
         return written
 
@@ -65,7 +67,8 @@ class TableStore:
 
         The first key, a text, orders the files. Stored rows keep their
         surrogate; without ``attributes`` they stay as they are. The driver
-        handles one manifest row per file of the table.
+        handles one manifest row per file of the table. A file has ``file_rows``
+        rows, or as many as bring a large table to ``MOST_FILES`` files.
         """
         name = clean_identifier(name)
         incoming = stage(incoming, "incoming")
@@ -103,7 +106,9 @@ class TableStore:
         version = time.time_ns()
         folder = f"{self._tables}/{name}/{version}"
         placed = stage(_placed(rows, lead, files), "ranges")
-        parts = max(len(touched), -(-placed.count() // file_rows), 1)
+        count = placed.count()
+        total = count + sum(f["rows"] for i, f in enumerate(files) if i not in touched)
+        parts = max(len(touched), -(-count // max(file_rows, -(-total // MOST_FILES))), 1)
         placed.repartitionByRange(parts, _FILE, lead).sortWithinPartitions(_FILE, lead).write.partitionBy(_FILE).parquet(folder)
         written = self.spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("_name"))
         ends = [F.min(lead).alias("low"), F.max(lead).alias("high"), F.count(F.lit(1)).alias("rows"), F.max(surrogate).alias("highest")]

@@ -1,11 +1,13 @@
 import pytest
 from pyspark.errors import ParseException
+from pyspark.sql import functions as F
 
 from ledgerlake.errors import EtlFailed, LedgerLakeError, QueryRefused, SchemaMismatch
 from ledgerlake.operators.cleaning import Rule
 from ledgerlake.plans import dashboard, insights, sqlstudio, warehouse
 from ledgerlake.plans.etl import Lake
 from ledgerlake.plans.schema import SALES_COLUMNS
+from ledgerlake.sources import tables
 from ledgerlake.sources.tables import TableStore, clean_identifier
 from ledgerlake.staging import new_path
 
@@ -153,6 +155,29 @@ def test_second_load_rewrites_only_the_files_it_touches(spark):
     assert len({r["id"] for r in rows}) == len(rows) == 202 and len({r["key"] for r in rows}) == 202
 
 
+def test_large_tables_have_larger_files(spark, monkeypatch):
+    """The number of files is bounded, whatever rows were asked for; rows and keys are the same."""
+    monkeypatch.setattr(tables, "MOST_FILES", 4)
+    store = TableStore(spark, new_path(spark, "ranged"), "warehouse")
+    frame = lambda step, label: spark.range(0, 200, step).select(F.format_string("k%03d", "id").alias("id"), F.lit(label).alias("label"))
+    store.merge("dim", frame(2, "old"), ["id"], ["label"], "key", 10)
+    assert len(store._files("dim")) <= 5
+    store.merge("dim", frame(1, "new"), ["id"], ["label"], "key", 10)
+    rows = store.find("dim").collect()
+    assert len(store._files("dim")) <= 10 and len(rows) == 200 and {r["label"] for r in rows} == {"new"}
+    assert {r["key"] for r in rows} == set(range(1, 201)) and all(r["key"] <= 100 for r in rows if int(r["id"][1:]) % 2 == 0)
+
+
+def test_facts_are_joined_once(spark, lake):
+    """The joined rows are written before they are counted per day and numbered."""
+    lake.raw.replace("sales", loaded(spark, *[{"order_id": f"o{i}"} for i in range(5)]))
+    lake.run("sales")
+    w = lake.warehouse()
+    rows = warehouse.facts(lake.raw.scan("sales"), w.dim_customers, w.dim_products, w.dim_geography)
+    assert "customer_id" not in rows._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["fact_key"] for r in rows.collect()) == list(range(1, 6))
+
+
 def test_ranged_tables_in_a_lake(spark, lake, monkeypatch):
     """Tables written whole before are taken over; several files are one SQL table."""
     monkeypatch.setattr(TableStore.merge, "__defaults__", (2,))
