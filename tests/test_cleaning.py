@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.dates import RECOVERING_FORMATS, parse_date
 from ledgerlake.operators.cleaning import Rule, apply_rules, keep_first, recommend_rules, rules_list
 from ledgerlake.operators.fills import BLOCK_BITS, forward_then_backward
 from ledgerlake.operators.profile import Profile
@@ -48,6 +49,27 @@ def test_fill_carries_over_blocks(spark):
     assert filled == ["2024-01-01"] * 9 + ["2024-02-01"] * 5
 
 
+def test_filling_shuffles_positions_and_values_only(spark):
+    """Whole rows that hold a value are neither sorted nor shuffled; those with a gap meet theirs by position."""
+    rows = [(i, None if i % 7 == 3 else f"2024-01-{i % 28 + 1:02d}", f"wide-{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "p bigint, d string, w string").withColumn("d", F.col("d").cast("date"))
+    filled = forward_then_backward(df, "d", "p")
+    found = [(r["p"], str(r["d"]), r["w"]) for r in filled.orderBy("p").collect()]
+    assert found == [(i, rows[i - (i % 7 == 3)][1], w) for i, _, w in rows]
+    assert "Window" not in filled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_cast_as_a_formatter_reads_them(spark):
+    """Days that do not exist and the year 0 stay unread in both fixed forms, with and without a time of day."""
+    texts = ["2024-02-29", "2023-02-29", "2024/12/31", "2024/13/01", "0000-01-01", "0001-01-01", "2024-1-2", "2024-01-02T08:30:00Z", "2024/01-02", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, timed = (df.select(parse_date(F.col("t"), RECOVERING_FORMATS[:2], w).cast("string").alias("d")).collect() for w in (False, True))
+    read = ["2024-02-29", None, "2024-12-31", None, None, "0001-01-01", None]
+    assert [r["d"] for r in plain] == [*read, None, None, None]
+    assert [r["d"] for r in timed] == [*read, "2024-01-02", None, None]
+    assert "try_to_date" not in str(parse_date(F.col("t"), RECOVERING_FORMATS[:2])).lower()
+
+
 def test_fill_methods(spark):
     df = spark.createDataFrame(
         [(0, 1.0, 1, "b", None), (1, None, None, "a", None), (2, 4.0, 4, None, None), (3, 10.0, 5, "a", None)],
