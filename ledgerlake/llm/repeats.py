@@ -21,6 +21,11 @@ all of them without one order over all suffixes:
    ends small, whatever a third of all documents share.
 5. Repeated windows become spans of their documents, and their bytes are removed.
 
+Disk: anchors whose gram certainly occurs once are dropped before strings are
+made of the rest. No step moves a row of anchors more than once, and the
+shuffles of a step are freed before the next, so that what lies on disk at any
+time stays in proportion to the input even where the sketch is full.
+
 Strings are told apart by 128 bits of hash when they are collapsed; windows of
 strings that differ are compared by their bytes.
 
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlake.llm.shingles import texts_in_chunks
 from ledgerlake.llm.sketch import passes_sketch
@@ -227,10 +232,27 @@ def _keys(doc_id: Column, text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(2), doc_id, text)}
 
 
+_COMBINED = "h long, c long, weight long, k1 long, k2 long, seen long"
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors to one row per string of a batch, with its weight and the least place it was seen at."""
+    names = ["h", "c", "k1", "k2", "seen"]
+    for batch in batches:
+        h, c, k1, k2, seen = (batch.column(name).to_numpy() for name in names)
+        order = np.lexsort((seen, k2, k1, c, h))
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])][: len(h)])
+        weight, order = np.diff(np.r_[first, len(h)]), order[first]
+        columns = [h[first], c[first], weight, k1[order], k2[order], seen[order]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "c", "weight", "k1", "k2", "seen"])
+
+
 def _groups(strings: DataFrame) -> DataFrame:
-    """Adds to (h, c, weight, ...) how many strings the group has and what they weigh."""
-    own = strings.groupBy("h").agg(F.count(F.lit(1)).alias("strings"), F.sum("weight").alias("weighs"))
-    return strings.join(own.filter("weighs > 1"), "h")
+    """Adds to (h, c, weight, ...) how many strings the group has and what they weigh; groups that weigh one are left out."""
+    group = Window.partitionBy("h")
+    sized = strings.withColumns({"strings": F.count(F.lit(1)).over(group), "weighs": F.sum("weight").over(group)})
+    return sized.filter("weighs > 1")
 
 
 def _halves(strings: DataFrame, window: int) -> DataFrame:
@@ -295,14 +317,25 @@ def repeated_windows(strings: DataFrame, window: int, gram: int) -> DataFrame:
     return result
 
 
+def _shuffled(table: DataFrame) -> DataFrame:
+    """For joins in which both sides grow with the input: neither is sent whole to the driver and every executor."""
+    return table.hint("merge")
+
+
 def _spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(k1, k2, spans): byte ranges (start, end) that repeated windows cover, sorted; ``docs`` has k1, k2, text."""
     anchors = written(docs.mapInArrow(_anchors(window, gram), _ANCHORS), "repeats-anchors")
     twice = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeats-grams")
     sweep(docs.sparkSession)
-    routed = passes_sketch(anchors, twice, "h", SKETCH_BITS).filter("routed").drop("routed")
+    # Anchors have the least hashes of their windows, whose high bits are much alike; the sketch needs them mixed.
+    spread = F.xxhash64("h").alias("spread")
+    met = passes_sketch(anchors.select("*", spread), twice.select(spread), "spread", SKETCH_BITS)
+    met = written(met.filter("routed").drop("routed", "spread"), "repeats-met")
+    discard(anchors, twice)
+    # Dealt by group once: strings, and what their groups weigh, are summed where the rows lie.
+    dealt = met.mapInArrow(_combined, _COMBINED).repartition("h")
     rep = F.min(F.struct("k1", "k2", "seen")).alias("rep")
-    strings = _groups(routed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("weight"), rep))
+    strings = _groups(dealt.groupBy("h", "c").agg(F.sum("weight").alias("weight"), rep))
     strings = strings.select("h", "c", "weight", "strings", "rep.k1", "rep.k2", *[x.alias(n) for n, x in _unpacked(F.col("rep.seen")).items()])
     strings = written(strings, "repeats-strings")
     sweep(docs.sparkSession)
@@ -311,7 +344,7 @@ def _spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     wanted = written(several.select("k1", "k2").distinct(), "repeats-wanted")
     texts = passes_sketch(docs, wanted.select("k1"), "k1", SKETCH_BITS).filter("routed").select("k1", "k2", F.col("text").cast("binary").alias("data"))
     cut = F.substring("data", (F.col("place") - F.col("first") + 1).cast("int"), F.lit(window) + F.col("first") - F.col("last"))
-    fetched = several.join(texts, ["k1", "k2"]).select("h", "c", "weight", "first", "last", "strings", cut.alias("bytes"))
+    fetched = several.join(_shuffled(texts), ["k1", "k2"]).select("h", "c", "weight", "first", "last", "strings", cut.alias("bytes"))
     fetched = written(fetched, "repeats-bytes")
     sweep(docs.sparkSession)
     merged = repeated_windows(fetched, window, gram)
@@ -323,9 +356,9 @@ def _spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     sweep(docs.sparkSession)
     place = _unpacked(F.col("seen"))["place"]
     start, end = place - F.col("o.hi"), place - F.col("o.lo") + window
-    spans = routed.join(found, ["h", "c"]).select("k1", "k2", "seen", F.explode("offsets").alias("o")).select("k1", "k2", start.alias("start"), end.alias("end"))
+    spans = met.join(_shuffled(found), ["h", "c"]).select("k1", "k2", "seen", F.explode("offsets").alias("o")).select("k1", "k2", start.alias("start"), end.alias("end"))
     spans = written(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats-spans")
-    discard(anchors, twice, found)
+    discard(met, found)
     sweep(docs.sparkSession)
     return spans
 
@@ -366,7 +399,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     untouched = routed.filter("NOT routed").select(
         F.col("id").alias("doc_id"), size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
-    met = routed.filter("routed").join(spans, ["k1", "k2"], "left")
+    met = routed.filter("routed").join(_shuffled(spans), ["k1", "k2"], "left")
     met = met.select(F.struct(F.col("id").alias("doc_id"), size).alias("id"), F.col("text").cast("binary"), "spans")
     kind = met.schema["id"].dataType.simpleString()
     cut = met.mapInArrow(_cutter, f"id {kind}, n_removed long, n_spans long, kept binary")

@@ -198,6 +198,63 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.find_repeats(docs.limit(0)).count() == 0
 
 
+def steps_of_repeats(docs, monkeypatch):
+    """Plans before they ran and rows of the written steps, by label, and the result."""
+    plans, rows, write = {}, {}, repeats.written
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        table = write(df, label)
+        rows[label] = table.count()
+        return table
+
+    monkeypatch.setattr(repeats, "written", watched)
+    result = repeats.find_repeats(docs)
+    plans["result"] = result._jdf.queryExecution().executedPlan().toString()
+    return plans, rows, result
+
+
+def test_repeats_move_every_anchor_once_a_step(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = "".join(chr(97 + x) for x in rng.integers(0, 26, 6000))
+    texts = {i: letters[i * 90 : i * 90 + 900] + f"own {i} " * 40 for i in range(40)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    plans, _, result = steps_of_repeats(docs, monkeypatch)
+    assert plans["repeats-strings"].count("Exchange hashpartitioning") == 1 and "Join" not in plans["repeats-strings"]
+    for label, key in (("repeats-bytes", "k1"), ("repeats-spans", "h"), ("result", "k1")):
+        assert f"SortMergeJoin [{key}#" in plans[label]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result.collect()}
+    assert got == dict(zip(texts, removed(texts.values(), 200)))
+
+
+def test_anchors_of_grams_that_occur_once_are_dropped(spark, monkeypatch):
+    """Half the texts come twice: the others' anchors, which have the least hashes of their windows, do not pass."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (1600, 2000)).astype(np.uint8)]
+    rows = [*enumerate(texts), *enumerate(texts[:800], 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, rows, result = steps_of_repeats(docs, monkeypatch)
+    # Two thirds of all anchors are of texts that come twice.
+    assert rows["repeats-grams"] * 2 <= rows["repeats-met"] <= rows["repeats-anchors"] * 0.68
+    assert result.filter("n_removed = n_bytes").count() == 1600 and result.filter("n_removed = 0").count() == 800
+
+
+def test_combined_anchors_are_strings_with_weights(spark):
+    rng = np.random.default_rng(10)
+    table = rng.integers(-2, 2, (3000, 5))
+    anchors = spark.createDataFrame(table.tolist(), "k1 long, k2 long, h long, c long, seen long").repartition(3)
+    expected = {}
+    for k1, k2, h, c, seen in table.tolist():
+        n, rep = expected.get((h, c), (0, (9, 9, 9)))
+        expected[h, c] = n + 1, min(rep, (k1, k2, seen))
+    got = {}
+    for r in anchors.mapInArrow(repeats._combined, repeats._COMBINED).collect():
+        n, rep = got.get((r.h, r.c), (0, (9, 9, 9)))
+        got[r.h, r.c] = n + r.weight, min(rep, (r.k1, r.k2, r.seen))
+    assert got == expected
+    assert anchors.limit(0).mapInArrow(repeats._combined, repeats._COMBINED).count() == 0
+
+
 def test_repeats_across_pieces_of_a_long_text(spark, monkeypatch):
     rng = np.random.default_rng(3)
     letters = "".join(chr(97 + x) for x in rng.integers(0, 26, 4000))
