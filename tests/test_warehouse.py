@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
+from ledgerlake import staging
 from ledgerlake.errors import EtlFailed, LedgerLakeError, QueryRefused, SchemaMismatch
 from ledgerlake.operators.cleaning import Rule
 from ledgerlake.plans import dashboard, insights, sqlstudio, warehouse
@@ -47,6 +48,28 @@ def test_fact_rows_and_dropped_rows(spark):
     assert (lost["dated_rows"], lost["no_customer"], lost["no_product"], lost["no_place"]) == (6, 1, 1, 1)
 
 
+def test_large_dimensions_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """A dimension of many rows may be small as files; what counts is its rows."""
+
+    def joins(plan):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        return {kind for kind in ("BroadcastHashJoin", "ShuffledHashJoin", "SortMergeJoin") if kind in text}
+
+    raw = sales(spark, *[{"customer_id": f"c{i % 3}", "product_id": f"p{i % 4}", "city": f"X{i % 2}", "sales": float(i)} for i in range(12)])
+    small = warehouse.build_warehouse(raw)
+    assert joins(dashboard.category_performance(small)) == {"BroadcastHashJoin"}
+    monkeypatch.setattr(staging, "MOST_BROADCAST", 2)
+    large = warehouse.build_warehouse(raw)
+    lake = Lake(spark, str(tmp_path))
+    for name, table in small.tables().items():
+        lake.star.replace(name, table)
+    for w in (large, lake.warehouse()):
+        assert joins(dashboard.category_performance(w)) == joins(dashboard.top_segment(w)) == {"ShuffledHashJoin"}
+        assert joins(dashboard.region_performance(w)) == {"BroadcastHashJoin"}
+        assert dashboard.category_performance(w).collect() == dashboard.category_performance(small).collect()
+    assert sorted(large.fact_sales.collect()) == sorted(small.fact_sales.collect())
+
+
 def test_one_variant_per_key(spark):
     w = warehouse.build_warehouse(sales(spark, {"segment": "A"}, {"segment": "B"}, {"segment": None}))
     assert [r["segment"] for r in w.dim_customers.collect()] == ["B"]
