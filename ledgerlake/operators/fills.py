@@ -1,15 +1,16 @@
 """Filling gaps in a date column from the neighbouring rows, in row order.
 
 Rows are grouped into blocks of 2**20 consecutive positions, so a window never
-holds more than about a million rows. Only positions and values are shuffled by
-block; of the whole rows, those with a gap meet their found value by position.
+holds more than about a million rows. Only positions and values are written and
+shuffled by block; of the whole rows, those with a gap meet their found value by
+position.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlake.staging import stage
+from ledgerlake.staging import join_side, stage
 
 BLOCK_BITS = 20
 
@@ -21,9 +22,12 @@ def forward_then_backward(df: DataFrame, column: str, position: str) -> DataFram
     which keeps the per-block aggregate a hash aggregate.
     """
     # Rows that hold a value stay where they are; windows run over narrow rows of
-    # position and value. All is written first: the column may be costly to work out.
-    df = stage(df, "to-fill")
-    rows = df.select(F.col(position).alias("_at"), F.col(column).alias("_value")).withColumn("_block", F.shiftright("_at", BLOCK_BITS))
+    # position and value, which are read several times. Whole rows are worked out
+    # anew in the end, which only a plan that gives the same rows each time allows.
+    if not df._jdf.queryExecution().analyzed().deterministic():
+        df = stage(df, "to-fill")
+    narrow = stage(df.select(F.col(position).alias("_at"), F.col(column).alias("_value")), "positions")
+    rows = narrow.withColumn("_block", F.shiftright("_at", BLOCK_BITS))
     held = F.when(F.col("_value").isNotNull(), F.col("_at"))
     edges = rows.groupBy("_block").agg(F.min_by("_value", held).alias("_first"), F.max_by("_value", held).alias("_last"))
     # One row per million input rows: a block's gap is filled from the nearest
@@ -44,5 +48,5 @@ def forward_then_backward(df: DataFrame, column: str, position: str) -> DataFram
     near = near.withColumn("_next", F.last("_value", ignorenulls=True).over(from_here))
     gaps = near.filter(F.col("_value").isNull()).join(carried, "_block", "left")
     found = stage(gaps.select("_at", F.coalesce("_prior", "_carry_in", "_next", "_carry_back").alias("_found")), "fill-gaps")
-    filled = df.filter(F.col(column).isNull()).join(found, F.col(position) == F.col("_at"), "left").withColumn(column, F.col("_found"))
+    filled = df.filter(F.col(column).isNull()).join(join_side(found), F.col(position) == F.col("_at"), "left").withColumn(column, F.col("_found"))
     return df.filter(F.col(column).isNotNull()).select(*df.columns).unionByName(filled.select(*df.columns))

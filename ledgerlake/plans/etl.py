@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -19,7 +20,7 @@ from ledgerlake.plans.warehouse import GEOGRAPHY, PRODUCT, calendar, customers,
 from ledgerlake.sources.audit import AuditLog
 from ledgerlake.sources.tables import TableStore
 from ledgerlake.sources.workbook import POSITION
-from ledgerlake.staging import join_side
+from ledgerlake.staging import join_side, scratch
 
 RAW, WAREHOUSE = "raw_imports", "warehouse"
 
@@ -59,9 +60,11 @@ class Lake:
         formats: Sequence[str] | None = None,
     ) -> Cleaned:
         """Apply rules; unless only previewed, the result replaces the table and is recorded."""
-        rows, logs = apply_rules(self.raw.scan(table, with_position=True), rules, POSITION, formats)
+        with nullcontext() if preview_only else scratch(self.spark):
+            rows, logs = apply_rules(self.raw.scan(table, with_position=True), rules, POSITION, formats)
+            if not preview_only:
+                rows = self.raw.replace(table, rows)
         if not preview_only:
-            rows = self.raw.replace(table, rows)
             self.audit.record_cleaning(table, rules, _now())
         return Cleaned(logs, rows.count(), preview(rows, POSITION), rows.drop(POSITION))
 
@@ -121,12 +124,14 @@ class Lake:
             finish(cleaned.logs)
 
             begin("Generate Star Schema Dimensions")
-            dims = self._load_dimensions(cleaned.rows)
+            with scratch(self.spark):
+                dims = self._load_dimensions(cleaned.rows)
             finish()
 
             begin("Populate Fact Sales")
             keyed = (dims[n] for n in ("dim_customers", "dim_products", "dim_geography"))
-            self.star.replace("fact_sales", facts(cleaned.rows, *keyed))
+            with scratch(self.spark):
+                self.star.replace("fact_sales", facts(cleaned.rows, *keyed))
             finish()
             record("COMPLETED")
         except Exception as problem:

@@ -9,10 +9,13 @@ join is broadcast only when the measured size is under
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 MOST_BROADCAST = 1 << 19
 
 _local_dirs: dict[str, str] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +52,31 @@ def stage_at(df: DataFrame, path: str, compression: str | None = None) -> DataFr
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh path and return the table read back."""
-    return stage_at(df, new_path(df.sparkSession, label), "zstd")
+    path = new_path(df.sparkSession, label)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
+    return stage_at(df, path, "zstd")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed in the end, and shuffle files of finished steps with it.
+
+    What is to stay must be written to a path of its own inside, as by
+    ``stage_at``. Spark removes shuffle files when the driver's garbage
+    collection finds that nothing refers to them, which may be long after.
+    """
+    held: list[str] = []
+    before = _scratch.set(held)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        for path in (spark._jvm.org.apache.hadoop.fs.Path(p) for p in held):
+            path.getFileSystem(hadoop).delete(path, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def join_side(table: DataFrame) -> DataFrame:
@@ -64,4 +92,4 @@ def join_side(table: DataFrame) -> DataFrame:
 def together(spark: SparkSession, *jobs: Callable) -> list:
     """What independent jobs return, submitted at the same time, so that one's last tasks do not hold up the next."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+        return [done.result() for done in [pool.submit(copy_context().run, inheritable_thread_target(spark)(job)) for job in jobs]]

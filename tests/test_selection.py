@@ -78,6 +78,22 @@ def test_duplicates_are_whole_rows_and_nulls_are_equal(spark, monkeypatch):
     assert duplicate_rows(data.limit(0)).first()[0] == 0
 
 
+def test_rows_that_stand_alone_are_not_shuffled(spark, monkeypatch):
+    """Lone rows meet no join; a sketch that is full only lets more rows be compared."""
+    from ledgerlake.operators import duplicates
+
+    rows = [(i, f"s{i % 900}", None if i % 5 == 0 else i % 900) for i in range(1000)]
+    df = spark.createDataFrame(rows, "p bigint, s string, n int")
+    groups = Counter(r[1:] for r in rows)
+    for bits in (duplicates._MOST_BITS, 64):
+        monkeypatch.setattr(duplicates, "_MOST_BITS", bits)
+        first = first_copies(df, "p")
+        assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+        kept = {r["p"]: r["_dropped"] for r in first.collect()}
+        assert kept == {p: groups[s, n] - 1 for p, s, n in rows if p == min(q for q in (p, p - 900) if q >= 0)}
+        assert duplicate_rows(df.drop("p")).first()[0] == 100
+
+
 def test_distinct_counts_by_type(spark):
     rows = [(1, 1.0, "1", None, True), (2, 2.5, "1", None, False), (2**60 + 1, 0.0, "x", None, None), (2**60, -0.0, None, None, True)]
     df = spark.createDataFrame(rows, "n long, x double, s string, e string, b boolean").withColumn("d", F.col("n").cast("decimal(38,2)"))
