@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -36,8 +36,31 @@ def _shape(pattern: str) -> str:
     return re.sub(r"y+|M+|d+", field, literal)
 
 
+def _is_plain(text: Column, pattern: str) -> Column:
+    """A cheap look at a text of ten characters: where this holds and a cast reads a date, the text has the pattern's shape."""
+    ends = [F.substring(text, at, 1) == pattern[4] for at in (5, 8)]
+    return (F.length(text) == 10) & ends[0] & ends[1] & F.substring(text, 10, 1).between("0", "9")
+
+
+def _apart(value: Column, work: Callable[[Column], Column]) -> Column:
+    """``work`` of a value by a lambda, which stays out of the generated code: the JVM leaves methods of over 8,000 bytes uncompiled."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
+
+def _plain_day(text: Column, pattern: str) -> Column:
+    """The day of a text that is all in a fixed form; NULL says nothing."""
+    digits = text if pattern[4] == "-" else F.replace(text, F.lit(pattern[4]), F.lit("-"))
+    return F.when(_is_plain(text, pattern) & ~text.startswith("0000"), digits.try_cast("date"))
+
+
 def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS, with_time: bool = False) -> Column:
     """First format that fits, as DATE; NULL when none does. ``with_time`` allows a time of day behind it."""
+    if len(formats) > 2 and formats[0] in _CAST:
+        return F.coalesce(_plain_day(text, formats[0]), _apart(text, lambda t: _first_fit(t, formats, with_time)))
+    return _first_fit(text, formats, with_time)
+
+
+def _first_fit(text: Column, formats: Sequence[str], with_time: bool) -> Column:
     attempts = []
     for f in formats:
         shape = _shape(f)
@@ -45,6 +68,7 @@ def parse_date(text: Column, formats: Sequence[str] = RECOVERING_FORMATS, with_t
         if f in _CAST:  # a cast is many times faster than a formatter; only it knows a year 0
             digits = F.translate(F.substring(text, 1, 10), "/", "-")
             day = F.when(~digits.startswith("0000"), digits.try_cast("date"))
+            fits = _is_plain(text, f) | fits
         else:
             day = F.try_to_date(F.regexp_extract(text, f"^({shape})", 1) if with_time else text, f)
         if re.fullmatch(r".*[^y]yy", f):
@@ -70,14 +94,21 @@ def date_reading(df: DataFrame, column: str) -> DateReading:
     reads what only it can, as a 25th month.
     """
     # No form in which the order is open begins with four digits.
-    texts = df.select(F.trim(F.col(f"`{column}`").cast("string")).alias("text"))
-    texts = texts.select("text", F.col("text").rlike(r"^\d{4}").alias("year_first"))
-    text = F.col("text")
+    text = F.trim(F.col(f"`{column}`").cast("string"))
     orders = [f for pair in _EITHER_ORDER for f in pair]
-    attempts = {f: parse_date(text, [f], True) for f in (*RECOVERING_FORMATS[:2], *orders, *_OTHER_FORMS)}
-    counts = [F.count(F.when(~F.col("year_first"), attempts[f])) for f in orders]
-    found = texts.agg(*[c.alias(f"n{i}") for i, c in enumerate([*counts, F.count(F.coalesce(*attempts.values())), F.count(text)])]).first()
-    *by_order, read, values = found
+
+    def readings(t: Column) -> Column:
+        """Whether each open order reads a text, and whether any form does."""
+        year_first = t.rlike(r"^\d{4}")
+        read = [~year_first & _first_fit(t, [f], True).isNotNull() for f in orders]
+        return F.array(*read, _first_fit(t, (*RECOVERING_FORMATS[:2], *orders, *_OTHER_FORMS), True).isNotNull())
+
+    texts = df.select(text.alias("text")).select("text", _plain_day(F.col("text"), "yyyy-MM-dd").isNotNull().alias("plain"))
+    texts = texts.select("text", "plain", F.when(~F.col("plain"), _apart(F.col("text"), readings)).alias("readings"))
+    counts = [F.count_if(F.get("readings", F.lit(i))) for i in range(len(orders) + 1)]
+    found = texts.agg(*[c.alias(f"n{i}") for i, c in enumerate([*counts, F.count_if("plain"), F.count("text")])]).first()
+    *by_order, read, plain, values = found
+    read += plain
     counted = dict(zip(orders, by_order))
     chosen = [(usual, other) if counted[usual] >= counted[other] else (other, usual) for usual, other in _EITHER_ORDER]
     return DateReading((*RECOVERING_FORMATS[:2], *[f for pair in chosen for f in pair], *_OTHER_FORMS), read, values - read)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlake.staging import stage
+from ledgerlake.staging import settled, stage
 
 _HASHES = ["_row_hash"]
 #: Bits of the sketch for each repeated hash, and at most: 4 MB, beyond which more and more lone rows are compared, too.
@@ -60,7 +60,7 @@ def _may_repeat(hashed: DataFrame) -> Column:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows equal an earlier row (nulls equal each other)."""
-    hashed = _with_hashes(df, df.columns)
+    hashed = _with_hashes(settled(df, "to-compare"), df.columns)
     suspects = hashed.filter(_may_repeat(hashed))
     copies = suspects.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
@@ -69,7 +69,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def first_copies(df: DataFrame, position: str, dropped: str = "_dropped") -> DataFrame:
     """The rows that equal no earlier one in anything but the position, with how many later copies each had."""
     data = [c for c in df.columns if c != position]
-    hashed = _with_hashes(df, data)
+    hashed = _with_hashes(settled(df, "to-compare"), data)
     suspect = _may_repeat(hashed)
     alone = hashed.filter(~suspect).withColumn(dropped, F.lit(0).cast("long"))
     together = hashed.filter(suspect).groupBy(*[F.col(f"`{c}`") for c in data])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlake.staging import join_side, stage
+from ledgerlake.staging import join_side, settled, stage
 
 BLOCK_BITS = 20
 
@@ -23,9 +23,8 @@ def forward_then_backward(df: DataFrame, column: str, position: str) -> DataFram
     """
     # Rows that hold a value stay where they are; windows run over narrow rows of
     # position and value, which are read several times. Whole rows are worked out
-    # anew in the end, which only a plan that gives the same rows each time allows.
-    if not df._jdf.queryExecution().analyzed().deterministic():
-        df = stage(df, "to-fill")
+    # anew in the end.
+    df = settled(df, "to-fill")
     narrow = stage(df.select(F.col(position).alias("_at"), F.col(column).alias("_value")), "positions")
     rows = narrow.withColumn("_block", F.shiftright("_at", BLOCK_BITS))
     held = F.when(F.col("_value").isNotNull(), F.col("_at"))

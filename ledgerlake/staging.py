@@ -58,6 +58,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return stage_at(df, path, "zstd")
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as it is if it only selects from a table, else written.
+
+    Such a plan gives the same rows each time, and a filter that is moved below
+    its columns meets no row that another filter was to keep from them.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    node, whole = plan, plan.deterministic()
+    while node.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return df if whole and node.children().isEmpty() else stage(df, label)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is staged inside is removed in the end, and shuffle files of finished steps with it.

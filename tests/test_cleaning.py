@@ -1,6 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.dates import RECOVERING_FORMATS, parse_date
+from ledgerlake.functions.dates import RECOVERING_FORMATS, date_reading, is_iso_date, parse_date
 from ledgerlake.operators.cleaning import Rule, apply_rules, keep_first, recommend_rules, rules_list
 from ledgerlake.operators.fills import BLOCK_BITS, forward_then_backward
 from ledgerlake.operators.profile import Profile
@@ -59,6 +61,64 @@ def test_filling_shuffles_positions_and_values_only(spark):
     assert "Window" not in filled._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_filling_writes_positions_and_values_only(spark, monkeypatch):
+    from ledgerlake import staging
+
+    written, write = [], staging.stage_at
+    monkeypatch.setattr(staging, "stage_at", lambda df, *to: (written.append(df.columns), write(df, *to))[1])
+    rows = [(i, None if i % 7 == 3 else f"2024-01-{i % 28 + 1:02d}", f"wide-{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "p bigint, d string, w string").withColumn("d", F.col("d").cast("date"))
+    assert forward_then_backward(df, "d", "p").count() == 100
+    assert written and not any("w" in columns for columns in written)
+    # Positions that another run might number otherwise are written with their rows.
+    numbered = df.orderBy("p").coalesce(1).drop("p").withColumn("p", F.monotonically_increasing_id())
+    found = [(str(r["d"]), r["w"]) for r in forward_then_backward(numbered, "d", "p").orderBy("p").collect()]
+    assert found == [(rows[i - (i % 7 == 3)][1], w) for i, _, w in rows] and any("w" in columns for columns in written)
+
+
+def test_filters_keep_rows_from_what_they_guard(spark):
+    """A cast that would fail on rows that were filtered out does not meet them, whatever filters come later."""
+    texts = ["2024-01-05", "16-01-1999", None, "2024-01-05", "2024-01-07"]
+    df = spark.createDataFrame(list(enumerate(texts)), "p bigint, t string").filter(is_iso_date(F.col("t")) | F.col("t").isNull())
+    df = df.select("p", F.when(F.col("p") == 3, "unknown").otherwise(F.date_format(F.col("t").cast("date"), "M/d/yyyy")).alias("d_date"))
+    out, _ = apply_rules(df, [Rule("standardize_dates", "d_date", parameters={"unread": "keep"}), Rule("remove_duplicates")], "p")
+    found = [(r["p"], r["d_date"]) for r in out.orderBy("p").collect()]
+    assert found == [(0, "2024-01-05"), (3, "unknown"), (4, "2024-01-07")]
+
+
+def test_intermediates_are_removed(spark):
+    """What is staged inside goes, also what was staged by jobs submitted together; what has a path of its own stays."""
+    from ledgerlake import staging
+
+    df, inside = spark.range(10).toDF("x"), []
+
+    def job():
+        inside.append(staging.stage(df, "inside"))
+        return inside[-1].count()
+
+    with staging.scratch(spark):
+        assert staging.together(spark, job, job) == [10, 10]
+        kept = staging.stage_at(inside[0], staging.new_path(spark, "kept"))
+    after = staging.stage(df, "after")
+    there = [os.path.exists(t.inputFiles()[0].removeprefix("file://")) for t in (*inside, kept, after)]
+    assert there == [False, False, True, True]
+
+
+def test_texts_in_odd_forms_are_read_as_before(spark):
+    """A text that only looks like a plain date is no date, and the forms that a column needs are found."""
+    odd = ["2024-01-5T", "2024-01-5\t", "+024-01-05", "2024-1--05", "2024-/1-05", "2024/-1/05", "2024-01/05", "2024-01-0\u0663", "2024-13-01", ""]
+    day = {"2024-01-05": "2024-01-05", "2024/01/06": "2024-01-06", "25-01-2024": "2024-01-25", "2024-1-7": "2024-01-07", " 2024-01-08 ": "2024-01-08", "2024-01-09 10:00": "2024-01-09"}
+    df = spark.createDataFrame([(t,) for t in [*odd, *day, None]], "d_date string")
+    reading = date_reading(df, "d_date")
+    assert (reading.read, reading.lost) == (len(day), len(odd)) and reading.formats.index("d-M-yyyy") < reading.formats.index("M-d-yyyy")
+    read = parse_date(F.trim("d_date"), reading.formats, True)
+    found = {r["d_date"]: r["d"] for r in df.select("d_date", read.cast("string").alias("d")).collect()}
+    assert found == {**dict.fromkeys([*odd, None]), **day}
+    # The many forms stay out of the generated code, which would be too long to be compiled.
+    code = df.select(read.alias("d"))._jdf.queryExecution().debug().codegenToSeq().apply(0)._2()
+    assert len(code) < 40_000
+
+
 def test_dates_cast_as_a_formatter_reads_them(spark):
     """Days that do not exist and the year 0 stay unread in both fixed forms, with and without a time of day."""
     texts = ["2024-02-29", "2023-02-29", "2024/12/31", "2024/13/01", "0000-01-01", "0001-01-01", "2024-1-2", "2024-01-02T08:30:00Z", "2024/01-02", None]
